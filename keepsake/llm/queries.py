@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import neardup, topn
+from keepsake.llm import encode, neardup, topn
 from keepsake.runtime import table
 
 
@@ -29,6 +29,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("origin", "qa_id", "pos", "item_id")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's token ids by byte_bpe_50k."""
+    return table(spark, d, "documents").select("doc_id", encode.token_ids(spark, F.col("text")).alias("ids"))
+
+
 P2_SQL = r"""
 with recursive r as (
   select rec_no, list_distinct(regexp_extract_all(lower(coalesce(caption, '') || ' ' || coalesce(short_caption, '')), '[a-z0-9]+')) as w
@@ -56,7 +61,7 @@ from b qualify pos <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p4_found": p4_found}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
