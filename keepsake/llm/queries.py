@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import encode, neardup, topn
+from keepsake.llm import encode, mixing, neardup, topn
 from keepsake.runtime import table
 
 
@@ -34,6 +34,12 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", encode.token_ids(spark, F.col("text")).alias("ids"))
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The uses of every document in each mix of mix_targets, with the shares reached."""
+    docs = table(spark, d, "documents").select("doc_id", "source", encode.token_count(spark, F.col("text")).alias("n_tokens"))
+    return mixing.mix_sources(docs, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
+
+
 P2_SQL = r"""
 with recursive r as (
   select rec_no, list_distinct(regexp_extract_all(lower(coalesce(caption, '') || ' ' || coalesce(short_caption, '')), '[a-z0-9]+')) as w
@@ -61,7 +67,7 @@ from b qualify pos <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p6_ids": p6_ids}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
