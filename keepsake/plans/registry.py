@@ -5,10 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keepsake.operators import timestamps
+from keepsake.runtime import table
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The UTC instant of every timestamp of passages and notes that denotes one."""
+    places = table(spark, d, "place_zones").where("location is not null").groupBy("location")
+    places = places.agg(F.first("zone_name").alias("zone"), F.first("date_order").alias("day_order"))
+    passages = table(spark, d, "text_passages").select(F.lit("text_passages").alias("origin"), F.col("idx").alias("row_no"), F.col("timestamp").alias("raw"), "location")
+    passages = passages.join(places, "location", "left").drop("location")
+    none = F.lit(None).cast("string")
+    notes = table(spark, d, "memory_notes").select(F.lit("memory_notes").alias("origin"), F.col("note_no").alias("row_no"), F.col("timestamp").alias("raw"), none.alias("zone"), none.alias("day_order"))
+    rows = passages.unionByName(notes)
+    return timestamps.normalise(rows, "raw", F.col("zone"), F.col("day_order")).where("utc_us is not null").select("origin", "row_no", "utc_us")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
