@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import encode, mixing, neardup, topn
+from keepsake.llm import encode, mixing, neardup, pii, topn
 from keepsake.runtime import table
 
 
@@ -29,6 +29,28 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("origin", "qa_id", "pos", "item_id")
 
 
+#: Pseudonyms of the queries; a real run passes its own secret.
+EXAMPLE_KEY = b"an example key, replace it"
+
+
+def _p5(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "retrieval_items").select(F.lit("retrieval_items").alias("origin"), "row_no", "text")
+    passages = table(spark, d, "text_passages").select(F.lit("text_passages").alias("origin"), F.col("idx").alias("row_no"), "text")
+    model = pii.fit_names(table(spark, d, "contacts"))
+    return items.unionByName(passages).select("origin", "row_no", pii.redacted(F.col("text"), model, EXAMPLE_KEY).alias("r"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct piece of personal information of every item and passage."""
+    cells = F.explode(F.array_distinct(F.arrays_zip("r.kinds", "r.vals"))).alias("c")
+    return _p5(spark, d).select("origin", "row_no", cells).select("origin", "row_no", F.col("c.kinds").alias("kind"), F.col("c.vals").alias("val"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of items and passages with typed placeholders."""
+    return _p5(spark, d).select("origin", "row_no", "r.text")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Every document's token ids by byte_bpe_50k."""
     return table(spark, d, "documents").select("doc_id", encode.token_ids(spark, F.col("text")).alias("ids"))
@@ -67,7 +89,7 @@ from b qualify pos <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
