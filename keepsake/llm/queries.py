@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import encode, mixing, neardup, pii, topn
+from keepsake.llm import encode, mixing, neardup, pairs, pii, topn
 from keepsake.runtime import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each annotated pair whose answer is unfit for scoring, with its defect."""
+    rows = table(spark, d, "qa_annotations")
+    return pairs.broken_pairs(rows, "ann_no", "question", "answer", table(spark, d, "common_words")).withColumnRenamed("key", "ann_no")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs (rec_a < rec_b) of one group of image records with nearly the same captions."""
     recs = table(spark, d, "image_batch_results").where(F.col("caption").rlike(r"\S"))
@@ -89,7 +95,7 @@ from b qualify pos <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
