@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import encode, mixing, neardup, pairs, pii, topn
+from keepsake.llm import encode, mixing, neardup, pairs, pii, quality, topn
 from keepsake.runtime import table
 
 
@@ -68,6 +68,22 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(docs, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
 
 
+def _p8(spark: SparkSession, d: str) -> DataFrame:
+    docs, words = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "common_words")
+    rules = quality.learn_kinds(docs, "doc_id", "text", words, table(spark, d, "doc_labels"))
+    return quality.with_kind(quality.with_statistics(docs, "text", words), rules)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that is a list, a table or junk."""
+    return _p8(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The text statistics and the kind of every document."""
+    return _p8(spark, d).select("doc_id", "stats.*", "kind")
+
+
 P2_SQL = r"""
 with recursive r as (
   select rec_no, list_distinct(regexp_extract_all(lower(coalesce(caption, '') || ' ' || coalesce(short_caption, '')), '[a-z0-9]+')) as w
@@ -95,7 +111,7 @@ from b qualify pos <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
