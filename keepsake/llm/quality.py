@@ -43,10 +43,8 @@ def statistics(text: Column, words: Column, frequent: Column, lines: Column, par
     """
     one = F.lit(1.0)
     n = F.size(words).cast("double")
-    tight = F.length(F.regexp_replace(text, r"\s", "")).cast("double")
+    tight = F.length(F.regexp_replace(text, r"\s+", "")).cast("double")
     nl = F.size(lines).cast("double")
-    letters = F.regexp_count(text, F.lit(r"\p{L}")).cast("double")
-    latin = F.regexp_count(text, F.lit(r"\p{IsLatin}")).cast("double")
 
     def share(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -57,7 +55,13 @@ def statistics(text: Column, words: Column, frequent: Column, lines: Column, par
     def count(pattern: str) -> Column:
         return F.regexp_count(text, F.lit(pattern)).cast("double")
 
-    cjk = share(count(r"[\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF]"), tight)
+    def chars(kinds: str) -> Column:
+        # What removing runs of a class takes away; Java is slow at negated unions of ranges.
+        return (F.length(text) - F.length(F.regexp_replace(text, f"[{kinds}]+", ""))).cast("double")
+
+    letters = chars(r"\p{L}")
+    latin = chars(r"\p{IsLatin}")
+    cjk = share(chars(r"\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF"), tight)
     fields = r"\S\s*[|;\t].*[|;\t]|\S {2,}\S.* {2,}\S|^ {4,}\S.* {3,}\S|,\S[^,]*,|,,|<td|\|.*\||^\s*[+|][-=+|]{3,}|;.*;"
     return {
         "n_chars": F.length(text).cast("double"),
@@ -66,16 +70,16 @@ def statistics(text: Column, words: Column, frequent: Column, lines: Column, par
         "mean_word_length": share(F.length(F.array_join(words, "")).cast("double"), n),
         "longest_word": F.coalesce(F.array_max(F.transform(words, lambda w: F.length(w))), F.lit(0)).cast("double"),
         "words_per_line": share(n, nl),
-        "symbol_ratio": share(count(r"[^\p{L}\p{N}\s]"), tight),
-        "digit_ratio": share(count(r"\p{N}"), tight),
+        "symbol_ratio": share(F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", "")).cast("double"), tight),
+        "digit_ratio": share(chars(r"\p{N}"), tight),
         "letter_ratio": share(letters, tight),
-        "capital_ratio": share(count(r"\p{Lu}"), letters),
-        "vowel_ratio": share(count(r"(?i)[aeiouyàáâäãåæèéêëìíîïòóôöõøœùúûü]"), F.greatest(latin, one)),
+        "capital_ratio": share(chars(r"\p{Lu}"), letters),
+        "vowel_ratio": share((F.length(text) - F.length(F.translate(text, "aeiouyàáâäãåæèéêëìíîïòóôöõøœùúûüAEIOUYÀÁÂÄÃÅÆÈÉÊËÌÍÎÏÒÓÔÖÕØŒÙÚÛÜ", ""))).cast("double"), F.greatest(latin, one)),
         "latin_ratio": share(latin, F.greatest(letters, one)),
         "cjk_ratio": cjk,
-        "odd_ratio": share(count(r"[�▀-◿ÂÃ\u0080-\u009F]"), tight),
+        "odd_ratio": share(chars(r"�▀-◿ÂÃ\u0080-\u009F"), tight),
         "markup_ratio": share(F.length(text) - F.length(F.regexp_replace(text, r"<[^<>]{1,200}>|&[a-z#0-9]{2,8};", "")), F.length(text).cast("double")),
-        "code_ratio": share(count(r"[{}\[\]<>=\\/|~^_`]"), tight),
+        "code_ratio": share(chars(r"{}\[\]<>=\\/|~^_`"), tight),
         "punctuated_lines": of_lines(lambda s: s.rlike(r"[.!?…。！？]['\")”»\s]*$")),
         "marked_lines": of_lines(lambda s: s.rlike(_BULLET)),
         "field_lines": of_lines(lambda s: s.rlike(fields)),
@@ -90,8 +94,8 @@ def statistics(text: Column, words: Column, frequent: Column, lines: Column, par
     }
 
 
-def with_statistics(df: DataFrame, text: str, common_words: DataFrame) -> DataFrame:
-    """``df`` with a struct column ``stats``; null for null, empty and blank texts. A column of that name is replaced."""
+def with_statistics(df: DataFrame, text: str, common_words: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """``df`` with a struct column ``stats`` of all statistics or those of ``only``; null for null, empty and blank texts. A column of that name is replaced."""
     common = sorted({r["word"].lower() for r in common_words.where("word is not null").select("word").distinct().limit(MOST_WORDS + 1).collect()})
     if len(common) > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} frequent words")
@@ -101,7 +105,7 @@ def with_statistics(df: DataFrame, text: str, common_words: DataFrame) -> DataFr
     made = [F.when(has, c).alias(f"_{k}") for k, c in pieces(F.col(text), common or [""]).items()]
     staged = df.select(*keep, *made)
     stats = statistics(F.col(text), *[F.col(f"_{k}") for k in ("words", "frequent", "lines", "parts")])
-    return staged.select(*keep, F.when(F.col("_words").isNotNull(), F.struct(*[c.alias(k) for k, c in stats.items()])).alias("stats"))
+    return staged.select(*keep, F.when(F.col("_words").isNotNull(), F.struct(*[c.alias(k) for k, c in stats.items() if only is None or k in only])).alias("stats"))
 
 
 @dataclass(frozen=True)
@@ -235,7 +239,7 @@ def learn_kinds(docs: DataFrame, key: str, text: str, common_words: DataFrame, l
     some = labels.where(F.col(kind).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(kind).alias("_kind"))
     some = some.orderBy(F.xxhash64(key), key).limit(MOST_LABELS)
     few = docs.select(key, text).join(F.broadcast(some), key)
-    few = with_statistics(few, text, common_words).where("stats is not null")
+    few = with_statistics(few, text, common_words, RULE_FEATURES).where("stats is not null")
     rows = sorted(tuple(r) for r in few.select(*[f"stats.{f}" for f in RULE_FEATURES], "_kind").collect())
     if not rows:
         return []
@@ -245,4 +249,17 @@ def learn_kinds(docs: DataFrame, key: str, text: str, common_words: DataFrame, l
 
 def with_kind(docs: DataFrame, rules: list[Rule], default: str = "prose") -> DataFrame:
     """``docs`` (with ``stats``) and the column ``kind``; null where there are no statistics."""
-    return docs.withColumn("kind", F.when(F.col("stats").isNotNull(), F.expr(to_sql(rules, default))))
+    # Inside the lambda the statistics are values; named outside, the optimiser would write each out again for each rule.
+    kind = F.get(F.transform(F.array("stats"), lambda s: _case(s, rules, default)), 0)
+    return docs.withColumn("kind", F.when(F.col("stats").isNotNull(), kind))
+
+
+def _case(s: Column, rules: list[Rule], default: str) -> Column:
+    out = None
+    for r in rules:
+        test = None
+        for f, op, t in r.conditions:
+            c = s[f] <= t if op == "<=" else s[f] > t
+            test = c if test is None else test & c
+        out = F.when(test, r.kind) if out is None else out.when(test, r.kind)
+    return F.lit(default) if out is None else out.otherwise(default)

@@ -68,15 +68,15 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(docs, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
 
 
-def _p8(spark: SparkSession, d: str) -> DataFrame:
+def _p8(spark: SparkSession, d: str, only: tuple[str, ...] | None = None) -> DataFrame:
     docs, words = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "common_words")
     rules = quality.learn_kinds(docs, "doc_id", "text", words, table(spark, d, "doc_labels"))
-    return quality.with_kind(quality.with_statistics(docs, "text", words), rules)
+    return quality.with_kind(quality.with_statistics(docs, "text", words, only), rules)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Every document that is a list, a table or junk."""
-    return _p8(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+    return _p8(spark, d, quality.RULE_FEATURES).where("kind <> 'prose'").select("doc_id", "kind")
 
 
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
