@@ -1,0 +1,135 @@
+"""Exact nearest items by cosine: a stated query set against all rows, in blocks."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Most bytes of query vectors that travel to the executors at once; larger query sets go in several blocks.
+QUERY_BYTES = 64_000_000
+
+
+def normalised(v: Column) -> Column:
+    """The vector in doubles with length 1; a zero vector stays zero."""
+    d = v.cast("array<double>")
+    size = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(d, lambda x: F.when(size > 0, x / size).otherwise(0.0))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors of one length; null if either is null, 0 for a zero vector."""
+    return F.aggregate(F.zip_with(normalised(a), normalised(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _matrix(rows: list, dim: int) -> np.ndarray:
+    m = np.array(rows, dtype=np.float64).reshape(len(rows), dim)
+    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def top_k(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, k: int, skip_self: bool = False) -> DataFrame:
+    """(query_id, item_id, score, rank): the k items of highest cosine for each query, ties by item id.
+
+    Rows with a null id or vector do not take part; vectors must share one
+    length. The query vectors are collected in blocks of at most
+    ``QUERY_BYTES``, whose number follows from a count, and each block is
+    multiplied with batches of items where these lie; a task keeps only its k
+    best per query, so the shuffle carries k rows per query and task, however
+    many items there are. Ids of both sides must be bigint or string.
+    """
+    spark = queries.sparkSession
+    q = queries.where(F.col(query_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    it = items.where(F.col(item_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(item_id).alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    head = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    qt, itype = q.schema["q"].dataType.simpleString(), it.schema["i"].dataType.simpleString()
+    schema = f"q {qt}, i {itype}, s double"
+    blocks = max(1, -(-int(head["n"]) * int(head["d"] or 1) * 8 // QUERY_BYTES))
+    found = None
+    for b in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect() if head["n"] else []
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r["q"] for r in rows], dtype=object), _matrix([r["v"] for r in rows], int(head["d"]))))
+        one = it.mapInArrow(_scorer(shared, k, skip_self, qt, itype), schema)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), F.asc("i")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("i").alias(item_id), F.col("s").alias("score"), "rank")
+
+
+def _scorer(shared, k: int, skip_self: bool, qt: str, itype: str) -> Callable:
+    arrow = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, qm = shared.value
+        best_s = [np.zeros(0)] * len(qids)
+        best_i = [np.zeros(0, dtype=object)] * len(qids)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.array(batch.column("i").to_pylist(), dtype=object)
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            m = flat.reshape(len(ids), -1)
+            size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+            scores = qm @ m.T
+            for x in range(len(qids)):
+                s = scores[x]
+                if skip_self:
+                    s = np.where(ids == qids[x], -np.inf, s)
+                take = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                cs, ci = np.concatenate([best_s[x], s[take]]), np.concatenate([best_i[x], ids[take]])
+                order = sorted(range(len(cs)), key=lambda j: (-cs[j], ci[j]))[:k]
+                best_s[x], best_i[x] = cs[order], ci[order]
+        out = [(qids[x], i, float(s)) for x in range(len(qids)) for s, i in zip(best_s[x], best_i[x]) if s > -np.inf]
+        cols = list(zip(*out)) if out else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], arrow[qt]), pa.array(cols[1], arrow[itype]), pa.array(cols[2], pa.float64())], ["q", "i", "s"])
+
+    return run
+
+
+Encoder = Callable[[pd.Series], np.ndarray]
+
+
+def embed(df: DataFrame, text: str, encoder: Encoder, out: str = "embedding") -> DataFrame:
+    """``df`` with unit vectors that ``encoder`` (texts -> matrix) makes of ``text``; null texts are empty ones."""
+
+    @F.pandas_udf("array<float>")
+    def run(t: pd.Series) -> pd.Series:
+        m = np.asarray(encoder(t.fillna("")), dtype=np.float64)
+        size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return pd.Series(list(np.divide(m, size, out=np.zeros_like(m), where=size > 0).astype(np.float32)))
+
+    return df.withColumn(out, run(F.col(text)))
+
+
+def joint_vector(a: Column, b: Column, dim: int) -> Column:
+    """Image and text vector in one, of length 1; a missing one is zeros. A query gives its vector twice."""
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return normalised(F.concat(F.coalesce(a.cast("array<double>"), zero), F.coalesce(b.cast("array<double>"), zero)))
+
+
+def rerank(candidates: DataFrame, query: str, item: str, rank: str, scorer: Callable[[pd.DataFrame], np.ndarray] | None, first: int, keep: list[str]) -> DataFrame:
+    """``candidates`` with ``rerank_score`` and ``rerank_rank``: the first ones by new score, the rest behind in their old order.
+
+    ``scorer`` gets batches of the columns ``keep``; none scores 0, which keeps
+    the order. Equal new scores keep their old order; scores of the rest are null.
+    """
+    if scorer is None:
+        s = F.lit(0.0)
+    else:
+
+        @F.pandas_udf("double")
+        def run(*cols: pd.Series) -> pd.Series:
+            return pd.Series(np.asarray(scorer(pd.DataFrame(dict(zip(keep, cols)))), dtype=np.float64))
+
+        s = run(*[F.col(c) for c in keep])
+    scored = candidates.withColumn("rerank_score", F.when(F.col(rank) <= first, s))
+    order = Window.partitionBy(query).orderBy(F.col("rerank_score").isNull(), F.desc("rerank_score"), F.asc(rank))
+    return scored.withColumn("rerank_rank", F.row_number().over(order))
