@@ -163,10 +163,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     )
 
 
+def _apart(rows: DataFrame) -> Column:
+    """The two sets are not yet known to be of one component."""
+    return F.col("a.comp") != F.col("b.comp") if "comp" in rows.columns else F.lit(True)
+
+
 def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return (
         rows.alias("a")
-        .join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.comp") != F.col("b.comp")) & _close(similarity))
+        .join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & _apart(rows) & _close(similarity))
         .select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
     )
 
@@ -203,20 +208,32 @@ def near_duplicate_groups(
     return recs.select("id", "set").join(labels, "set").select("id", "group")
 
 
+def _full_keys(rows: DataFrame, bucket: int) -> DataFrame:
+    """(key, center) of the buckets above ``bucket`` sets of which not all are known to be one component.
+
+    A sixteenth of the sets, by hash, points out keys that may be full; only
+    those are counted. A full bucket that it misses is merely paired as it is.
+    """
+    part = rows.where(F.pmod(F.xxhash64("rep", F.lit(16)), F.lit(16)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    maybe = part.where(F.col("c") * 16 > F.lit(bucket) * 3 // 4).select("key")
+    sizes = rows.join(maybe, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("center"))
+    return sizes.where((F.col("c") > bucket) & (F.col("lo") != F.col("hi"))).select("key", "center")
+
+
 def _links(sets: DataFrame, similarity: float, bucket: int, depth: int) -> DataFrame:
     keyed = cut(_keyed(sets, similarity, 0))
     rows = keyed.select(F.explode("keys").alias("key"), "rep", "n", "s1", "s2", F.col("rep").alias("comp"))
     found = None
+    slim = lambda r, level: r.drop("comp") if level == 1 else r  # noqa: E731  (at first every set is its own component)
     for level in range(1, depth + 2):
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("center"))
-        hot = cut(sizes.where(F.col("c") > bucket).where("lo <> hi").select("key", "center"))
+        hot = cut(_full_keys(rows, bucket))
         if hot.isEmpty() or level > depth:
-            new = _verified(_pairs(rows, similarity), sets, similarity)
+            new = _verified(_pairs(slim(rows, level), similarity), sets, similarity)
             return new if found is None else found.unionByName(new).distinct()
         cold = rows.join(hot.select("key"), "key", "left_anti")
         full = rows.join(hot, "key")
         stars = full.where("rep <> center").select(F.col("center").alias("src"), F.col("rep").alias("dst")).distinct()
-        new = cut(_verified(_pairs(cold, similarity).unionByName(stars), sets, similarity))
+        new = cut(_verified(_pairs(slim(cold, level), similarity).unionByName(stars), sets, similarity))
         found = new if found is None else cut(found.unionByName(new).distinct())
         comps = connected_components(found).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
         finer = _keyed(sets.join(full.select("rep").distinct(), "rep", "left_semi"), similarity, level).select("rep", F.explode("keys").alias("k2"))
