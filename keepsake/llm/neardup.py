@@ -215,7 +215,7 @@ def _full_keys(rows: DataFrame, bucket: int) -> DataFrame:
     those are counted. A full bucket that it misses is merely paired as it is.
     """
     part = rows.where(F.pmod(F.xxhash64("rep", F.lit(16)), F.lit(16)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    maybe = part.where(F.col("c") * 16 > F.lit(bucket) * 3 // 4).select("key")
+    maybe = part.where(F.col("c") * 16 > F.lit(bucket * 3 // 4)).select("key")
     sizes = rows.join(maybe, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("center"))
     return sizes.where((F.col("c") > bucket) & (F.col("lo") != F.col("hi"))).select("key", "center")
 
