@@ -18,6 +18,8 @@ RADIUS = 3
 BUCKET = 256
 #: Times that overfull buckets are split before the rest is compared as it is.
 DEPTH = 3
+#: At most this many bucket keys (16 bytes each) are broadcast.
+MOST_SENT = 200_000
 
 
 def words(*texts: str) -> Column:
@@ -195,7 +197,7 @@ def near_duplicate_groups(
     is overfull after ``depth`` splits is compared across components as it is.
     """
     recs = df.select(F.col(id_col).alias("id"), word_col.alias("words")).where("id is not null and size(words) > 0")
-    recs = recs.withColumn("set", F.sha2(F.concat_ws(" ", "words"), 256))
+    recs = cut(recs.withColumn("set", F.sha2(F.concat_ws(" ", "words"), 256)))
     sets = cut(recs.groupBy("set").agg(F.min("id").alias("rep"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies")))
     links = cut(_links(sets.select("rep", "words"), similarity, bucket, depth))
     comps = connected_components(links).withColumnRenamed("node", "rep")
@@ -208,6 +210,11 @@ def near_duplicate_groups(
     return recs.select("id", "set").join(labels, "set").select("id", "group")
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """``keys`` marked for broadcast once they are counted to be few; else they are joined by a shuffle."""
+    return F.broadcast(keys) if keys.limit(MOST_SENT + 1).count() <= MOST_SENT else keys
+
+
 def _full_keys(rows: DataFrame, bucket: int) -> DataFrame:
     """(key, center) of the buckets above ``bucket`` sets of which not all are known to be one component.
 
@@ -215,7 +222,7 @@ def _full_keys(rows: DataFrame, bucket: int) -> DataFrame:
     those are counted. A full bucket that it misses is merely paired as it is.
     """
     part = rows.where(F.pmod(F.xxhash64("rep", F.lit(16)), F.lit(16)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    maybe = part.where(F.col("c") * 16 > F.lit(bucket * 3 // 4)).select("key")
+    maybe = _small(cut(part.where(F.col("c") * 16 > F.lit(bucket * 3 // 4)).select("key")))
     sizes = rows.join(maybe, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("center"))
     return sizes.where((F.col("c") > bucket) & (F.col("lo") != F.col("hi"))).select("key", "center")
 
@@ -230,8 +237,9 @@ def _links(sets: DataFrame, similarity: float, bucket: int, depth: int) -> DataF
         if hot.isEmpty() or level > depth:
             new = _verified(_pairs(slim(rows, level), similarity), sets, similarity)
             return new if found is None else found.unionByName(new).distinct()
-        cold = rows.join(hot.select("key"), "key", "left_anti")
-        full = rows.join(hot, "key")
+        sent = _small(hot)
+        cold = rows.join(sent.select("key") if sent is hot else F.broadcast(hot.select("key")), "key", "left_anti")
+        full = rows.join(sent, "key")
         stars = full.where("rep <> center").select(F.col("center").alias("src"), F.col("rep").alias("dst")).distinct()
         new = cut(_verified(_pairs(slim(cold, level), similarity).unionByName(stars), sets, similarity))
         found = new if found is None else cut(found.unionByName(new).distinct())
