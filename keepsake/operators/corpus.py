@@ -220,11 +220,11 @@ def evidence_texts(asked: DataFrame, key: str, ids: str, sources: list[DataFrame
     Misses are left out; null and empty id arrays give an empty array. Sources
     must be unique by id (see ``lookups.first_by_key``).
     """
-    rows = asked.select(key, F.posexplode(evidence_ids(F.col(ids))).alias("pos", "id"))
+    rows = asked.select(F.col(key).alias("_k"), F.posexplode(evidence_ids(F.col(ids))).alias("_pos", "_id"))
     texts = []
     for n, s in enumerate(sources):
-        rows = rows.join(s.select(F.col("id"), F.col("text").alias(f"_t{n}")), "id", "left")
+        rows = rows.join(s.select(F.col("id").alias("_id"), F.col("text").alias(f"_t{n}")), "_id", "left")
         texts.append(F.col(f"_t{n}"))
-    found = rows.withColumn("text", F.coalesce(*texts)).where("text is not null")
-    found = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_c")).select(F.col(key).alias("_k"), F.transform("_c", lambda s: s["text"]).alias("texts"))
+    found = rows.withColumn("_text", F.coalesce(*texts)).where("_text is not null")
+    found = found.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_pos", "_text"))).alias("_c")).select("_k", F.transform("_c", lambda s: s["_text"]).alias("texts"))
     return asked.select(key).join(found, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, F.coalesce("texts", F.array().cast("array<string>")).alias("texts"))

@@ -123,8 +123,8 @@ def report_files(spark: SparkSession, root: str) -> DataFrame:
     df = df.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
     k = F.regexp_extract(path_part(F.col("path"), 3), r"^niah(\d+)$", 1)
     dims = df.select("path", path_part(F.col("path"), 5).alias("model"), path_part(F.col("path"), 4).alias("mode"), k.try_cast("int").alias("k"), path_part(F.col("path"), 2).alias("judge"), "v").where("k is not null")
-    by = F.from_json(F.to_json(F.try_variant_get("v", "$.by_qtype", "variant")), "map<string,struct<accuracy:double>>")
-    every = F.map_concat(F.coalesce(F.transform_values(by, lambda _k, s: s["accuracy"]), F.create_map().cast("map<string,double>")), F.create_map(F.lit("all"), F.try_variant_get("v", "$.accuracy", "double")))
+    by = F.from_json(F.to_json(F.try_variant_get("v", "$.by_qtype", "variant")), "map<string,string>")
+    every = F.map_concat(F.coalesce(F.transform_values(by, lambda _k, s: F.from_json(s, "accuracy double")["accuracy"]), F.create_map().cast("map<string,double>")), F.create_map(F.lit("all"), F.try_variant_get("v", "$.accuracy", "double")))
     return dims.select("path", "model", "mode", "k", "judge", F.explode(every).alias("qtype", "accuracy")).where("accuracy is not null")
 
 

@@ -26,7 +26,7 @@ def write_document(df: DataFrame, path: str) -> None:
     """A small table as one pretty JSON array file; for summaries, whose size is bounded by their grouping."""
     rows = [r.asDict(recursive=True) for r in df.collect()]
     text = json.dumps(rows, ensure_ascii=False, indent=2, default=str)
-    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path, lineSep="")
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def upsert(df: DataFrame, path: str, key: str = "id") -> None:
