@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.5, 0.75
+#: Most cells (queries times distinct query terms) of the weights that are broadcast at once.
+MOST_CELLS = 20_000_000
 
 
 def terms(text: Column) -> Column:
@@ -44,6 +48,71 @@ def bm25(queries: DataFrame, query: str, query_text: str, docs: DataFrame, doc:
     return hit.select(F.col("q"), "doc", part.alias("p")).groupBy("q", "doc").agg(F.sum("p").alias("score")).select(F.col("q").alias(query), F.col("doc").alias(doc), "score")
 
 
+def bm25_top(queries: DataFrame, query: str, query_text: str, docs: DataFrame, doc: str, text: str, k: int, digits: int = 6, k1: float = K1, b: float = B) -> DataFrame:
+    """(query, doc, score, rank): the k best documents by BM25 of a stated set of queries, ties by document.
+
+    The same scores as ``bm25``, rounded, but nothing is paired: document
+    frequencies of the asked terms are one aggregation; the weights of a block
+    of queries are broadcast, at most ``MOST_CELLS`` at once; each task
+    multiplies batches of documents with them where these lie and keeps its k
+    best per query. Ids must be bigint.
+    """
+    spark = docs.sparkSession
+    asked = queries.where(F.col(query_text).isNotNull() & F.col(query).isNotNull()).select(F.col(query).alias("q"), F.explode(terms(F.col(query_text))).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("n"))
+    have = docs.where(F.col(text).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), terms(F.col(text)).alias("t"))
+    schema = "q bigint, doc bigint, score double"
+    size = have.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("t")).alias("avgdl")).first()
+    vocabulary = asked.select("term").distinct()
+    frequency = have.select(F.explode(F.array_distinct("t")).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = {r["term"]: float(np.log((size["N"] - r["df"] + 0.5) / (r["df"] + 0.5) + 1)) for r in frequency.collect()}  # one per term of the stated queries
+    rows = asked.orderBy("q", "term").collect()
+    ids = sorted({r["q"] for r in rows})
+    step = max(1, MOST_CELLS // max(1, len(idf)))
+    found = None
+    for at in range(0, len(ids), step):
+        block = {q: i for i, q in enumerate(ids[at : at + step])}
+        mine = [r for r in rows if r["q"] in block and r["term"] in idf]
+        words = {w: i for i, w in enumerate(sorted({r["term"] for r in mine}))}
+        weights = np.zeros((len(words), len(block)))
+        for r in mine:
+            weights[words[r["term"]], block[r["q"]]] = r["n"] * idf[r["term"]]
+        shared = spark.sparkContext.broadcast((list(block), words, weights, float(size["avgdl"] or 0.0)))
+        one = have.mapInPandas(_best_documents(shared, k, digits, k1, b), schema)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.asc("doc")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("doc").alias(doc), "score", "rank")
+
+
+def _best_documents(shared, k: int, digits: int, k1: float, b: float):
+    def run(frames):
+        ids, words, weights, avgdl = shared.value
+        best = None  # scores and documents, one row per query
+        for f in frames:
+            if not len(f) or not len(words):
+                continue
+            tf = np.zeros((len(f), len(words)))
+            length = np.zeros(len(f))
+            for i, t in enumerate(f["t"]):
+                length[i] = len(t)
+                at = [words[w] for w in t if w in words]
+                np.add.at(tf[i], at, 1.0)
+            scaled = tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / avgdl))[:, None])
+            s = np.round((scaled @ weights).T, digits)
+            d = np.broadcast_to(f["doc"].to_numpy(), s.shape)
+            if best is not None:
+                s, d = np.hstack([best[0], s]), np.hstack([best[1], d])
+            order = np.lexsort((d, -s), axis=1)[:, :k]
+            best = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+        if best is not None:
+            q = np.repeat(np.array(ids, dtype=np.int64), best[0].shape[1])
+            out = pd.DataFrame({"q": q, "doc": best[1].ravel(), "score": best[0].ravel()})
+            yield out[out["score"] > 0]
+
+    return run
+
+
 def top_scores(scores: DataFrame, query: str, doc: str, k: int, digits: int | None = 6) -> DataFrame:
     """The k best rows per query, ties by document; scores rounded to ``digits`` first where given."""
     s = scores if digits is None else scores.withColumn("score", F.round("score", digits))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keepsake.functions import answers as A
 from keepsake.functions import formats
 from keepsake.operators import corpus, lexical, lookups, memory, metrics, ranking, scoring, summaries, timestamps, usage, vectors
-from keepsake.runtime import table
+from keepsake.runtime import spread, table
 from keepsake.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -602,7 +602,9 @@ def _bm25(spark: SparkSession, d: str) -> DataFrame:
 @register(_BM + """select ann_no, doc_id, round(score, 6) as score, row_number() over (partition by ann_no order by round(score, 6) desc, doc_id) as rank from s qualify rank <= 10""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Every 20th question against all documents."""
-    return lexical.top_scores(_bm25(spark, d), "ann_no", "doc_id", 10).select("ann_no", "doc_id", "score", big(F.col("rank")).alias("rank"))
+    q = table(spark, d, "qa_annotations").where("ann_no % 20 = 0").select("ann_no", "question")
+    out = lexical.bm25_top(q, "ann_no", "question", spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", 10)
+    return out.select("ann_no", "doc_id", "score", big(F.col("rank")).alias("rank"))
 
 
 @register(_BM + """, m as (select ann_no, doc_id, coalesce(score, 0.0) as l, ((doc_id * 31 + ann_no * 17) % 1000) / 1000.0 as sem from (select distinct ann_no from q) cross join (select doc_id from documents where text is not null) left join s using (ann_no, doc_id)),

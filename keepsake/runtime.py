@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import types
 import uuid
 from pathlib import Path
 
@@ -58,11 +56,13 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker process."""
-    name = "_keepsake_worker_cache"
-    if name not in sys.modules:
-        module = types.ModuleType(name)
-        module.store = {}
-        sys.modules[name] = module
-    return sys.modules[name].store
+def spread(df: DataFrame, per_task: int = 4_000_000) -> DataFrame:
+    """``df`` over all cores if its scan is too small to be split; larger tables stay where they lie.
+
+    A file of one row group is one task, however many cores wait for the costly
+    work on its rows. By the plan's own size, a table under ``per_task`` bytes a
+    core is dealt out once; what is larger has splits enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < per_task * cores else df

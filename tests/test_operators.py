@@ -164,6 +164,20 @@ def test_embedding(spark):
     assert got == [[1.0, 0.0], [0.0, 0.0]]
 
 
+def test_bm25_in_blocks(spark, rows):
+    rng = random.Random(3)
+    word = lambda: rng.choice("ab cd ef gh ij kl".split())
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randrange(9)))) for i in range(60)] + [(99, None)], "d bigint, t string").repartition(3)
+    qs = spark.createDataFrame([(i, f"{word()} {word()} {word()} zz") for i in range(7)] + [(8, None), (9, "zz")], "q bigint, t string")
+    want = rows(lexical.top_scores(lexical.bm25(qs, "q", "t", docs, "d", "t"), "q", "d", 4).select("q", "d", "score", "rank"))
+    for most in (lexical.MOST_CELLS, 10):
+        old, lexical.MOST_CELLS = lexical.MOST_CELLS, most
+        got = rows(lexical.bm25_top(qs, "q", "t", docs, "d", "t", 4))
+        lexical.MOST_CELLS = old
+        assert got == want
+    assert rows(lexical.bm25_top(qs, "q", "t", docs.where("d < 0"), "d", "t", 4)) == []
+
+
 def test_hybrid(spark, rows):
     lex = spark.createDataFrame([("q", "a", 4.0), ("q", "b", 2.0)], "q string, d string, score double")
     sem = spark.createDataFrame([("q", "a", 0.0), ("q", "b", 1.0), ("q", "c", 0.5), ("p", "a", 0.25)], "q string, d string, score double")
