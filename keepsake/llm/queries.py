@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.llm import encode, mixing, neardup, pairs, pii, quality, topn
-from keepsake.runtime import table
+from keepsake.runtime import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Each annotated pair whose answer is unfit for scoring, with its defect."""
-    rows = table(spark, d, "qa_annotations")
+    rows = spread(table(spark, d, "qa_annotations").select("ann_no", "question", "answer"))
     return pairs.broken_pairs(rows, "ann_no", "question", "answer", table(spark, d, "common_words")).withColumnRenamed("key", "ann_no")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs (rec_a < rec_b) of one group of image records with nearly the same captions."""
-    recs = table(spark, d, "image_batch_results").where(F.col("caption").rlike(r"\S"))
+    recs = spread(table(spark, d, "image_batch_results").select("rec_no", "caption", "short_caption")).where(F.col("caption").rlike(r"\S"))
     groups = neardup.near_duplicate_groups(recs, "rec_no", neardup.words("caption", "short_caption"))
     a = groups.select("group", F.col("id").alias("rec_a"))
     b = groups.select("group", F.col("id").alias("rec_b"))
@@ -43,7 +43,7 @@ def _p5(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "retrieval_items").select(F.lit("retrieval_items").alias("origin"), "row_no", "text")
     passages = table(spark, d, "text_passages").select(F.lit("text_passages").alias("origin"), F.col("idx").alias("row_no"), "text")
     model = pii.fit_names(table(spark, d, "contacts"))
-    return items.unionByName(passages).select("origin", "row_no", pii.redacted(F.col("text"), model, EXAMPLE_KEY).alias("r"))
+    return spread(items.unionByName(passages)).select("origin", "row_no", pii.redacted(F.col("text"), model, EXAMPLE_KEY).alias("r"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,17 +59,17 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Every document's token ids by byte_bpe_50k."""
-    return table(spark, d, "documents").select("doc_id", encode.token_ids(spark, F.col("text")).alias("ids"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", encode.token_ids(spark, F.col("text")).alias("ids"))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """The uses of every document in each mix of mix_targets, with the shares reached."""
-    docs = table(spark, d, "documents").select("doc_id", "source", encode.token_count(spark, F.col("text")).alias("n_tokens"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", encode.token_count(spark, F.col("text")).alias("n_tokens"))
     return mixing.mix_sources(docs, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
 
 
 def _p8(spark: SparkSession, d: str, only: tuple[str, ...] | None = None) -> DataFrame:
-    docs, words = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "common_words")
+    docs, words = spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "common_words")
     rules = quality.learn_kinds(docs, "doc_id", "text", words, table(spark, d, "doc_labels"))
     return quality.with_kind(quality.with_statistics(docs, "text", words, only), rules)
 
