@@ -105,7 +105,9 @@ def with_statistics(df: DataFrame, text: str, common_words: DataFrame, only: tup
     made = [F.when(has, c).alias(f"_{k}") for k, c in pieces(F.col(text), common or [""]).items()]
     staged = df.select(*keep, *made)
     stats = statistics(F.col(text), *[F.col(f"_{k}") for k in ("words", "frequent", "lines", "parts")])
-    return staged.select(*keep, F.when(F.col("_words").isNotNull(), F.struct(*[c.alias(k) for k, c in stats.items() if only is None or k in only])).alias("stats"))
+    # A row number, which no filter may pass: a filter on what follows would else be moved here and compute it all again.
+    once = F.col("_words").isNotNull() & (F.monotonically_increasing_id() >= 0)
+    return staged.select(*keep, F.when(once, F.struct(*[c.alias(k) for k, c in stats.items() if only is None or k in only])).alias("stats"))
 
 
 @dataclass(frozen=True)
