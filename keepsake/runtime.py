@@ -56,7 +56,7 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def spread(df: DataFrame, per_task: int = 4_000_000) -> DataFrame:
+def spread(df: DataFrame, per_task: int = 1_000_000) -> DataFrame:
     """``df`` over all cores if its scan is too small to be split; larger tables stay where they lie.
 
     A file of one row group is one task, however many cores wait for the costly
