@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs (rec_a < rec_b) of one group of image records with nearly the same captions."""
-    recs = spread(table(spark, d, "image_batch_results").select("rec_no", "caption", "short_caption")).where(F.col("caption").rlike(r"\S"))
+    recs = spread(table(spark, d, "image_batch_results").select("rec_no", "caption", "short_caption")).where(F.col("caption").rlike(r"[^\s\p{Z}]"))
     groups = neardup.near_duplicate_groups(recs, "rec_no", neardup.words("caption", "short_caption"))
     a = groups.select("group", F.col("id").alias("rec_a"))
     b = groups.select("group", F.col("id").alias("rec_b"))
@@ -87,7 +87,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 P2_SQL = r"""
 with recursive r as (
   select rec_no, list_distinct(regexp_extract_all(lower(coalesce(caption, '') || ' ' || coalesce(short_caption, '')), '[a-z0-9]+')) as w
-  from image_batch_results where regexp_matches(caption, '\S')),
+  from image_batch_results where regexp_matches(caption, '[^\s\p{Z}]')),
 x as (select rec_no, len(w) as n, unnest(w) as word from r),
 e as (
   select a.rec_no as u, b.rec_no as v from x a join x b on a.word = b.word and a.rec_no <> b.rec_no
