@@ -23,13 +23,12 @@ RULE_FEATURES = (
 )
 
 
-def pieces(text: Column, common: list[str]) -> dict[str, Column]:
-    """The arrays that several statistics share: words, those of them that are frequent, lines and sentence parts."""
+def pieces(text: Column) -> dict[str, Column]:
+    """The arrays that several statistics share: words, lines and sentence parts."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*)"), F.lit(1))
     parts = F.filter(F.split(text, r"[.!?。！？\n\r]+"), lambda s: s.rlike(r"\S"))
     return {
         "words": words,
-        "frequent": F.filter(words, lambda w: w.isin(common)),
         "lines": F.filter(F.split(text, r"\r\n|[\n\r\u2028]"), lambda s: s.rlike(r"\S")),
         "parts": F.transform(parts, lambda s: F.trim(s)),
     }
@@ -102,8 +101,8 @@ def with_statistics(df: DataFrame, text: str, common_words: DataFrame, only: tup
     keep = [c for c in df.columns if c != "stats"]
     has = F.col(text).rlike(r"[^\s\p{Z}\u200B\uFEFF]")
     # Arrays first and statistics second, so that each array is made once.
-    made = [F.when(has, c).alias(f"_{k}") for k, c in pieces(F.col(text), common or [""]).items()]
-    staged = df.select(*keep, *made)
+    made = [F.when(has, c).alias(f"_{k}") for k, c in pieces(F.col(text)).items()]
+    staged = df.select(*keep, *made).withColumn("_frequent", F.filter("_words", lambda w: w.isin(common or [""])))
     stats = statistics(F.col(text), *[F.col(f"_{k}") for k in ("words", "frequent", "lines", "parts")])
     # A row number, which no filter may pass: a filter on what follows would else be moved here and compute it all again.
     once = F.col("_words").isNotNull() & (F.monotonically_increasing_id() >= 0)
