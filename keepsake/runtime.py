@@ -56,13 +56,11 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def spread(df: DataFrame, per_task: int = 1_000_000) -> DataFrame:
-    """``df`` over all cores if its scan is too small to be split; larger tables stay where they lie.
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its scan has fewer splits than there are cores.
 
     A file of one row group is one task, however many cores wait for the costly
-    work on its rows. By the plan's own size, a table under ``per_task`` bytes a
-    core is dealt out once; what is larger has splits enough.
+    work on its rows. A table with a split for every core stays where it lies.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < per_task * cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
