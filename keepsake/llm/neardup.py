@@ -13,19 +13,24 @@ from keepsake.operators.graph import connected_components
 from keepsake.runtime import cut
 
 #: A part of a word set may differ in at most this many words; a part has 2^(RADIUS+1)-1 masks.
-RADIUS = 3
+RADIUS = 2
 #: Buckets with more word sets than this are split by further tables.
-BUCKET = 256
+BUCKET = 4096
 #: Times that overfull buckets are split before the rest is compared as it is.
-DEPTH = 3
-#: At most this many bucket keys (16 bytes each) are broadcast.
-MOST_SENT = 200_000
+DEPTH = 5
+#: A key is hot, and kept out of the shuffle, if it holds more than one in so many of all (set, key) rows.
+#: No more keys than this can, so the hot keys sent to every task have at most 16 bytes times this.
+SHARE = 50_000
+#: Sets whose keys are counted to find hot keys: one in so many, by hash.
+PEEK = 16
+#: The size that stands for itself and all above; the bit above it marks the rows of hot keys.
+LONG = 0x7FFF
 
 
 def words(*texts: str) -> Column:
     """Sorted distinct runs of a-z and 0-9 of the lower-cased texts; null counts as empty."""
     joined = F.concat_ws(" ", *[F.coalesce(F.col(t), F.lit("")) for t in texts])
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(joined), F.lit("([a-z0-9]+)"), F.lit(1))))
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(F.lower(joined), "[^a-z0-9]+"), "")))
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -40,16 +45,17 @@ def families(n: int, similarity: float, radius: int = RADIUS) -> list[tuple[int,
     """(parts, radius per part) of every difference that a set of n words may have to a partner.
 
     Sets of a and b words are alike only if they differ in at most
-    r = floor((a + b)(1 - s)/(1 + s)) words. Over ceil((r+1)/(radius+1)) parts,
-    one part differs in at most floor(r/parts) words.
+    r = floor((a + b)(1 - s)/(1 + s)) words. Over more than r/(radius+1) parts,
+    one part differs in at most radius words. Numbers of parts are powers of
+    two, so that most sizes need one family only.
     """
     c = (1 - similarity) / (1 + similarity)
     least = math.floor(c * (n + math.ceil(similarity * n - 1e-9)) + 1e-9)
     most = math.floor(c * (n + math.floor(n / similarity + 1e-9)) + 1e-9)
     out = []
-    for r in range(max(1, least), most + 1):
-        parts = -(-(r + 1) // (radius + 1))
-        if (f := (parts, r // parts)) not in out:
+    for r in range(least, most + 1):
+        f = (1, max(1, r)) if r <= radius else (1 << (r // (radius + 1)).bit_length(), radius)
+        if f not in out:
             out.append(f)
     return out
 
@@ -104,60 +110,174 @@ def covering_keys(sizes: np.ndarray, hashes: np.ndarray, similarity: float, seed
     return np.concatenate(keys)[order], np.bincount(owner, minlength=n)
 
 
-def parity_sketch(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits per set, each word flips one: two sketches differ in no more bits than the sets in words."""
-    bit = _mix(hashes, 424242) >> np.uint64(57)
+def size_and_sketch(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers per set: its size (15 bits, 32,767 for all above), a bit left clear, and 112 bits of which each word flips one.
+
+    Two sketches differ in no more bits than the two sets in words.
+    """
+    bit = _mix(hashes, 424242) % np.uint64(112) + np.uint64(16)
     one = np.uint64(1) << (bit & np.uint64(63))
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    full = sizes > 0
-    out = []
-    for half in (bit < 64, bit >= 64):
-        x = np.zeros(len(sizes), dtype=np.uint64)
-        if len(hashes):
-            x[full] = np.bitwise_xor.reduceat(np.where(half, one, np.uint64(0)), starts[full])
-        out.append(x.view(np.int64))
-    return out[0], out[1]
+    out = np.minimum(sizes, LONG).astype(np.uint64), np.zeros(len(sizes), dtype=np.uint64)
+    if len(hashes):
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        full = sizes > 0
+        for x, half in zip(out, (bit < 64, bit >= 64)):
+            x[full] |= np.bitwise_xor.reduceat(np.where(half, one, np.uint64(0)), starts[full])
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, values) of an Arrow column of hash lists."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _record(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
 
-def _keyed(sets: DataFrame, similarity: float, seed: int) -> DataFrame:
-    """(rep, n, s1, s2, keys) of sets (rep, words)."""
+def _keyed(sets: DataFrame, similarity: float, level: int, hot: dict[int, tuple[int, int, int]] | None = None) -> DataFrame:
+    """(key, rep, s1, s2 and, above level 0, comp) for each key of sets (rep, h, comp, parent).
+
+    A key is unique to its parent bucket and level. A row of a hot key is
+    marked in s1 and gets a random key, so that it is shuffled anywhere, whose
+    lower bits give the hot key's place in order.
+    """
+    hot_keys = np.array(sorted(hot or {}), dtype=np.int64)
 
     def run(batches):
         for b in batches:
-            lists = b.column("h")
-            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            keys, counts = covering_keys(sizes, hashes, similarity, seed)
-            s1, s2 = parity_sketch(sizes, hashes)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("rep"), pa.array(sizes, pa.int32()), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(offsets, pa.array(keys))],
-                ["rep", "n", "s1", "s2", "keys"],
-            )
-
-    given = sets.select("rep", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    return given.mapInArrow(run, "rep bigint, n int, s1 bigint, s2 bigint, keys array<bigint>")
-
-
-def _close(similarity: float) -> Column:
-    """The sketches and sizes of a and b allow the similarity; never wrong for a pair that has it."""
+            sizes, hashes = _flat(b.column("h"))
+            keys, counts = covering_keys(sizes, hashes, similarity, level)
+            of = np.repeat(np.arange(len(sizes)), counts)
+            rep = b.column("rep").to_numpy()
+            s1, s2 = (x[of] for x in size_and_sketch(sizes, hashes))
+            if level:
+                keys = _mix(keys.view(np.uint64) ^ _mix(b.column("parent").to_numpy().view(np.uint64)[of], level), 77).view(np.int64)
+            if len(hot_keys):
+                at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
+                is_hot = hot_keys[at] == keys
+                s1 = np.where(is_hot, s1 | (LONG + 1), s1)
+                keys = np.where(is_hot, _mix(rep.view(np.uint64), 99).view(np.int64)[of] & ~0xFFFFF | at, keys)
+            more = {"comp": b.column("comp").to_numpy()[of]} if level else {}
+            yield _record(key=keys, rep=rep[of], s1=s1, s2=s2, **more)
+
+    return sets.select("rep", "h", "comp", "parent").mapInArrow(run, "key bigint, rep bigint, s1 bigint, s2 bigint" + ", comp bigint" * (level > 0))
+
+
+def _hot(sets: DataFrame, similarity: float, level: int, bucket: int) -> dict[int, tuple[int, int, int]]:
+    """A member (rep, s1, s2) of each hot key: the keys that hold so large a share of all rows that at most SHARE can.
+
+    One in PEEK of the sets, by hash, is counted. A key that chance hides
+    is merely shuffled to one task like the others, so nothing depends on it.
+    """
+    seen = sets.where(F.pmod(F.xxhash64("rep", F.lit(16)), F.lit(PEEK)) == 0)
+    counts = _keyed(seen, similarity, level).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("rep", "s1", "s2")).alias("m"))
+    counts = cut(counts.where(F.col("c") > max(bucket // PEEK, 4)))
+    if counts.isEmpty():
+        return {}
+    total = _keyed(seen, similarity, level).count()
+    return {r.key: tuple(r.m) for r in counts.where(F.col("c") > total / SHARE).collect()}
+
+
+def _paired(rows: DataFrame, similarity: float, bucket: int | None, hot: dict[int, tuple[int, int, int]]) -> DataFrame:
+    """(src, dst, key) from the rows of ``_keyed``, each bucket being read as one sorted run.
+
+    A bucket of up to ``bucket`` sets gives its pairs that sizes and sketches
+    allow, with a null key. A larger one, or one of a hot key, gives its key with
+    each of its sets as dst, and one member as src if size and sketch allow it.
+    Pairs known to be of one component are left out. Without ``bucket`` every
+    bucket is paired.
+    """
     c = (1 - similarity) / (1 + similarity)
-    bits = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
-    return (
-        (bits <= (F.col("a.n") + F.col("b.n")) * c + 1e-9)
-        & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * similarity - 1e-9)
-    )
+    names = ["key", "rep", "s1", "s2"] + ["comp"] * ("comp" in rows.columns)
+    hot_keys = np.array(sorted(hot), dtype=np.int64)
+    centers = np.array([hot[k] for k in sorted(hot)], dtype=np.int64).reshape(-1, 3).T
+
+    def allowed(a1, a2, b1, b2):
+        na, nb = a1 & LONG, b1 & LONG
+        apart = np.bitwise_count((a1 ^ b1).view(np.uint64) >> np.uint64(16)) + np.bitwise_count((a2 ^ b2).view(np.uint64))
+        long = (na == LONG) | (nb == LONG)
+        return long | ((apart <= (na + nb) * c + 1e-9) & (np.minimum(na, nb) >= np.maximum(na, nb) * similarity - 1e-9))
+
+    def pairs(cols, start=0):
+        """The allowed pairs within the runs of equal keys; the second of a pair is at ``start`` or later."""
+        key, rep, s1, s2 = cols[:4]
+        comp = cols[-1] if len(cols) > 4 else rep
+        src, dst = [], []
+        at, d = np.arange(len(key)), 0
+        while True:
+            d += 1
+            at = at[at < len(key) - d]
+            at = at[key[at] == key[at + d]]
+            if not len(at):
+                break
+            i = at[at + d >= start]
+            i = i[(comp[i] != comp[i + d]) & (rep[i] != rep[i + d])]
+            i = i[allowed(s1[i], s2[i], s1[i + d], s2[i + d])]
+            if len(i):
+                src.append(np.minimum(rep[i], rep[i + d]))
+                dst.append(np.maximum(rep[i], rep[i + d]))
+        if src:
+            both = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)]), axis=1)
+            yield _record(src=both[0], dst=both[1], key=pa.nulls(both.shape[1], pa.int64()))
+
+    def stars(key, cols, center):
+        """Each set of a full bucket; ``center`` is (rep, s1, s2) of one member, for all or for each."""
+        rep, s1, s2 = cols[1:4]
+        if len(rep):
+            src = pa.array(np.broadcast_to(center[0], rep.shape).copy(), mask=~allowed(s1, s2, np.broadcast_to(center[1], rep.shape), center[2]))
+            yield _record(src=src, dst=rep, key=np.broadcast_to(key, rep.shape).copy())
+
+    def run(batches):
+        none = tuple(np.zeros(0, np.int64) for _ in names)
+        held, full = none, None  # the run that may go on; (key, center) of a full bucket that may go on
+        for b in batches:
+            new = tuple(b.column(n).to_numpy() for n in names)
+            if (is_hot := (new[2] & (LONG + 1)) > 0).any():
+                at = new[0][is_hot] & 0xFFFFF
+                yield from stars(hot_keys[at], tuple(x[is_hot] for x in new), centers[:, at])
+                new = tuple(x[~is_hot] for x in new)
+            if full is not None:
+                n = int(np.searchsorted(new[0], full[0], side="right"))
+                yield from stars(full[0], tuple(x[:n] for x in new), full[1])
+                new = tuple(x[n:] for x in new)
+            if not len(new[0]):
+                continue
+            full, start = None, len(held[0])
+            cols = tuple(np.concatenate([x, y]) for x, y in zip(held, new))
+            key = cols[0]
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            if bucket is None:
+                yield from pairs(cols, start)
+                held = tuple(x[heads[-1] :] for x in cols)
+                continue
+            counts = np.diff(np.append(heads, len(key)))
+            center = [x[heads + key[heads] % counts] for x in cols[1:4]]
+            over = np.repeat(counts > bucket, counts)
+            yield from stars(key[over], tuple(x[over] for x in cols), [np.repeat(x, counts)[over] for x in center])
+            whole = ~over
+            whole[heads[-1] :] = False
+            yield from pairs(tuple(x[whole] for x in cols))
+            full = (key[-1], [x[-1] for x in center]) if counts[-1] > bucket else None
+            held = none if full else tuple(x[heads[-1] :] for x in cols)
+        if bucket is not None and len(held[0]):
+            yield from pairs(held)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "src bigint, dst bigint, key bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (src, dst) whose word sets reach the similarity, by the words themselves."""
-    a = sets.select(F.col("rep").alias("src"), F.col("words").alias("wa"))
-    b = sets.select(F.col("rep").alias("dst"), F.col("words").alias("wb"))
+    """The pairs (src, dst) whose word sets reach the similarity, by the hashes of all their words."""
+    a = sets.select(F.col("rep").alias("src"), F.col("h").alias("wa"))
+    b = sets.select(F.col("rep").alias("dst"), F.col("h").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     return (
-        pairs.distinct()
+        pairs.where("src <> dst")
+        .distinct()
+        .hint("merge")
         .join(a, "src")
+        .hint("merge")
         .join(b, "dst")
         .withColumn("shared", shared)
         .where(F.col("shared") >= (F.size("wa") + F.size("wb") - F.col("shared")) * similarity - 1e-9)
@@ -165,19 +285,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     )
 
 
-def _apart(rows: DataFrame) -> Column:
-    """The two sets are not yet known to be of one component."""
-    return F.col("a.comp") != F.col("b.comp") if "comp" in rows.columns else F.lit(True)
-
-
-def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    return (
-        rows.alias("a")
-        .join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & _apart(rows) & _close(similarity))
-        .select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
-    )
-
-
 def near_duplicate_groups(
     df: DataFrame, id_col: str, word_col: Column, similarity: float = 0.8, bucket: int = BUCKET, depth: int = DEPTH
 ) -> DataFrame:
@@ -185,70 +292,54 @@ def near_duplicate_groups(
 
     Records are alike if the words they share are at least ``similarity`` of
     all distinct words of the two; a group is all records linked directly or
-    through others. Records whose words are null or none belong to no group, as
-    do records with a null id. Equal word sets are collapsed to one
-    representative first, so copies cost nothing later. Ids must be unique.
+    through others. Words are compared by 64-bit hashes. Records whose words
+    are null or none belong to no group, as do records with a null id. Equal
+    word sets are collapsed to one representative first, so copies cost nothing
+    later. Ids must be unique.
 
     Every pair of sets within reach meets in some table (``covering_keys``).
-    Pairs of a bucket are screened by size and sketch inside the join and
-    verified by their words. A bucket above ``bucket`` sets is not paired: its
-    sets are compared with its smallest one, and those not yet known to be one
-    component are spread over the tables of a further independent family. What
-    is overfull after ``depth`` splits is compared across components as it is.
+    The (set, key) rows are shuffled once by key, and each bucket is read as a
+    sorted run. Pairs of a bucket are screened by size and sketch and verified
+    by their words. A bucket above ``bucket`` sets is not paired: its sets are
+    compared with one of them, and, if they are then still of more than one
+    component, spread over the tables of a further independent family. What is
+    overfull after ``depth`` splits is compared across components as it is.
     """
-    recs = df.select(F.col(id_col).alias("id"), word_col.alias("words")).where("id is not null and size(words) > 0")
-    recs = cut(recs.withColumn("set", F.sha2(F.concat_ws(" ", "words"), 256)))
-    sets = cut(recs.groupBy("set").agg(F.min("id").alias("rep"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies")))
-    links = cut(_links(sets.select("rep", "words"), similarity, bucket, depth))
+    recs = df.select(F.col(id_col).alias("id"), F.sort_array(F.transform(word_col, lambda w: F.xxhash64(w))).alias("h")).where("id is not null and size(h) > 0")
+    recs = cut(recs.select("id", F.xxhash64("h").alias("ha"), F.xxhash64(F.lit(1), "h").alias("hb"), "h"))
+    sets = cut(recs.groupBy("ha", "hb").agg(F.min("id").alias("rep"), F.first("h").alias("h"), F.count(F.lit(1)).alias("copies")))
+    links = _links(sets.select("rep", "h"), similarity, bucket, depth)
     comps = connected_components(links).withColumnRenamed("node", "rep")
     labels = (
-        sets.select("set", "rep", "copies")
+        sets.select("ha", "hb", "rep", "copies")
+        .hint("merge")
         .join(comps, "rep", "left")
         .where("component is not null or copies > 1")
-        .select("set", F.coalesce("component", "rep").alias("group"))
+        .select("ha", "hb", F.coalesce("component", "rep").alias("group"))
     )
-    return recs.select("id", "set").join(labels, "set").select("id", "group")
-
-
-def _small(keys: DataFrame) -> DataFrame:
-    """``keys`` marked for broadcast once they are counted to be few; else they are joined by a shuffle."""
-    return F.broadcast(keys) if keys.limit(MOST_SENT + 1).count() <= MOST_SENT else keys
-
-
-def _full_keys(rows: DataFrame, bucket: int) -> DataFrame:
-    """(key, center) of the buckets above ``bucket`` sets of which not all are known to be one component.
-
-    A sixteenth of the sets, by hash, points out keys that may be full; only
-    those are counted. A full bucket that it misses is merely paired as it is.
-    """
-    part = rows.where(F.pmod(F.xxhash64("rep", F.lit(16)), F.lit(16)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    maybe = _small(cut(part.where(F.col("c") * 16 > F.lit(bucket * 3 // 4)).select("key")))
-    sizes = rows.join(maybe, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("center"))
-    return sizes.where((F.col("c") > bucket) & (F.col("lo") != F.col("hi"))).select("key", "center")
+    return recs.select("id", "ha", "hb").hint("merge").join(labels, ["ha", "hb"]).select("id", "group")
 
 
 def _links(sets: DataFrame, similarity: float, bucket: int, depth: int) -> DataFrame:
-    keyed = cut(_keyed(sets, similarity, 0))
-    rows = keyed.select(F.explode("keys").alias("key"), "rep", "n", "s1", "s2", F.col("rep").alias("comp"))
+    todo = sets.select("rep", "h", F.col("rep").alias("comp"), F.lit(0).cast("bigint").alias("parent"))
     found = None
-    slim = lambda r, level: r.drop("comp") if level == 1 else r  # noqa: E731  (at first every set is its own component)
-    for level in range(1, depth + 2):
-        hot = cut(_full_keys(rows, bucket))
-        if hot.isEmpty() or level > depth:
-            new = _verified(_pairs(slim(rows, level), similarity), sets, similarity)
-            return new if found is None else found.unionByName(new).distinct()
-        sent = _small(hot)
-        cold = rows.join(sent.select("key") if sent is hot else F.broadcast(hot.select("key")), "key", "left_anti")
-        full = rows.join(sent, "key")
-        stars = full.where("rep <> center").select(F.col("center").alias("src"), F.col("rep").alias("dst")).distinct()
-        new = cut(_verified(_pairs(slim(cold, level), similarity).unionByName(stars), sets, similarity))
-        found = new if found is None else cut(found.unionByName(new).distinct())
+    for level in range(depth + 1):
+        last = level == depth
+        hot = {} if last else _hot(todo, similarity, level, bucket)
+        rows = _keyed(todo, similarity, level, hot)
+        out = cut(_paired(rows, similarity, None if last else bucket, hot))
+        new = _verified(out.select("src", "dst"), sets, similarity)
+        found = cut(new if found is None else found.unionByName(new).distinct())
+        full = out.where("key is not null").select("key", F.col("dst").alias("rep"))
+        if last or full.isEmpty():
+            return found
+        # Buckets whose sets are not yet of one component go on to the next family.
         comps = connected_components(found).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-        finer = _keyed(sets.join(full.select("rep").distinct(), "rep", "left_semi"), similarity, level).select("rep", F.explode("keys").alias("k2"))
-        rows = cut(
-            full.drop("comp", "center")
-            .join(comps, "rep", "left")
-            .join(finer, "rep")
-            .select(F.xxhash64("key", "k2").alias("key"), "rep", "n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))
-        )
+        members = full.hint("merge").join(comps, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        members = cut(members)
+        open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        kept = members.hint("shuffle_hash").join(open_keys, "key", "left_semi").select(F.col("key").alias("parent"), "rep", "comp")
+        todo = cut(kept.hint("merge").join(sets, "rep").select("rep", "h", "comp", "parent"))
+        if todo.isEmpty():
+            return found
     return found

@@ -93,3 +93,37 @@ def test_extra_and_clashing_columns(spark, rows):
     df = spark.createDataFrame([(1, "a b c d e", "x"), (2, "e d c b a", "y")], "id bigint, words string, rep string")
     assert rows(neardup.near_duplicate_groups(df, "id", neardup.words("words"))) == [(1, 1), (2, 1)]
     assert rows(df.select(neardup.words("words", "rep"))) == rows(df.select(F.expr("sort_array(array_distinct(split(words || ' ' || rep, ' ')))")))
+
+
+def test_hot_keys_stay_out_of_the_shuffle_by_key(spark, rows, monkeypatch):
+    """Every set is counted and small shares count as hot, so that hot keys and their rows do occur."""
+    monkeypatch.setattr(neardup, "PEEK", 1)
+    monkeypatch.setattr(neardup, "SHARE", 10_000)
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(30)]
+    data = list(enumerate(variants(rng, base, 60, 3) + [" ".join(f"r{rng.randrange(500)}" for _ in range(30)) for _ in range(60)]))
+    sets = spark.createDataFrame(data, "rep bigint, t string").select("rep", F.transform(neardup.words("t"), lambda w: F.xxhash64(w)).alias("h"), F.col("rep").alias("comp"), F.lit(0).cast("bigint").alias("parent"))
+    assert neardup._hot(sets, 0.8, 0, 8)
+    assert run(spark, rows, data, bucket=8) == groups(data)
+
+
+def test_rows_of_keys_are_never_broadcast(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "b c d e f a x"), (3, "q r s")], "id bigint, t string")
+    sets = df.select(F.col("id").alias("rep"), F.transform(neardup.words("t"), lambda w: F.xxhash64(w)).alias("h"), F.col("id").alias("comp"), F.lit(0).cast("bigint").alias("parent"))
+    pairs = neardup._paired(neardup._keyed(sets, 0.8, 0), 0.8, 256, {})
+    for df in (pairs, neardup._verified(pairs.select("src", "dst"), sets, 0.8)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "CartesianProduct" not in plan
+
+
+def test_no_pair_within_reach_is_screened_out():
+    """Sketches of sets with few differing words differ in no more bits, over many random sets."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(1, 90))
+        a = rng.integers(1, 2**63, n, dtype=np.uint64)
+        k = int(rng.integers(0, n // 5 + 1))
+        b = np.concatenate([a[k:], rng.integers(1, 2**63, int(rng.integers(0, 3)), dtype=np.uint64)])
+        s1, s2 = neardup.size_and_sketch(np.array([len(a), len(b)]), np.concatenate([a, b]))
+        bits = sum(bin(int(x[0] ^ x[1]) & (2**64 - 1) & ~m).count("1") for x, m in ((s1, 0xFFFF), (s2, 0)))
+        assert bits <= len(np.setxor1d(a, b)) and [int(x) & neardup.LONG for x in s1] == [len(a), len(b)]
