@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,15 +36,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("origin", "qa_id", "pos", "item_id")
 
 
-#: Pseudonyms of the queries; a real run passes its own secret.
-EXAMPLE_KEY = b"an example key, replace it"
+#: The setting that holds the secret of the pseudonyms, as hex digits.
+KEY_SETTING = "spark.keepsake.pseudonymKey"
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The session's secret; where it has none, a random one, whose pseudonyms hold together for one run only."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return bytes.fromhex(given) if given else secrets.token_bytes(32)
 
 
 def _p5(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "retrieval_items").select(F.lit("retrieval_items").alias("origin"), "row_no", "text")
     passages = table(spark, d, "text_passages").select(F.lit("text_passages").alias("origin"), F.col("idx").alias("row_no"), "text")
     model = pii.fit_names(table(spark, d, "contacts"))
-    return spread(items.unionByName(passages)).select("origin", "row_no", pii.redacted(F.col("text"), model, EXAMPLE_KEY).alias("r"))
+    return spread(items.unionByName(passages)).select("origin", "row_no", pii.redacted(F.col("text"), model, pseudonym_key(spark)).alias("r"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
