@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from keepsake.runtime import cut
 
@@ -180,7 +180,7 @@ def masked(text: str) -> str:
 
 def tail(text: str) -> tuple[str, str]:
     """The last two tokens, numbers as 0."""
-    toks = ["0" if t.isdigit() else t for t in _TOKEN.findall(text[-200:])]
+    toks = ["0" if t.isdigit() else t for t in _TOKEN.findall(text)[-2:]]
     return (toks[-2] if len(toks) > 1 else "", toks[-1] if toks else "")
 
 
@@ -200,7 +200,7 @@ def is_open(text: str) -> bool:
     return bool(last) and t.endswith(last[-1]) and last[-1] in (OPEN_WORDS | _SOFT) and len(words) >= 4
 
 
-_VERDICT = "defect string, mask string, ctx string, len int, words int, ended boolean"
+_VERDICT = "defect string, open boolean, mask string, ctx string, len int, words int, ended boolean"
 
 
 def _rules(lexicon: dict[str, frozenset]):
@@ -209,7 +209,7 @@ def _rules(lexicon: dict[str, frozenset]):
         rows = []
         for q, a in zip(question, answer):
             if is_empty(a):
-                rows.append(("empty", None, None, 0, 0, True))
+                rows.append(("empty", False, None, None, 0, 0, True))
                 continue
             if is_copied(q, a):
                 verdict = "copied"
@@ -217,13 +217,11 @@ def _rules(lexicon: dict[str, frozenset]):
                 verdict = "refusal"
             elif is_wrong_language(q, a, lexicon):
                 verdict = "wrong_language"
-            elif is_open(unended(a)):
-                verdict = "truncated"
             else:
                 verdict = None
             t = unended(a)
-            rows.append((verdict, masked(t), "\x00".join(tail(t)), len(t), len(t.split()), bool(_END.search(t))))
-        return pd.DataFrame(rows, columns=["defect", "mask", "ctx", "len", "words", "ended"])
+            rows.append((verdict, is_open(t), masked(t), "\x00".join(tail(t)), len(t), len(t.split()), bool(_END.search(t))))
+        return pd.DataFrame(rows, columns=["defect", "open", "mask", "ctx", "len", "words", "ended"])
 
     return run
 
@@ -238,40 +236,73 @@ def _contexts(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def successors(strings: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, nxt): for each string of ``wanted`` the next larger one of ``strings`` in byte order.
+_PIECE = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|\n|[^\w\s]")
+_STOP = frozenset(".!?…,;:)]\n。，")
+
+
+@pandas_udf(ArrayType(StructType().add("word", StringType()).add("last", BooleanType())))
+def _ends(texts: pd.Series) -> pd.Series:
+    """The distinct words of a text, by whether a sentence, line, list item or the text ends after them or a word follows."""
+    out = []
+    for t in texts:
+        toks = [*_PIECE.findall(t.strip()), "\n"] if t else []
+        seen = {(a.lower(), b in _STOP) for a, b in zip(toks, toks[1:]) if a[0].isalpha() and (b in _STOP or b[0].isalnum())}
+        out.append([{"word": w, "last": e} for w, e in sorted(seen)])
+    return pd.Series(out)
+
+
+def continuations(strings: DataFrame, wanted: DataFrame, going_on: str) -> DataFrame:
+    """(s): the distinct strings of ``wanted`` that some string of ``strings`` begins with, the rest of which matches ``going_on``.
 
     Both are one column ``s``. The distinct strings are range-partitioned and
-    sorted, and each partition compares neighbours; what the last ones of a
-    partition miss is the first string of a later partition, of which there is
-    one per partition to look up. If any string properly begins with s, the
-    next larger one does.
+    sorted, so that all that begin with s follow it. A partition is read once,
+    with the wanted strings that begin the current one on a stack; each is
+    compared with every string that it begins, until one goes on as asked. What
+    is still open at the end of a partition begins its last string, so there are
+    few; those that also begin the first string of the next are looked for there.
     """
-    both = strings.select("s", F.lit(True).alias("known")).unionByName(wanted.select("s", F.lit(False).alias("known")))
-    both = both.where("s is not null").groupBy("s").agg(F.max("known").alias("known"), F.min("known").alias("asked"))
-    both = both.withColumn("asked", ~F.col("asked"))
+    rest = re.compile(going_on)
+    both = strings.select("s", F.lit(True).alias("known"), F.lit(False).alias("asked")).unionByName(wanted.select("s", F.lit(False).alias("known"), F.lit(True).alias("asked")))
+    both = both.where("s is not null").groupBy("s").agg(F.max("known").alias("known"), F.max("asked").alias("asked"))
     ordered = cut(both.repartitionByRange("s").sortWithinPartitions("s").withColumn("pid", F.spark_partition_id()))
-    firsts = sorted((r["pid"], r["s"]) for r in ordered.where("known").groupBy("pid").agg(F.min("s").alias("s")).collect())  # one per partition
-
-    def run(frames):
-        held: list = []  # asked strings whose successor has not come yet
-        pid = None
-        for f in frames:
-            done = []
-            for s, known, asked in zip(f["s"], f["known"], f["asked"]):
-                if known and held:
-                    done += [(h, s) for h in held]
-                    held = []
-                if asked:
-                    held.append(s)
-            if len(f):
-                pid = int(f["pid"].iloc[0])
-            yield pd.DataFrame(done, columns=["s", "nxt"])
-        if held:
-            later = next((s for p, s in firsts if p > pid), None)
-            yield pd.DataFrame([(h, later) for h in held], columns=["s", "nxt"])
-
-    return ordered.mapInPandas(run, "s string, nxt string")
+
+    def reader(begun: dict[int, list[str]], first: bool):
+        def run(frames):
+            stack, pid = None, -1
+            for f in frames:
+                done = []
+                for s, known, asked, at in zip(f["s"], f["known"], f["asked"], f["pid"]):
+                    if stack is None:
+                        pid, stack = int(at), list(begun.get(int(at), []))
+                    while stack and not s.startswith(stack[-1]):
+                        stack.pop()
+                    if not stack and not first:
+                        break
+                    if known and stack:
+                        on = [x for x in stack if len(x) < len(s) and rest.match(s[len(x) :])]
+                        if on:
+                            done += on
+                            stack = [x for x in stack if x not in on]
+                    if asked and first:
+                        stack.append(s)
+                yield pd.DataFrame({"s": done, "pid": -1})
+            if first and stack:
+                yield pd.DataFrame({"s": stack, "pid": pid})
+
+        return run
+
+    out = cut(ordered.mapInPandas(reader({}, True), "s string, pid int"))
+    left = out.where("pid >= 0").collect()  # strings that begin the last one of their partition
+    found = out.where("pid < 0").select("s")
+    firsts = sorted(map(tuple, ordered.groupBy("pid").agg(F.min("s")).collect())) if left else []  # one per partition
+    begun: dict[int, list[str]] = {}
+    for s, pid in sorted((r.s, r.pid) for r in left):
+        for p, head in firsts:
+            if p > pid and head.startswith(s):
+                begun.setdefault(p, []).append(s)
+    if begun:
+        found = found.unionByName(ordered.where(F.col("pid").isin(list(begun))).mapInPandas(reader(begun, False), "s string, pid int").select("s"))
+    return found.distinct()
 
 
 def length_spikes(lengths: DataFrame, least: int = 20, factor: float = 6.0, reach: int = 5) -> DataFrame:
@@ -297,40 +328,62 @@ def lexicon_of(common_words: DataFrame) -> dict[str, frozenset]:
     return {k: frozenset(v) for k, v in out.items()}
 
 
+#: A word that so many texts go on after, and of which at most such a share end there, is one that cannot be last.
+#: Cut answers stop at every word alike, about once in a thousand; sound ones stop at few words, and far more often.
+OFTEN, SELDOM = 100, 0.008
+
+
 def broken_pairs(df: DataFrame, key: str, question: str, answer: str, common_words: DataFrame) -> DataFrame:
     """(key, defect) of each row whose answer is unfit: empty, copied, refusal, wrong_language or truncated.
 
-    A row has at most one defect, the first that holds in that order. Rules on
-    the pair itself find the first four. An answer that no sign ends is
-    truncated if it stops where no sentence can; if its last word is a part of
-    the word that others have after the same token (neighbours in sorted order);
-    if another answer, numbers and names aside, begins with it and goes on in
-    mid-sentence (again neighbours in sorted order); or if it stops at a length
-    at which unnaturally many do. Words, answers and lengths are counted over
-    all rows. A null question makes only empty, refused and truncated answers
-    recognisable. Rows with a null key are kept; extra columns are ignored.
+    See ``judged_pairs``, of whose rows these are those with a defect.
+    """
+    return judged_pairs(df, key, question, answer, common_words).where("defect is not null").select("key", "defect")
+
+
+def judged_pairs(df: DataFrame, key: str, question: str, answer: str, common_words: DataFrame) -> DataFrame:
+    """(key, defect, signal) of every row: the defect or null, and for truncated answers what showed it.
+
+    A row has at most one defect, the first that holds of empty, copied,
+    refusal, wrong_language and truncated. Rules on the pair itself find the
+    first four. An answer that no sign ends is truncated, by these signals in
+    order: ``continued``, another answer, numbers and names aside, begins with it
+    and goes on in mid-sentence; ``cut_word``, its last word is a part of the word
+    that others have after the same token (both by comparing neighbours in
+    sorted order); ``limit``, it stops at a length at which unnaturally many do;
+    ``never_last``, its last word is one that texts often go on after and
+    sentences never end with; ``open``, it ends with a comma, a bare bullet, an
+    open quote or bracket, or one of the function words of a list. Words,
+    answers and lengths are counted over all rows. A null question makes only
+    empty, refused and truncated answers recognisable. Rows with a null key are
+    kept; extra columns are ignored.
     """
     rule = _rules(lexicon_of(common_words))
     rows = df.select(F.col(key).alias("key"), F.col(question).alias("q"), F.col(answer).alias("a"))
     v = cut(rows.withColumn("v", rule("q", "a")).select("key", "v.*"))
     texts = rows.select("q").unionByName(rows.select(F.col("a").alias("q"))).where("q is not null").distinct()
-    contexts = texts.select(F.explode(_contexts("q")).alias("s")).distinct()
+    texts = cut(texts.select(_contexts("q").alias("contexts"), _ends("q").alias("ends")))
+    contexts = texts.select(F.explode("contexts").alias("s")).distinct()
     suspects = v.where("defect is null and not ended and words >= 3")
-    # Last words that are cut short.
-    asked = suspects.select(F.col("ctx").alias("s")).distinct()
-    complete = asked.join(contexts, "s", "left_semi")
-    parts = successors(contexts, asked).where(F.col("nxt").startswith(F.col("s")) & (F.length("nxt") > F.length("s")))
-    parts = parts.where(F.col("s").rlike("\\x00\\p{L}+$") & F.col("nxt").substr(F.length("s") + 1, F.lit(1)).rlike(r"\p{L}")).select("s").distinct()
-    parts = parts.join(complete, "s", "left_anti").select(F.col("s").alias("ctx"), F.lit(True).alias("cut_word"))
     # Whole answers that others continue.
     masks = v.where("mask is not null").select(F.col("mask").alias("s")).distinct()
-    longer = successors(masks, suspects.where("words >= 4").select(F.col("mask").alias("s")).distinct())
-    rest = F.col("nxt").substr(F.length("s") + 1, F.length("nxt"))
-    longer = longer.where(F.col("nxt").startswith(F.col("s")) & rest.rlike(r"^ ?\p{Ll}")).select(F.col("s").alias("mask"), F.lit(True).alias("continued")).distinct()
+    longer = continuations(masks, suspects.where("words >= 4").select(F.col("mask").alias("s")).distinct(), r" ?[^\W\d_A-ZÀ-ÖØ-Þ]")
+    longer = longer.select(F.col("s").alias("mask"), F.lit(True).alias("continued"))
+    # Last words that are cut short.
+    asked = suspects.where(F.col("ctx").rlike("\\x00\\p{L}+$")).select(F.col("ctx").alias("s")).distinct()
+    parts = continuations(contexts, asked, r"[^\W\d_]").join(contexts, "s", "left_anti")
+    parts = parts.select(F.col("s").alias("ctx"), F.lit(True).alias("cut_word"))
     # Lengths that a limit made.
     spikes = length_spikes(suspects.where("words >= 6").select("mask", "len").distinct().select("len")).withColumn("spike", F.lit(True))
-    found = (
-        v.join(parts, "ctx", "left").join(longer, "mask", "left").join(spikes, "len", "left")
-        .withColumn("cut", ~F.col("ended") & (F.col("words") >= 3) & (F.coalesce("cut_word", F.lit(False)) | F.coalesce("continued", F.lit(False)) | (F.coalesce("spike", F.lit(False)) & (F.col("words") >= 6))))
+    # Words that nothing ends with.
+    ends = texts.select(F.explode("ends").alias("e")).groupBy("e.word").agg(F.count_if("e.last").alias("last"), F.count_if(~F.col("e.last")).alias("on"))
+    ends = ends.where((F.col("on") >= OFTEN) & (F.col("last") <= F.col("on") * SELDOM)).select("word", F.lit(True).alias("never_last"))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    signal = (
+        F.when(yes("continued") & (F.col("words") >= 4), "continued").when(yes("cut_word"), "cut_word").when(yes("spike") & (F.col("words") >= 6), "limit")
+        .when(yes("never_last") & (F.col("words") >= 4), "never_last")
     )
-    return found.select("key", F.coalesce("defect", F.when(F.col("cut"), F.lit("truncated"))).alias("defect")).where("defect is not null")
+    found = v.withColumn("word", F.lower(F.regexp_extract("ctx", "\\x00(\\p{L}.*)$", 1)))
+    found = found.join(longer, "mask", "left").join(parts, "ctx", "left").join(spikes, "len", "left").join(ends, "word", "left")
+    found = found.withColumn("signal", F.when(F.col("defect").isNull(), F.coalesce(F.when(~F.col("ended") & (F.col("words") >= 3), signal), F.when(F.col("open"), F.lit("open")))))
+    return found.select("key", F.coalesce("defect", F.when(F.col("signal").isNotNull(), F.lit("truncated"))).alias("defect"), "signal")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -81,14 +82,29 @@ def test_empty_table(spark, rows, words):
     assert rows(pairs.broken_pairs(spark.createDataFrame([], "n bigint, q string, a string"), "n", "q", "a", words)) == []
 
 
-def test_successors_against_sorting(spark):
+def test_continuations_against_all_pairs(spark, rows):
+    """Any continuation counts, not only the next string, also across partitions."""
     rng = random.Random(2)
-    make = lambda n: sorted({"".join(rng.choice("abé") for _ in range(rng.randrange(1, 6))) for _ in range(n)})
-    known, asked = make(300), make(80)
-    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "s string")
-    got = {r["s"]: r["nxt"] for r in pairs.successors(frame(known), frame(asked)).collect()}
-    order = sorted(known, key=lambda s: s.encode())
-    assert got == {a: next((k for k in order if k.encode() > a.encode()), None) for a in asked}
+    make = lambda n: sorted({"".join(rng.choice("abé N-") for _ in range(rng.randrange(1, 7))) for _ in range(n)})
+    known, asked = make(900), make(200)
+    known += ["a" * n for n in range(1, 300)]
+    asked += ["a" * n for n in range(1, 310, 7)]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs + [None]], "s string")
+    got = rows(pairs.continuations(frame(known), frame(asked), r" ?[a-zé]"))
+    goes_on = lambda a: any(k.startswith(a) and re.match(r" ?[a-zé]", k[len(a) :]) for k in known)
+    assert got == sorted(((a,) for a in set(asked) if goes_on(a)), key=repr)
+    assert rows(pairs.continuations(frame([]), frame(asked), "x")) == rows(pairs.continuations(frame(known), frame([]), "x")) == []
+
+
+def test_what_shows_that_an_answer_is_cut(spark, words):
+    """A later string may be the one that goes on; words that nothing ends with are learned from the texts."""
+    whole = [f"We saw the lake near R{i} and the hut" for i in range(120)] + [f"I like hut {i} more." for i in range(10)]
+    data = [(i, Q, a) for i, a in enumerate(whole)]
+    data += [(900, Q, "Grandma sang to us"), (901, Q, "Grandma sang to us-all"), (902, Q, "Grandma sang to us 3 times"), (903, Q, "Grandma sang to us Y"), (904, Q, "Grandma sang to us on Sunday.")]
+    data += [(910, Q, "At noon she went near"), (911, Q, "At noon I took a long " + "z" * 300), (912, Q, "I took a long " + "z" * 300 + "y nap.")]
+    out = {r.key: r.signal for r in pairs.judged_pairs(spark.createDataFrame(data, "n bigint, q string, a string"), "n", "q", "a", words).collect()}
+    assert (out[900], out[910], out[911], out[904]) == ("continued", "never_last", "cut_word", None)
+    assert not any(out[i] for i in range(len(whole)))
 
 
 def test_length_spikes(spark, rows):
