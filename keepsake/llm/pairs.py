@@ -285,9 +285,9 @@ def continuations(strings: DataFrame, wanted: DataFrame, going_on: str) -> DataF
                             stack = [x for x in stack if x not in on]
                     if asked and first:
                         stack.append(s)
-                yield pd.DataFrame({"s": done, "pid": -1})
+                yield pd.DataFrame({"s": pd.Series(done, dtype=object), "pid": -1})
             if first and stack:
-                yield pd.DataFrame({"s": stack, "pid": pid})
+                yield pd.DataFrame({"s": pd.Series(stack, dtype=object), "pid": pid})
 
         return run
 
