@@ -98,8 +98,9 @@ def test_continuations_against_all_pairs(spark, rows):
 
 def test_what_shows_that_an_answer_is_cut(spark, words):
     """A later string may be the one that goes on; words that nothing ends with are learned from the texts."""
-    whole = [f"We saw the lake near R{i} and the hut" for i in range(120)] + [f"I like hut {i} more." for i in range(10)]
+    whole = [f"We saw the lake near R{i} and the hut" for i in range(200)] + [f"I like hut {i} more." for i in range(10)]
     data = [(i, Q, a) for i, a in enumerate(whole)]
+    data += [(800 + i, Q, f"The hut {i} was warm.") for i in range(9)]
     data += [(900, Q, "Grandma sang to us"), (901, Q, "Grandma sang to us-all"), (902, Q, "Grandma sang to us 3 times"), (903, Q, "Grandma sang to us Y"), (904, Q, "Grandma sang to us on Sunday.")]
     data += [(910, Q, "At noon she went near"), (911, Q, "At noon I took a long " + "z" * 300), (912, Q, "I took a long " + "z" * 300 + "y nap.")]
     out = {r.key: r.signal for r in pairs.judged_pairs(spark.createDataFrame(data, "n bigint, q string, a string"), "n", "q", "a", words).collect()}
