@@ -69,10 +69,25 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", encode.token_ids(spark, F.col("text")).alias("ids"))
 
 
-def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    """The uses of every document in each mix of mix_targets, with the shares reached."""
+def _p7(spark: SparkSession, d: str, **bounds) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", encode.token_count(spark, F.col("text")).alias("n_tokens"))
-    return mixing.mix_sources(docs, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
+    return mixing.mix_sources(docs, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"), **bounds)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The uses of every document in each mix of mix_targets, with the shares reached: the largest mixes that meet the targets."""
+    return _p7(spark, d)
+
+
+def p7_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """As p7_mix, each mix as large as its sources are: the exponent is bisected until the repeats suffice."""
+    return _p7(spark, d, total="natural")
+
+
+def p7_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """The budgets and exponents of mixes as large as their sources, in code points, with an entropy of at least 1."""
+    out = mixing.mix_budgets(table(spark, d, "documents"), "source", "n_chars", table(spark, d, "mix_targets"), total="natural", least_entropy=1.0)
+    return out.select("mix_name", "source", "size", F.round("exponent", 6).alias("exponent"), "met", "budget")
 
 
 def _p8(spark: SparkSession, d: str, only: tuple[str, ...] | None = None) -> DataFrame:
@@ -103,6 +118,40 @@ c(u, v) as (select u, v from e union select c.u, e.v from c join e on c.v = e.u)
 select u as rec_a, v as rec_b from c where u < v
 """
 
+P7_SQL = r"""
+with recursive g as (
+  select mix_name, lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) as source, sum(coalesce(target_share, 0)) as share, min(max_repeats) as repeats
+  from mix_targets where mix_name is not null and trim(source) <> '' group by 1, 2),
+held as (select lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) as source, sum(coalesce(n_chars, 0)) as size from documents group by 1),
+r as (select g.*, coalesce(size, 0)::bigint as size from g left join held using (source)),
+h as (
+  select *, size / sum(size) over m as p, share / sum(share) over m as q, sum(size) over m as total
+  from r where size > 0 and share > 0 and repeats > 0 window m as (partition by mix_name)),
+w as (
+  select mix_name, k / 1024.0::double as e, list({'p': p, 'q': q, 'room': size * repeats / total}) as xs
+  from h, range(1025) t(k) group by all),
+s as (
+  select mix_name, e, list_transform(xs, lambda x: x.p * (x.q / x.p) ** e) as raw, xs from w),
+f as (
+  select mix_name, e, xs,
+    list_bool_and(list_transform(list_zip(raw, xs), lambda z: z[1] / list_sum(raw) <= z[2].room * (1 + 1e-12)))
+      and -list_sum(list_transform(raw, lambda v: v / list_sum(raw) * ln(v / list_sum(raw)))) >= 1.0 as ok from s),
+start as (
+  select mix_name, any_value(xs) as xs, max(e) filter (ok) as low, least(1.0, max(e) filter (ok) + 1 / 1024.0::double) as high from f group by mix_name),
+b as (
+  select mix_name, xs, low, high, 0 as n from start
+  union all
+  select mix_name, xs, case when ok then mid else low end, case when ok then high else mid end, n + 1 from (
+    select *, list_bool_and(list_transform(list_zip(raw, xs), lambda z: z[1] / list_sum(raw) <= z[2].room * (1 + 1e-12)))
+      and -list_sum(list_transform(raw, lambda v: v / list_sum(raw) * ln(v / list_sum(raw)))) >= 1.0 as ok from (
+      select *, list_transform(xs, lambda x: x.p * (x.q / x.p) ** mid) as raw from (select *, (low + high) / 2 as mid from b where n < 60)))),
+x as (select mix_name, low as exponent from b where n = 60),
+v as (select h.*, exponent, p * (q / p) ** exponent as raw from h join x using (mix_name)),
+y as (select mix_name, source, least(size * repeats, floor(total * raw / sum(raw) over (partition by mix_name) + 0.5)) as budget from v)
+select r.mix_name, r.source, r.size, round(x.exponent, 6) as exponent, true as met, coalesce(y.budget, 0)::bigint as budget
+from r join x using (mix_name) left join y using (mix_name, source)
+"""
+
 P4_SQL = """
 with x as (
   select 'retrieval_hits' as origin, qa_id, item_id, score from retrieval_hits
@@ -118,8 +167,8 @@ from b qualify pos <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p8_found": p8_found, "p8_statistics": p8_statistics}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_tempered": p7_tempered, "p7_budgets": p7_budgets, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p4_found": P4_SQL}
+    return {"p2_found": P2_SQL, "p4_found": P4_SQL, "p7_budgets": P7_SQL}

@@ -59,13 +59,47 @@ def test_fixed_total_tempers_the_shares(spark):
 def test_temperature_and_entropy():
     p, q = {"a": 0.9, "b": 0.1}, {"a": 0.5, "b": 0.5}
     assert mixing.tempered(p, q, 0.0) == pytest.approx(p) and mixing.tempered(p, q, 1.0) == pytest.approx(q)
-    x = mixing.solve_exponent(p, q, lambda w: w["b"] <= 0.3)
+    x, met = mixing.solve_exponent(p, q, lambda w: 0.3 - w["b"])
+    assert met
     assert mixing.tempered(p, q, x)["b"] == pytest.approx(0.3, abs=1e-6)
     plan = mixing.plan_mix([{"source": "a", "share": 0.9, "repeats": 9, "tokens": 50}, {"source": "b", "share": 0.1, "repeats": 9, "tokens": 50}], least_entropy=0.6)
     w = [r["budget"] / sum(p["budget"] for p in plan) for r in plan]
     assert mixing.entropy(dict(enumerate(w))) >= 0.59
 
 
+def test_bounds_that_only_a_middle_exponent_meets():
+    """Entropy rises and falls with the exponent; the falling side counts, and what cannot be met is said."""
+    rows = [{"source": "a", "share": 0.02, "repeats": 90, "tokens": 900}, {"source": "b", "share": 0.98, "repeats": 90, "tokens": 100}]
+    got = mixing.plan_mix(rows, least_entropy=0.69)
+    weights = [r["budget"] / sum(x["budget"] for x in got) for r in got]
+    assert all(r["met"] and 0 < r["exponent"] < 1 for r in got)
+    assert mixing.entropy(dict(enumerate(weights))) == pytest.approx(0.69, abs=1e-3) and weights[1] > weights[0]
+    assert not any(r["met"] for r in mixing.plan_mix(rows, least_entropy=0.7))
+    tight = mixing.plan_mix(rows, least_entropy=0.6931471)  # only within a hundredth of a step of the grid
+    assert all(r["met"] for r in tight)
+    both = mixing.plan_mix(rows, total="natural", least_entropy=0.5)
+    assert all(r["met"] for r in both) and sum(r["budget"] for r in both) == 1000
+
+
+def test_budgets_and_registered_sql(spark):
+    from pathlib import Path
+
+    import duckdb
+
+    from keepsake.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    if not Path(d).is_dir():
+        pytest.skip("no test data here")
+    con = duckdb.connect()
+    for t in ("documents", "mix_targets"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    got = queries.p7_budgets(spark, d)
+    want = con.sql(queries.oracle_sql()["p7_budgets"])
+    assert sorted(map(tuple, got.select(sorted(got.columns)).collect())) == sorted(want.project(", ".join(sorted(want.columns))).fetchall())
+    assert any(0 < r.exponent < 1 for r in got.collect())
+
+
 def test_nulls_blanks_and_empty_tables(spark):
     docs = [(1, None, 5, ""), (None, "a", 5, ""), (2, "a", None, ""), (3, "a", 0, ""), (4, "a", 7, ""), (4, "a", 7, ""), (5, " ", 3, "")]
     out = mix(spark, docs, [("m", "a", 1.0, 1), ("m", None, 1.0, 1), (None, "a", 1.0, 1), ("n", "a", None, 1), ("o", "a", 1.0, None)])
