@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import re
+import sys
+import time
 import unicodedata
 import uuid
 from datetime import datetime, timedelta, timezone
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from keepsake.runtime import hadoop_path, shared_dir
+from keepsake.runtime import cut, hadoop_path, shared_dir
 
 _EPOCH = datetime(1970, 1, 1)
 
@@ -107,10 +111,14 @@ def _offset(text: str) -> timedelta | None:
     return (timedelta(hours=h, minutes=m)) * (-1 if text[0] == "-" else 1)
 
 
-def _number(text: str) -> int | None:
-    """Seconds, milliseconds, microseconds or nanoseconds since 1970, whichever leads to 2019-2025."""
+#: The years, first and last, to which plain numbers lead; the unit is chosen so that they do.
+EPOCH_YEARS = (1990, 2100)
+
+
+def _number(text: str, years: tuple[int, int]) -> int | None:
+    """Seconds, milliseconds, microseconds or nanoseconds since 1970, whichever leads to ``years``."""
     whole, _, part = text.replace(",", ".").partition(".")
-    low, high = _micros(datetime(2019, 1, 1)), _micros(datetime(2026, 1, 1))
+    low, high = _micros(datetime(years[0], 1, 1)), _micros(datetime(years[1] + 1, 1, 1))
     for unit in _UNITS:
         us = int(whole) * unit + (int(part.ljust(6, "0")[:6]) * unit // 1_000_000 if part else 0)
         if low <= us < high:
@@ -119,7 +127,7 @@ def _number(text: str) -> int | None:
     return us if low <= us < high else None
 
 
-def parse_timestamp(raw: str | None, zone: str | None = None, order: str | None = None) -> int | None:
+def parse_timestamp(raw: str | None, zone: str | None = None, order: str | None = None, years: tuple[int, int] = EPOCH_YEARS) -> int | None:
     """Microseconds since 1970 UTC that ``raw`` denotes, or None where it denotes no instant.
 
     Outer blanks are ignored. A valid calendar day is required, a missing time
@@ -127,7 +135,7 @@ def parse_timestamp(raw: str | None, zone: str | None = None, order: str | None
     the value holds first, then a zone named in it, then ``zone``, else UTC.
     ``order`` (dmy, mdy or ymd) says which of two leading numbers is the day
     where both could be: dmy and none take day first, the others month first. Plain numbers that are no
-    calendar date count from 1970. Unknown zone names denote nothing.
+    calendar date count from 1970, in the unit that leads to ``years``. Unknown zone names denote nothing.
     """
     if raw is None:
         return None
@@ -136,12 +144,12 @@ def parse_timestamp(raw: str | None, zone: str | None = None, order: str | None
         return None
     m = _COMPACT.fullmatch(text)
     if m and _calendar(int(m["y"]), int(m["mo"]), int(m["d"]), 0, 0, 0, 0) and (not text.isdigit() or len(text) in (8, 12, 14)):
-        if text.isdigit() and len(text) == 12 and (us := _number(text)) is not None:
+        if text.isdigit() and len(text) == 12 and (us := _number(text, years)) is not None:
             return us
         if text.isdigit() and not 1800 <= int(m["y"]) <= 2199:
-            return _number(text)
+            return _number(text, years)
     elif _NUMBER.fullmatch(text):
-        return _number(text.lstrip("+")) if text[0] != "-" else None
+        return _number(text.lstrip("+"), years) if text[0] != "-" else None
     else:
         m = next((x for p in (*_FULL, _CTIME) if (x := p.fullmatch(text))), None)
     if m is None:
@@ -178,63 +186,98 @@ def parse_timestamp(raw: str | None, zone: str | None = None, order: str | None
     return _local(local, zone) if zone else _micros(local)
 
 
-@pandas_udf(LongType())
-def _parse(raw: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
-    return pd.Series([parse_timestamp(r, z, o) for r, z, o in zip(raw, zone, order)], dtype="Int64")
+def _parser(years: tuple[int, int]):
+    @pandas_udf(LongType())
+    def parse(raw: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
+        return pd.Series([parse_timestamp(r, z, o, years) for r, z, o in zip(raw, zone, order)], dtype="Int64")
 
+    return parse
 
-_KEY = ("raw", "zone", "day_order")
 
+_KEY = ("source", "raw", "zone", "day_order")
+_PART = "source string, raw string, zone string, day_order string, utc_us bigint"
+#: Parts of a dictionary beyond which they are merged, and the days for which merged ones stay for those who still read them.
+MOST_PARTS, GRACE_DAYS = 16, 7
 
-def _null_safe(a: DataFrame, b: DataFrame):
-    cond = None
-    for k in _KEY:
-        c = a[k].eqNullSafe(b[k])
-        cond = c if cond is None else cond & c
-    return cond
 
+def rules_digest(years: tuple[int, int]) -> str:
+    """Names the rules that a dictionary was made by; any change of this module changes it."""
+    return hashlib.blake2b(f"{years}{inspect.getsource(sys.modules[__name__])}".encode(), digest_size=8).hexdigest()
 
-def dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
-    """(raw, zone, day_order, utc_us) with each distinct combination of ``values`` parsed once.
 
-    The dictionary is a table in shared storage that only grows: combinations
-    it has are not parsed again, new ones are added as one part with a success
-    mark, so an interrupted addition leaves no trace. Two runs that add at the
-    same time may both add a value; reading collapses that.
+def dictionary(values: DataFrame, path: str | None = None, years: tuple[int, int] = EPOCH_YEARS) -> DataFrame:
+    """(source, raw, zone, day_order, utc_us) of each distinct combination in ``values``, parsed once.
+
+    The dictionary is a table in shared storage that only grows, in a folder
+    named by the rules: combinations it has are not parsed again, new ones are
+    added as one part with a success mark, so an interrupted addition leaves no
+    trace. Two runs that add at the same time may both add a value; reading
+    collapses that. Above MOST_PARTS parts are merged (``compact``).
     """
     spark = values.sparkSession
-    path = path or f"{shared_dir(spark)}/timestamp-dictionary-v1"
+    path = f"{path or f'{shared_dir(spark)}/timestamp-dictionary'}/{rules_digest(years)}"
+    want = cut(values.select(*_KEY).where("raw is not null").distinct())
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in _KEY]
+    known = _known(spark, path)
+    new = want if known is None else want.join(known, same(want, known), "left_anti")
+    new.withColumn("utc_us", _parser(years)("raw", "zone", "day_order")).write.parquet(f"{path}/part-{uuid.uuid4().hex}")
+    if len(_parts(spark, path)) > MOST_PARTS:
+        compact(spark, path)
+    known = _known(spark, path)
+    return known.join(want, same(known, want), "left_semi").groupBy(*_KEY).agg(F.max("utc_us").alias("utc_us"))
+
+
+def _parts(spark, path: str, old: bool = False) -> list[str]:
+    """The parts of a dictionary that are whole and, unless ``old`` asks for those, not merged into another."""
     fs, root = hadoop_path(spark, path)
-    want = values.select(*_KEY).where("raw is not null").distinct()
-    known = _parts(spark, fs, root)
-    if known is not None:
-        old = known.select(*[F.col(k).alias(f"_{k}") for k in _KEY])
-        want = want.join(old, [want[k].eqNullSafe(old[f"_{k}"]) for k in _KEY], "left_anti")
-    want.withColumn("utc_us", _parse("raw", "zone", "day_order")).write.parquet(f"{path}/part-{uuid.uuid4().hex}")
-    return _parts(spark, fs, root).groupBy(*_KEY).agg(F.max("utc_us").alias("utc_us"))
+    if not fs.exists(root):
+        return []
+    found = [str(s.getPath().toString()) for s in fs.listStatus(root)]
+    has = lambda p, mark: fs.exists(hadoop_path(spark, f"{p}/{mark}")[1])
+    return sorted(p for p in found if has(p, "_SUCCESS") and has(p, "_MERGED") == old)
 
 
-def _parts(spark, fs, root) -> DataFrame | None:
-    if not fs.exists(root):
-        return None
-    jvm = spark.sparkContext._jvm
-    found = [s.getPath() for s in fs.listStatus(root)]
-    done = sorted(str(p.toString()) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-    return spark.read.schema("raw string, zone string, day_order string, utc_us bigint").parquet(*done) if done else None
+def _known(spark, path: str) -> DataFrame | None:
+    parts = _parts(spark, path)
+    return spark.read.schema(_PART).parquet(*parts) if parts else None
 
 
-def normalise(df: DataFrame, raw: str, zone: Column, order: Column, out: str = "utc_us", path: str | None = None) -> DataFrame:
+def compact(spark, path: str, grace_days: float = GRACE_DAYS) -> None:
+    """Merges the parts of the dictionary folder ``path`` into one.
+
+    Merged parts are marked, so nobody reads them any more, and deleted by a
+    later call once ``grace_days`` are over.
+    """
+    for p in _parts(spark, path, old=True):
+        fs, mark = hadoop_path(spark, f"{p}/_MERGED")
+        if fs.getFileStatus(mark).getModificationTime() / 1000 < time.time() - grace_days * 86_400:
+            fs.delete(mark.getParent(), True)
+    parts = _parts(spark, path)
+    if len(parts) > 1:
+        whole = spark.read.schema(_PART).parquet(*parts).groupBy(*_KEY).agg(F.max("utc_us").alias("utc_us"))
+        whole.write.parquet(f"{path}/part-{uuid.uuid4().hex}")
+        for p in parts:
+            fs, mark = hadoop_path(spark, f"{p}/_MERGED")
+            fs.create(mark).close()
+
+
+def normalise(
+    df: DataFrame, raw: str, zone: Column, order: Column, out: str = "utc_us", source: Column | None = None, path: str | None = None, years: tuple[int, int] = EPOCH_YEARS
+) -> DataFrame:
     """``df`` with the column ``out``: the instant of column ``raw`` or null.
 
-    ``zone`` and ``order`` are the row's default zone and day-month order.
-    Distinct combinations are parsed once (``dictionary``) and joined back, so
-    repeated values cost nothing. Every row stays, null and unreadable values
-    with null. A column of the name ``out`` is replaced.
+    ``zone`` and ``order`` are the row's default zone and day-month order,
+    ``source`` says where it comes from. Distinct combinations are parsed once
+    (``dictionary``) and joined back, so repeated values cost nothing; rows
+    without a value are spread over all tasks. Every row stays, null and
+    unreadable values with null. A column of the name ``out`` is replaced.
     """
     keep = [c for c in df.columns if c != out]
-    work = df.select(*keep, F.col(raw).alias("_raw"), zone.alias("_zone"), order.alias("_order"))
-    values = work.select(F.col("_raw").alias("raw"), F.col("_zone").alias("zone"), F.col("_order").alias("day_order"))
-    d = dictionary(values, path).select(*[F.col(k).alias(f"_d{k}") for k in _KEY], F.col("utc_us").alias("_us"))
-    pairs = zip(("_raw", "_zone", "_order"), _KEY)
-    joined = work.join(d, [work[a].eqNullSafe(F.col(f"_d{k}")) for a, k in pairs], "left")
+    source = F.lit(None) if source is None else source
+    own = {"source": source.cast("string"), "raw": F.col(raw), "zone": zone.cast("string"), "day_order": order.cast("string")}
+    values = df.select(*[c.alias(k) for k, c in own.items()])
+    place = F.when(F.col("_raw").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.lit(0))
+    work = df.select(*keep, *[c.alias(f"_{k}") for k, c in own.items()]).withColumn("_place", place)
+    d = dictionary(values, path, years).select(*[F.col(k).alias(f"_d{k}") for k in _KEY], F.col("utc_us").alias("_us"), F.lit(0).cast("bigint").alias("_dplace"))
+    joined = work.join(d, [work[f"_{k}"].eqNullSafe(F.col(f"_d{k}")) for k in _KEY] + [work["_place"] == F.col("_dplace")], "left")
     return joined.select(*[work[c] for c in keep], F.col("_us").alias(out))

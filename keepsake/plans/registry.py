@@ -56,7 +56,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
     notes = table(spark, d, "memory_notes").select(F.lit("memory_notes").alias("origin"), F.col("note_no").alias("row_no"), F.col("timestamp").alias("raw"), none.alias("zone"), none.alias("day_order"))
     rows = passages.unionByName(notes)
-    return timestamps.normalise(rows, "raw", F.col("zone"), F.col("day_order")).where("utc_us is not null").select("origin", "row_no", "utc_us")
+    return timestamps.normalise(rows, "raw", F.col("zone"), F.col("day_order"), source=F.col("origin"), years=(2019, 2025)).where("utc_us is not null").select("origin", "row_no", "utc_us")
 
 
 # -------------------------------------------------------------- vector retrieval

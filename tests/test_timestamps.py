@@ -59,6 +59,11 @@ def test_no_instant(text):
     assert at(text) is None
 
 
+def test_epoch_years():
+    assert at("946684800") == "2000-01-01 00:00:00" and at("1767225600000") == "2026-01-01 00:00:00"
+    assert T.parse_timestamp("946684800", years=(2019, 2025)) is None and T.parse_timestamp("100000000", years=(1970, 1980)) == 100000000 * 10**6
+
+
 def test_dictionary_grows_and_joins_back(spark, rows, tmp_path):
     path = str(tmp_path / "dict")
     data = [(1, "2021-01-01", "Asia/Tokyo", None), (2, "2021-01-01", None, None), (3, None, None, None), (4, "junk", None, None), (4, "2021-01-01", None, "mdy")]
@@ -67,11 +72,19 @@ def test_dictionary_grows_and_joins_back(spark, rows, tmp_path):
     t, u = T.parse_timestamp("2021-01-01", "Asia/Tokyo"), T.parse_timestamp("2021-01-01")
     want = [(1, "2021-01-01", "Asia/Tokyo", t), (2, "2021-01-01", None, u), (3, None, None, None), (4, "2021-01-01", None, u), (4, "junk", None, None)]
     assert run(df) == want
-    assert spark.read.parquet(path + "/part-*").count() == 3
+    folder = f"{path}/{T.rules_digest(T.EPOCH_YEARS)}"
+    assert spark.read.parquet(folder + "/part-*").count() == 3
     more = df.unionByName(spark.createDataFrame([(9, "2022-02-02", None, None)], df.schema))
     assert run(more) == sorted([*want, (9, "2022-02-02", None, T.parse_timestamp("2022-02-02"))], key=repr)
-    assert spark.read.parquet(path + "/part-*").count() == 4, "known values are not parsed again"
+    assert spark.read.parquet(folder + "/part-*").count() == 4, "known values are not parsed again"
     assert run(df.where("id > 99")) == []
+    T.compact(spark, folder)
+    assert len(T._parts(spark, folder)) == 1 and len(T._parts(spark, folder, old=True)) == 3
+    T.compact(spark, folder, grace_days=-1)
+    assert len(T._parts(spark, folder)) == 1 and not T._parts(spark, folder, old=True)
+    assert run(df) == want
+    other = rows(T.normalise(spark.createDataFrame([(1, "946684800")], "id int, raw string"), "raw", F.lit(None), F.lit(None), path=path, years=(2019, 2025)))
+    assert other == [(1, "946684800", None)], "other rules, another dictionary"
 
 
 def test_very_long_text():
