@@ -520,39 +520,6 @@ def answer_iso_dates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("ann_no", big(F.size(A.date_tokens(F.col("answer")))).alias("n"), F.get(A.date_tokens(F.col("answer")), 0).alias("first"))
 
 
-@register()
-def answer_dates_times(spark: SparkSession, d: str) -> DataFrame:
-    a = F.col("answer")
-    return table(spark, d, "qa_annotations").where("answer is not null").select("ann_no", A.date_tokens(a).alias("dates"), A.time_tokens(a).alias("times"), A.numbers(a).cast("array<double>").alias("numbers"), A.amounts(a).cast("array<double>").alias("amounts"))
-
-
-@register()
-def answer_types(spark: SparkSession, d: str) -> DataFrame:
-    """How the answers look, given types aside."""
-    rows = table(spark, d, "qa_annotations").select(A.question_type(F.coalesce("answer", F.lit(""))).alias("type"))
-    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("answers"))
-
-
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each annotation with the first answer to its question as ground truth."""
-    rows = table(spark, d, "qa_annotations").select("ann_no", "id", "question", "answer", "qtype")
-    first = lookups.first_by_key(rows.select("id", "ann_no", F.col("answer").alias("truth")), ["id"], ["ann_no"]).drop("ann_no")
-    return rows.join(first, "id")
-
-
-@register()
-def exact_match(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.exact_match(_pairs(spark, d), "truth", "answer", "question").select("ann_no", "correct", "normalised_prediction")
-
-
-@register()
-def score_answers(spark: SparkSession, d: str) -> DataFrame:
-    """All three metrics by question type; a stand-in judge compares case-folded texts."""
-    judge = lambda f: (f["ground_truth"].fillna("").str.casefold() == f["prediction"].fillna("").str.casefold()).astype(float)
-    scored = scoring.score_answers(_pairs(spark, d), "truth", "answer", "question", "qtype", judge)
-    return scored.select("ann_no", "type", "metric", F.round("accuracy", 6).alias("accuracy"))
-
-
 @register("""with t as (select unnest(['number', 'list_recall', 'open_end']) as qtype),
 s as (select case when lower(qtype) in ('number', 'list_recall', 'open_end') then lower(qtype) else 'open_end' end as qtype, case when answer is null then 0.0 else least(1.0, length(answer) / 40.0) end as s from qa_annotations),
 g as (select qtype, count(*) as count, sum(s) as correct from s group by qtype union all select 'all', count(*), sum(s) from s)
@@ -751,3 +718,7 @@ def order_gaps(spark: SparkSession, d: str) -> DataFrame:
 def tag_set(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "memory_notes").where("tags is not null").select(F.explode(formats.tag_set(F.array_join("tags", ","))).alias("tag"))
     return t.groupBy("tag").agg(F.count(F.lit(1)).alias("notes"))
+
+
+# Further families of queries register themselves.
+from keepsake.plans import answer_queries  # noqa: E402,F401
