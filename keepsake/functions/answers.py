@@ -261,16 +261,30 @@ def _strings(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def content(c: Column) -> Column:
+    """The distinct tokens that are no stop words."""
+    return F.array_except(tokens(c), _strings(STOPWORDS))
+
+
+def covers(have: Column, wanted: Column) -> Column:
+    """Every one of ``wanted`` is among ``have``."""
+    return F.size(F.array_except(wanted, have)) == 0
+
+
 def token_subset(gt: Column, pred: Column) -> Column:
     """Every token of ``gt`` that is no stop word is in ``pred``; true if there is none."""
-    return F.size(F.array_except(F.array_except(tokens(gt), _strings(STOPWORDS)), tokens(pred))) == 0
+    return covers(tokens(pred), content(gt))
+
+
+def names_place(have: Column, gt_content: Column) -> Column:
+    """``gt_content`` has a word for a kind of place, and all of it but numbers is among the tokens ``have``."""
+    rest = F.filter(gt_content, lambda w: ~w.rlike(r"^\d+$"))
+    return F.arrays_overlap(gt_content, _strings(ADDRESS_KEYWORDS)) & (F.size(rest) > 0) & covers(have, rest)
 
 
 def address_match(gt: Column, pred: Column) -> Column:
     """``gt`` names a kind of place, and all its tokens but stop words and numbers are in ``pred``."""
-    t = tokens(gt)
-    rest = F.filter(F.array_except(t, _strings(STOPWORDS)), lambda w: ~w.rlike(r"^\d+$"))
-    return F.arrays_overlap(t, _strings(ADDRESS_KEYWORDS)) & (F.size(rest) > 0) & (F.size(F.array_except(rest, tokens(pred))) == 0)
+    return names_place(tokens(pred), content(gt))
 
 
 def date_match(gt: Column, pred: Column) -> Column:
@@ -328,20 +342,24 @@ def resolve_relative(c: Column, day: Column) -> Column:
     return F.when(day.isNull(), c).otherwise(out)
 
 
-def units_match(gt: Column, pred: Column) -> Column:
-    """Dates share a month and day, times meet, amounts are equal, and 80 % of the long content tokens are shared."""
-    gd, pd_ = date_tokens(gt), date_tokens(pred)
-    gt_t, pr_t, ga, pa = time_tokens(gt), time_tokens(pred), amounts(gt), amounts(pred)
+def units_agree(gt: tuple[Column, ...], pred: tuple[Column, ...]) -> Column:
+    """As ``units_match``, of (dates, times, amounts, content) of each text."""
+    (gd, gt_t, ga, gc), (pd_, pr_t, pa, pc) = gt, pred
     tail = lambda a: F.transform(a, lambda d: F.right(d, F.lit(4)))
-    content = lambda c: F.filter(F.array_except(tokens(c), _strings(STOPWORDS)), lambda w: F.length(w) > 2)
-    g, p = content(gt), content(pred)
+    long = lambda a: F.filter(a, lambda w: F.length(w) > 2)
     dates = (F.size(gd) == 0) | F.coalesce(F.arrays_overlap(tail(gd), tail(pd_)), F.lit(False))
     times = (F.size(gt_t) == 0) | (F.size(pr_t) == 0) | F.arrays_overlap(gt_t, pr_t)
-    money = (F.size(ga) == 0) | ((F.size(F.array_except(ga, pa)) == 0) & (F.size(F.array_except(pa, ga)) == 0))
-    words = (F.size(g) == 0) | (F.size(F.array_intersect(g, p)) >= F.lit(0.8) * F.size(g))
+    money = (F.size(ga) == 0) | (covers(pa, ga) & covers(ga, pa))
+    words = F.size(F.array_intersect(long(gc), long(pc))) >= F.lit(0.8) * F.size(long(gc))
     return dates & times & money & words
 
 
+def units_match(gt: Column, pred: Column) -> Column:
+    """Dates share a month and day, times meet, amounts are equal, and 80 % of the long content tokens are shared."""
+    units = lambda c: (date_tokens(c), time_tokens(c), amounts(c), content(c))
+    return units_agree(units(gt), units(pred))
+
+
 def shared_prep(c: Column) -> Column:
     return between_to_range(without_breakdowns(without_brackets(aggressive(c))))
 

@@ -31,6 +31,7 @@ def exact_match(df: DataFrame, gt: str, pred: str, question: str | None = None)
         "*", A.normalise_text(g).alias("_gn"), A.normalise_text(p).alias("_pn"), A.codes(g).alias("_gc"),
         A.date_tokens(g).alias("_gd"), A.date_tokens(p).alias("_pd"), A.time_tokens(g).alias("_gt"), A.time_tokens(p).alias("_pt"),
         A.without_dates_times(g).alias("_gr"), A.without_dates_times(p).alias("_pr"), A.list_items(g).alias("_gi"),
+        A.content(g).alias("_gk"), A.content(p).alias("_pk"), A.tokens(p).alias("_pw"), A.amounts(g).alias("_gall"), A.amounts(p).alias("_pall"),
         F.regexp_replace(F.upper(p), r"\b(?:CODE|ID|REFERENCE|REF|NUMBER|NUM|LABEL):\s*", "").alias("_pu"),
     )
     gr, pr = F.col("_gr"), F.col("_pr")
@@ -42,7 +43,7 @@ def exact_match(df: DataFrame, gt: str, pred: str, question: str | None = None)
     some = lambda c: F.size(c) > 0
     c = F.col
     rest = lambda nums, other: F.when(some(c("_gam")), F.filter(c(nums), lambda n: ~F.array_contains(c(other), n))).otherwise(c(nums))
-    s = s.select("*", rest("_gnum", "_gam").alias("_gno"), rest("_pnum", "_pam").alias("_pno"))
+    s = s.select("*", rest("_gnum", "_gam").alias("_gno"), rest("_pnum", "_pam").alias("_pno"), A.content(c("_gx")).alias("_gxk"), A.tokens(c("_px")).alias("_pxw"))
     dated = some(c("_gd")) | some(c("_gt"))
     yes_no = c("_gn").startswith("yes") | c("_gn").startswith("no")
     verdict = (
@@ -50,17 +51,17 @@ def exact_match(df: DataFrame, gt: str, pred: str, question: str | None = None)
         .when(F.exists("_gc", lambda w: ~c("_pu").contains(w)), False)
         .when(some(c("_gd")) & ~A.dates_match(c("_gd"), c("_pd")), False)
         .when(some(c("_gt")) & some(c("_pt")) & ~A.same_bag(c("_gt"), c("_pt")), False)
-        .when(dated & ((c("_gx") == "") | A.token_subset(c("_gx"), c("_px"))), True)
+        .when(dated & ((c("_gx") == "") | A.covers(c("_pxw"), c("_gxk"))), True)
         .when(some(c("_gcur")) & some(c("_pcur")) & (c("_gcur") != c("_pcur")), False)
         .when(some(c("_gam")) & ~A.same_bag(c("_gam"), c("_pam")), False)
         .when(some(c("_gno")) & ~A.same_bag(c("_gno"), c("_pno")), False)
         .when(F.size("_gi") >= 2, F.forall("_gi", lambda i: c("_pn").contains(i)))
         .when(yes_no & c("_pn").isin("yes", "no"), c("_gn").startswith(c("_pn")))
-        .when(A.address_match(g, p), True)
+        .when(A.names_place(c("_pw"), c("_gk")), True)
         .when((F.length("_gn") >= 3) & c("_pn").contains(c("_gn")), True)
         .when((F.length("_pn") >= 3) & c("_gn").contains(c("_pn")), True)
-        .when(A.token_subset(g, p), True)
-        .when(A.units_match(g, p), True)
+        .when(A.covers(c("_pw"), c("_gk")), True)
+        .when(A.units_agree(tuple(map(c, ("_gd", "_gt", "_gall", "_gk"))), tuple(map(c, ("_pd", "_pt", "_pall", "_pk")))), True)
         .otherwise(c("_gn") == c("_pn"))
     )
     return s.select(*keep, verdict.alias("correct"), c("_pn").alias("normalised_prediction"))
