@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.runtime import cut
+
 #: Most bytes of query vectors that travel to the executors at once; larger query sets go in several blocks.
 QUERY_BYTES = 64_000_000
 
@@ -40,7 +42,9 @@ def top_k(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vec
     ``QUERY_BYTES``, whose number follows from a count, and each block is
     multiplied with batches of items where these lie; a task keeps only its k
     best per query, so the shuffle carries k rows per query and task, however
-    many items there are. Ids of both sides must be bigint or string.
+    many items there are. With several blocks each one's result is written and
+    its vectors are freed before the next. Ids of both sides must be bigint,
+    int or string.
     """
     spark = queries.sparkSession
     q = queries.where(F.col(query_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v"))
@@ -56,6 +60,9 @@ def top_k(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vec
             continue
         shared = spark.sparkContext.broadcast((np.array([r["q"] for r in rows], dtype=object), _matrix([r["v"] for r in rows], int(head["d"]))))
         one = it.mapInArrow(_scorer(shared, k, skip_self, qt, itype), schema)
+        if blocks > 1:
+            one = cut(one)
+            shared.destroy()
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = spark.createDataFrame([], schema)
@@ -63,33 +70,48 @@ def top_k(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vec
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("i").alias(item_id), F.col("s").alias("score"), "rank")
 
 
+#: Most cells (queries times rows) of a task's score matrix; larger batches are scored in slices.
+MOST_CELLS = 4_000_000
+
+
+class Best:
+    """The k best rows of each query so far, ties by id, as flat arrays."""
+
+    def __init__(self, k: int, ids: np.ndarray) -> None:
+        self.k, self.q, self.s, self.ids = k, np.zeros(0, np.int64), np.zeros(0), ids[:0]
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores``: one row per query and one column per id; -inf takes no part."""
+        if scores.shape[1] > self.k:
+            edge = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
+            q, at = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
+        else:
+            q, at = np.nonzero(scores > -np.inf)
+        q, s, i = np.concatenate([self.q, q]), np.concatenate([self.s, scores[q, at]]), np.concatenate([self.ids, ids[at]])
+        place = np.unique(i, return_inverse=True)[1] if i.dtype == object else i
+        order = np.lexsort((place, -s, q))
+        ranked = q[order]
+        order = order[np.arange(len(order)) - np.searchsorted(ranked, ranked) < self.k]
+        self.q, self.s, self.ids = q[order], s[order], i[order]
+
+
 def _scorer(shared, k: int, skip_self: bool, qt: str, itype: str) -> Callable:
     arrow = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qm = shared.value
-        best_s = [np.zeros(0)] * len(qids)
-        best_i = [np.zeros(0, dtype=object)] * len(qids)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.array(batch.column("i").to_pylist(), dtype=object)
-            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-            m = flat.reshape(len(ids), -1)
+        best, step = None, max(1, MOST_CELLS // max(1, len(qids)))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+            ids = np.array(batch.column("i").to_pylist(), dtype=object) if itype == "string" else batch.column("i").to_numpy()
+            m = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
             size = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-            scores = qm @ m.T
-            for x in range(len(qids)):
-                s = scores[x]
-                if skip_self:
-                    s = np.where(ids == qids[x], -np.inf, s)
-                take = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                cs, ci = np.concatenate([best_s[x], s[take]]), np.concatenate([best_i[x], ids[take]])
-                order = sorted(range(len(cs)), key=lambda j: (-cs[j], ci[j]))[:k]
-                best_s[x], best_i[x] = cs[order], ci[order]
-        out = [(qids[x], i, float(s)) for x in range(len(qids)) for s, i in zip(best_s[x], best_i[x]) if s > -np.inf]
-        cols = list(zip(*out)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], arrow[qt]), pa.array(cols[1], arrow[itype]), pa.array(cols[2], pa.float64())], ["q", "i", "s"])
+            scores = qm @ np.divide(m, size, out=np.zeros_like(m), where=size > 0).T
+            if skip_self:
+                scores[qids[:, None] == ids[None, :]] = -np.inf
+            best = best or Best(k, ids)
+            best.add(scores, ids)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(qids[best.q].tolist(), arrow[qt]), pa.array(best.ids.tolist(), arrow[itype]), pa.array(best.s, pa.float64())], ["q", "i", "s"])
 
     return run
 

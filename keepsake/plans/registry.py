@@ -561,11 +561,6 @@ s as (select ann_no, doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf
 """
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "qa_annotations").where("ann_no % 20 = 0").select("ann_no", "question")
-    return lexical.bm25(q, "ann_no", "question", table(spark, d, "documents"), "doc_id", "text")
-
-
 @register(_BM + """select ann_no, doc_id, round(score, 6) as score, row_number() over (partition by ann_no order by round(score, 6) desc, doc_id) as rank from s qualify rank <= 10""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Every 20th question against all documents."""
@@ -574,19 +569,35 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return out.select("ann_no", "doc_id", "score", big(F.col("rank")).alias("rank"))
 
 
-@register(_BM + """, m as (select ann_no, doc_id, coalesce(score, 0.0) as l, ((doc_id * 31 + ann_no * 17) % 1000) / 1000.0 as sem from (select distinct ann_no from q) cross join (select doc_id from documents where text is not null) left join s using (ann_no, doc_id)),
+_HYB = _BM.replace("documents", "vdocs").replace("ann_no % 20 = 0", "ann_no % 20 = 0 and question is not null").replace("with t as", """with vdocs as (select d.doc_id, d.text, [x::double for x in e.embedding] as v from documents d join embeddings e on d.doc_id = e.vec_id where d.text is not null),
+p as (select ann_no, [x::double for x in embedding] as v from qa_annotations join embeddings on ann_no % 2000 = vec_id where ann_no % 20 = 0 and question is not null),
+t as""", 1)
+_MIX = """, m as (select p.ann_no, d.doc_id, coalesce(score, 0.0) as l, list_cosine_similarity(p.v, d.v) as sem from p cross join vdocs d left join s on s.ann_no = p.ann_no and s.doc_id = d.doc_id),
 w as (select *, min(l) over (partition by ann_no) as lo, max(l) over (partition by ann_no) as hi from m),
-h as (select ann_no, doc_id, round(0.5 * case when hi > lo then (l - lo) / (hi - lo + 1e-6) else 0.0 end + 0.5 * sem, 6) as score from w)
-select ann_no, doc_id, score, row_number() over (partition by ann_no order by score desc, doc_id) as rank from h qualify rank <= 5""")
-def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Half BM25, half a stand-in for a semantic score of every pair of a stated question and a document."""
-    q = table(spark, d, "qa_annotations").where("ann_no % 20 = 0 and question is not null").select("ann_no")
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id")
-    pairs = docs.join(F.broadcast(q)).withColumn("score", ((F.col("doc_id") * 31 + F.col("ann_no") * 17) % 1000) / 1000.0)
-    out = lexical.top_scores(lexical.hybrid(_bm25(spark, d), pairs, "ann_no", "doc_id"), "ann_no", "doc_id", 5)
+h as (select ann_no, doc_id, round({}, 6) as score from w)
+select ann_no, doc_id, score, row_number() over (partition by ann_no order by score desc, doc_id) as rank from h qualify rank <= 5"""
+
+
+def _hybrid(spark: SparkSession, d: str, alpha: float, scaled: bool) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    q = table(spark, d, "qa_annotations").where("ann_no % 20 = 0 and question is not null").select("ann_no", "question", (F.col("ann_no") % 2000).alias("vec_id")).join(e, "vec_id")
+    docs = table(spark, d, "documents").select("doc_id", "text").join(e, F.col("doc_id") == F.col("vec_id"))
+    out = lexical.hybrid_top(q, "ann_no", "question", "v", spread(docs), "doc_id", "text", "v", 5, alpha, scaled)
     return out.select("ann_no", "doc_id", "score", big(F.col("rank")).alias("rank"))
 
 
+@register(_HYB + _MIX.format("0.5 * case when hi > lo then (l - lo) / (hi - lo + 1e-6) else 0.0 end + 0.5 * sem"))
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Half scaled BM25, half cosine: every 20th question with a vector against all documents that have one."""
+    return _hybrid(spark, d, 0.5, True)
+
+
+@register(_HYB + _MIX.format("0.4 * l + 0.6 * sem"))
+def weighted_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Six tenths cosine and four tenths BM25 as it is."""
+    return _hybrid(spark, d, 0.4, False)
+
+
 # ------------------------------------------------------------- chunks, windows, orders
 
 

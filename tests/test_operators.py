@@ -178,11 +178,28 @@ def test_bm25_in_blocks(spark, rows):
     assert rows(lexical.bm25_top(qs, "q", "t", docs.where("d < 0"), "d", "t", 4)) == []
 
 
-def test_hybrid(spark, rows):
-    lex = spark.createDataFrame([("q", "a", 4.0), ("q", "b", 2.0)], "q string, d string, score double")
-    sem = spark.createDataFrame([("q", "a", 0.0), ("q", "b", 1.0), ("q", "c", 0.5), ("p", "a", 0.25)], "q string, d string, score double")
-    got = {(r[0], r[1]): r[2] for r in rows(lexical.hybrid(lex, sem, "q", "d"))}
-    assert got[("q", "a")] == pytest.approx(0.5, abs=1e-6) and got[("q", "b")] == pytest.approx(0.75, abs=1e-6) and got[("q", "c")] == 0.25 and got[("p", "a")] == 0.125
+def test_hybrid_against_all_pairs(spark, rows, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: rng.choice("ab cd ef gh ij kl".split())
+    vec = lambda: [float(rng.randrange(-3, 4)) for _ in range(3)]
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randrange(9))), vec()) for i in range(50)] + [(90, None, vec()), (91, "ab", None)], "d bigint, t string, v array<double>").repartition(3)
+    qs = spark.createDataFrame([(i, f"{word()} {word()}", vec()) for i in range(6)] + [(8, "zz", vec()), (9, None, vec())], "q bigint, t string, v array<double>")
+    used = docs.where("v is not null and t is not null")
+    lex = {(r["q"], r["d"]): r["score"] for r in lexical.bm25(qs, "q", "t", used, "d", "t").collect()}
+    cos = {(r["q"], r["d"]): r["c"] for r in qs.where("t is not null").crossJoin(used.select("d", F.col("v").alias("w"))).select("q", "d", vectors.cosine(F.col("v"), F.col("w")).alias("c")).collect()}
+    for scaled in (True, False):
+        want = []
+        for q in sorted({k[0] for k in cos}):
+            score = {d: lex.get((q, d), 0.0) for x, d in cos if x == q}
+            low, high = min(score.values()), max(score.values())
+            part = lambda s: ((s - low) / (high - low + 1e-6) if high > low else 0.0) if scaled else s  # noqa: E731, B023
+            best = sorted((-round(0.5 * part(s) + 0.5 * cos[q, d], 6) + 0.0, d) for d, s in score.items())[:4]
+            want += [(q, d, -s + 0.0, i + 1) for i, (s, d) in enumerate(best)]
+        for most in (4_000_000, 12):
+            monkeypatch.setattr(lexical, "MOST_CELLS", most)
+            got = lexical.hybrid_top(qs, "q", "t", "v", docs, "d", "t", "v", 4, scaled=scaled)
+            assert [r[:3] for r in rows(got.select("q", "rank", "d"))] == sorted((q, n, d) for q, d, _, n in want)
+            assert [r[2] for r in rows(got.select("q", "rank", "score"))] == pytest.approx([s for _, _, s, _ in want], abs=2e-6)
 
 
 def test_usage_goldens(spark):
