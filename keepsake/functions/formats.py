@@ -154,3 +154,7 @@ def day_key(c: Column) -> Column:
 
 def percent(c: Column) -> Column:
     return F.format_string("%.1f", c * 100)
+
+
+def time_text(time: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    return F.date_format(time, pattern)

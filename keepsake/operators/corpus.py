@@ -60,6 +60,11 @@ def stem(path: Column) -> Column:
     return F.when(name.rlike(r"^.+\.[^.]+$") & ~name.rlike(r"^\.[^.]*$"), F.regexp_replace(name, r"\.[^.]+$", "")).otherwise(name)
 
 
+def item_of_uri(source: Column, scheme: str) -> Column:
+    """The item that a source names: what follows the scheme, else the stem of its path."""
+    return F.when(source.startswith(scheme), F.substring(source, len(scheme) + 1, 1 << 30)).otherwise(stem(source))
+
+
 def evidence_kind(evidence_id: Column) -> Column:
     """email by its beginning, else video or image by suffix, else unknown."""
     low = F.lower(evidence_id)

@@ -47,14 +47,22 @@ def text_at(v: Column, *path: str) -> Column:
 
 def has_usage(v: Column) -> Column:
     """The object has a token key, or total, input and output with a number among them."""
-    some = None
-    for k in TOKEN_KEYS:
-        c = _at(v, k)[0].isNotNull()
-        some = c if some is None else some | c
+    some = F.coalesce(*[_at(v, k)[0] for k in TOKEN_KEYS]).isNotNull()
     bare = _at(v, "total")[0].isNotNull() & _at(v, "input")[0].isNotNull() & _at(v, "output")[0].isNotNull()
     return some | (bare & F.coalesce(int_at(v, "total"), int_at(v, "input"), int_at(v, "output")).isNotNull())
 
 
+# The paths of all counts in a usage object.
+USAGE_PATHS = [
+    ("input_tokens",), ("output_tokens",), ("total_tokens",), ("prompt_tokens",), ("completion_tokens",), ("totalTokens",), ("input",), ("cache", "read"), ("output",), ("total",), ("reasoning",), ("cache_creation", "ephemeral_5m_input_tokens"), ("cache_creation", "ephemeral_1h_input_tokens"), ("cache_creation_input_tokens",), ("cacheCreationInputTokens",), ("cache_creation_tokens",), ("cache", "write"), ("cache_read_input_tokens",), ("cacheReadInputTokens",), ("cached_input_tokens",), ("cachedInputTokens",), ("inputTokens",), ("promptTokens",), ("outputTokens",), ("completionTokens",),
+]
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def usage_fields(v: Column) -> Column:
     """struct of token counts of a usage object, whichever of the four naming habits it has.
 
@@ -62,46 +70,57 @@ def usage_fields(v: Column) -> Column:
     cached subset of a grand total is taken out of the uncached part. Separate
     reasoning tokens count as output. Without an explicit total it is the sum.
     """
-    either = lambda a, b: F.coalesce(F.when(int_at(v, a) != 0, int_at(v, a)), int_at(v, b))
-    pair = lambda a, b: a.isNull() & b.isNull()
-    i1, o1, t1 = int_at(v, "input_tokens"), int_at(v, "output_tokens"), int_at(v, "total_tokens")
-    i2, o2 = int_at(v, "prompt_tokens"), int_at(v, "completion_tokens")
-    i3, o3 = either("inputTokens", "promptTokens"), either("outputTokens", "completionTokens")
-    none1, none2 = pair(i1, o1), pair(i2, o2)
-    tok_in = F.when(~none1, i1).when(~none2, i2).otherwise(i3)
-    tok_out = F.when(~none1, o1).when(~none2, o2).otherwise(o3)
-    total = F.coalesce(t1, F.when(none1 & none2, int_at(v, "totalTokens")))
-    bare = tok_in.isNull() & tok_out.isNull() & total.isNull()
-    tok_in = F.when(bare, int_at(v, "input") + F.coalesce(int_at(v, "cache", "read"), F.lit(0))).otherwise(tok_in)
-    tok_out = F.when(bare, int_at(v, "output")).otherwise(tok_out)
-    total = F.coalesce(F.when(bare, int_at(v, "total")).otherwise(total), tok_in + tok_out)
-    tok_out = tok_out + F.coalesce(int_at(v, "reasoning"), F.lit(0))
-    nonzero = lambda c: F.when(c != 0, c)
-    explicit = F.coalesce(nonzero(int_at(v, "total_tokens")), nonzero(int_at(v, "totalTokens")), int_at(v, "total"))
-    uncached = F.coalesce(int_at(v, "input_tokens"), int_at(v, "prompt_tokens"), i3, int_at(v, "input"))
-    short, long = int_at(v, "cache_creation", "ephemeral_5m_input_tokens"), int_at(v, "cache_creation", "ephemeral_1h_input_tokens")
-    parts = nonzero(F.coalesce(short, F.lit(0)) + F.coalesce(long, F.lit(0)))
-    write = F.coalesce(int_at(v, "cache_creation_input_tokens"), int_at(v, "cacheCreationInputTokens"), int_at(v, "cache_creation_tokens"), parts, int_at(v, "cache", "write"))
-    read = F.coalesce(int_at(v, "cache_read_input_tokens"), int_at(v, "cacheReadInputTokens"), int_at(v, "cache", "read"))
-    subset = F.when(read.isNull(), F.coalesce(int_at(v, "cached_input_tokens"), int_at(v, "cachedInputTokens")))
-    uncached = F.when(subset.isNotNull(), F.greatest(F.lit(0), uncached - subset)).otherwise(uncached)
-    read = F.coalesce(read, subset)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    effective = F.when(F.coalesce(uncached, write, read).isNotNull(), zero(uncached) + zero(write) + zero(read))
-    tok_in = F.coalesce(effective, tok_in)
-    total = F.coalesce(explicit, tok_in + tok_out, total)
-    return F.struct(
-        tok_in.alias("input_tokens"), uncached.alias("uncached_tokens"), write.alias("cache_write_tokens"), read.alias("cache_read_tokens"), tok_out.alias("output_tokens"), total.alias("total_tokens")
-    )
+    found = F.struct(*[int_at(v, *p).alias("_".join(p)) for p in USAGE_PATHS])
+
+    def fields(s: Column) -> Column:
+        n = lambda k: s[k]
+        either = lambda a, b: F.coalesce(F.when(n(a) != 0, n(a)), n(b))
+        pair = lambda a, b: a.isNull() & b.isNull()
+        i1, o1, t1 = n("input_tokens"), n("output_tokens"), n("total_tokens")
+        i2, o2 = n("prompt_tokens"), n("completion_tokens")
+        i3, o3 = either("inputTokens", "promptTokens"), either("outputTokens", "completionTokens")
+        none1, none2 = pair(i1, o1), pair(i2, o2)
+        tok_in = F.when(~none1, i1).when(~none2, i2).otherwise(i3)
+        tok_out = F.when(~none1, o1).when(~none2, o2).otherwise(o3)
+        total = F.coalesce(t1, F.when(none1 & none2, n("totalTokens")))
+        bare = tok_in.isNull() & tok_out.isNull() & total.isNull()
+        tok_in = F.when(bare, n("input") + F.coalesce(n("cache_read"), F.lit(0))).otherwise(tok_in)
+        tok_out = F.when(bare, n("output")).otherwise(tok_out)
+        total = F.coalesce(F.when(bare, n("total")).otherwise(total), tok_in + tok_out)
+        tok_out = tok_out + F.coalesce(n("reasoning"), F.lit(0))
+        nonzero = lambda c: F.when(c != 0, c)
+        explicit = F.coalesce(nonzero(n("total_tokens")), nonzero(n("totalTokens")), n("total"))
+        uncached = F.coalesce(n("input_tokens"), n("prompt_tokens"), i3, n("input"))
+        short, long = n("cache_creation_ephemeral_5m_input_tokens"), n("cache_creation_ephemeral_1h_input_tokens")
+        parts = nonzero(F.coalesce(short, F.lit(0)) + F.coalesce(long, F.lit(0)))
+        write = F.coalesce(n("cache_creation_input_tokens"), n("cacheCreationInputTokens"), n("cache_creation_tokens"), parts, n("cache_write"))
+        read = F.coalesce(n("cache_read_input_tokens"), n("cacheReadInputTokens"), n("cache_read"))
+        subset = F.when(read.isNull(), F.coalesce(n("cached_input_tokens"), n("cachedInputTokens")))
+        uncached = F.when(subset.isNotNull(), F.greatest(F.lit(0), uncached - subset)).otherwise(uncached)
+        read = F.coalesce(read, subset)
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        effective = F.when(F.coalesce(uncached, write, read).isNotNull(), zero(uncached) + zero(write) + zero(read))
+        tok_in = F.coalesce(effective, tok_in)
+        total = F.coalesce(explicit, tok_in + tok_out, total)
+        return F.struct(
+            tok_in.alias("input_tokens"), uncached.alias("uncached_tokens"), write.alias("cache_write_tokens"), read.alias("cache_read_tokens"), tok_out.alias("output_tokens"), total.alias("total_tokens")
+        )
+
+    return let(found, fields)
 
 
 def cost(v: Column) -> Column:
     return F.coalesce(*[float_at(v, k) for k in COST_KEYS])
 
 
+def top_id(v: Column) -> Column:
+    """The first id at the top of an object."""
+    return F.coalesce(*[text_at(v, k) for k in ID_KEYS])
+
+
 def correlation_id(v: Column) -> Column:
     """The first id of an event, at its top, then in its parents."""
-    return F.coalesce(*[text_at(v, k) for k in ID_KEYS], *[text_at(v, p, k) for p in ID_PARENTS for k in ID_KEYS])
+    return F.coalesce(top_id(v), *[text_at(v, p, k) for p in ID_PARENTS for k in ID_KEYS])
 
 
 def model_name(v: Column) -> Column:
@@ -147,6 +166,64 @@ def usage_records(events: DataFrame, run: list[str], seq: str, event: str) -> Da
     return rows.select(*run, "seq", F.col("_n").alias("part"), correlation_id(F.col("_e")).alias("group_id"), usage_fields(v).alias("_u"), cost(v).alias("cost_usd")).select(*run, "seq", "part", "group_id", "_u.*", "cost_usd")
 
 
+def final_usage(events: DataFrame, run: list[str], seq: str, event: str) -> DataFrame:
+    """One usage record per run: of its last successful result that reports tokens, grouped by its session.
+
+    Cost is the event's, else that of its usage object. A run without such a
+    result gives the records of all its events (``usage_records``).
+    """
+    v = F.try_parse_json(F.col(event))
+    u = F.try_variant_get("v", "$.usage", "variant")
+    rows = events.select(*run, F.col(seq).alias("seq"), v.alias("v")).where((text_at(F.col("v"), "type") == "result") & (text_at(F.col("v"), "subtype") == "success"))
+    rows = rows.select(*run, "seq", text_at(F.col("v"), "session_id").alias("group_id"), usage_fields(u).alias("u"), F.coalesce(cost(F.col("v")), cost(u)).alias("cost_usd"), F.schema_of_variant(u).startswith("OBJECT").alias("is_object"))
+    last = rows.where("is_object").groupBy(*run).agg(F.max_by(F.struct("seq", "group_id", "u", "cost_usd"), "seq").alias("m"))
+    last = last.where("coalesce(m.u.input_tokens, m.u.output_tokens, m.u.total_tokens) is not null").select(*run, "m.seq", F.lit(0).alias("part"), "m.group_id", "m.u.*", "m.cost_usd")
+    rest = events.join(last.select(*[F.col(c).alias(f"_{c}") for c in run]), [events[c].eqNullSafe(F.col(f"_{c}")) for c in run], "left_anti")
+    return last.unionByName(usage_records(rest, run, seq, event))
+
+
+def message_usage(events: DataFrame, run: list[str], seq: str, event: str) -> DataFrame:
+    """One usage record per finished assistant message that reports tokens, grouped by its response, message or event id."""
+    v = F.col("v")
+    m, u = F.try_variant_get("v", "$.message", "variant"), F.try_variant_get("v", "$.message.usage", "variant")
+    rows = events.select(*run, F.col(seq).alias("seq"), F.try_parse_json(F.col(event)).alias("v"))
+    rows = rows.where((text_at(v, "type") == "message_end") & (text_at(v, "message", "role") == "assistant"))
+    group = F.coalesce(text_at(v, "message", "responseId"), top_id(m), top_id(v))
+    return rows.select(*run, "seq", F.lit(0).alias("part"), group.alias("group_id"), message_fields(u).alias("u"), F.coalesce(float_at(u, "cost", "total"), cost(u)).alias("cost_usd")).where(
+        "coalesce(u.input_tokens, u.output_tokens, u.total_tokens) is not null"
+    ).select(*run, "seq", "part", "group_id", "u.*", "cost_usd")
+
+
+def message_fields(u: Column) -> Column:
+    """As ``usage_fields``, of a message's usage: input, output, cacheRead, cacheWrite and totalTokens."""
+    part = lambda k: int_at(u, k)
+    some = F.coalesce(part("input"), part("cacheRead"), part("cacheWrite"))
+    tok_in = F.when(some.isNotNull(), F.coalesce(part("input"), F.lit(0)) + F.coalesce(part("cacheRead"), F.lit(0)) + F.coalesce(part("cacheWrite"), F.lit(0)))
+    total = F.coalesce(part("totalTokens"), tok_in + part("output"))
+    return F.struct(tok_in.alias("input_tokens"), part("input").alias("uncached_tokens"), part("cacheWrite").alias("cache_write_tokens"), part("cacheRead").alias("cache_read_tokens"), part("output").alias("output_tokens"), total.alias("total_tokens"))
+
+
+def search_hits(reply: Column) -> Column:
+    """array<struct(text, item_id, score)> of a memory search's reply: a list, or an object with one under results or data.
+
+    The text is memory, else text; hits without text are left out. The id is the
+    metadata's, the hit's, or the first in square brackets in the text. A missing
+    score is 0. Several hits may name one item.
+    """
+    from keepsake.functions.formats import bracket_id
+
+    at = lambda path, kind: F.try_variant_get(reply, path, kind)
+    lists = [F.when(F.size(at(p, "array<variant>")) > 0, at(p, "array<variant>")) for p in ("$", "$.results", "$.data")]
+    hits = F.coalesce(*lists, F.array().cast("array<variant>"))
+    text = lambda h, *ks: F.coalesce(*[F.when(F.try_variant_get(h, k, "string") != "", F.try_variant_get(h, k, "string")) for k in ks])
+
+    def hit(h: Column) -> Column:
+        t = text(h, "$.memory", "$.text")
+        return F.struct(t.alias("text"), F.coalesce(text(h, "$.metadata.item_id", "$.item_id"), bracket_id(t)).alias("item_id"), F.coalesce(F.try_variant_get(h, "$.score", "double"), F.lit(0.0)).alias("score"))
+
+    return F.filter(F.transform(hits, hit), lambda h: h["text"].isNotNull())
+
+
 COUNTS = ("input_tokens", "uncached_tokens", "cache_write_tokens", "cache_read_tokens", "output_tokens", "total_tokens", "cost_usd")
 
 

@@ -732,4 +732,4 @@ def tag_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Further families of queries register themselves.
-from keepsake.plans import answer_queries  # noqa: E402,F401
+from keepsake.plans import answer_queries, text_queries, trace_queries  # noqa: E402,F401
