@@ -173,6 +173,82 @@ def build_items(mails: DataFrame | None, images: DataFrame | None, videos: DataF
     return out
 
 
+def sanitised(questions: DataFrame, keep: tuple[str, ...] = ("id", "question")) -> DataFrame:
+    """Questions without anything that tells their answers."""
+    return questions.select(*keep)
+
+
+def memory_payloads(items: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, item_id, modality, text, metadata) of items with text; the metadata name item and modality unless they do so themselves."""
+    given = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    own = F.create_map(F.lit("item_id"), F.col("item_id"), F.lit("modality"), F.col("modality"))
+    whole = F.map_concat(F.map_filter(own, lambda k, _v: ~F.map_contains_key(given, k)), given)
+    return items.where(F.col("text") != "").select(*keep, "item_id", "modality", "text", whole.alias("metadata"))
+
+
+def conversational_payloads(mails: DataFrame | None, images: DataFrame | None, videos: DataFrame | None) -> DataFrame:
+    """(src, ord, item_id, modality, text, metadata) of records with a ``conversational_text``.
+
+    They belong in order of the metadata's timestamp text, then src and ord
+    (``dense_index`` numbers them so). Ids are a mail's id or a path's stem.
+    """
+    def one(df: DataFrame, n: int, kind: str) -> DataFrame:
+        has = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+        item = blank(F.col("id")) if kind == "email" else F.coalesce(stem(F.col(f"{kind}_path")), F.lit(""))
+        about = {"item_id": item, "modality": F.lit(kind), "source": F.lit(kind), "timestamp": blank(has("timestamp"))}
+        if kind != "email":
+            about["location"] = first_nonblank(has("location_name"), has("location"))
+        meta = F.create_map(*[x for k, v in about.items() for x in (F.lit(k), v)])
+        return df.where(F.col("conversational_text") != "").select(F.lit(n).alias("src"), "ord", item.alias("item_id"), F.lit(kind).alias("modality"), F.col("conversational_text").alias("text"), meta.alias("metadata"))
+
+    parts = [one(df, n, kind) for n, kind, df in ((0, "email", mails), (1, "image", images), (2, "video", videos)) if df is not None]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def numbered_contexts(contexts: Column) -> Column:
+    """Contexts (array of text, item_ids) as blocks under ``Memory i``, with their sources; blank ones are left out but counted."""
+
+    def block(c: Column, i: Column) -> Column:
+        ids = F.array_join(c["item_ids"], ", ")
+        some = F.size(c["item_ids"]) > 0
+        head = F.concat(F.lit("Memory "), (i + 1).cast("string"), F.when(some, F.concat(F.lit(" (Source ID: "), ids, F.lit(")"))).otherwise(""), F.lit(":"))
+        return F.when(c["text"] != "", F.concat_ws("\n", head, F.when(some, F.concat(F.lit("Source ID: "), ids)), c["text"]))
+
+    return F.array_join(F.transform(contexts, block), "\n\n")
+
+
+def neighbour_lines(notes: Column) -> Column:
+    """One line for each note of an array of index, timestamp, content, context, keywords and tags; null notes are left out."""
+    none = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    listed = lambda c: F.concat(F.lit("["), blank(F.array_join(F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ")), F.lit("]"))
+    line = lambda n: F.concat(
+        F.lit("memory index:"), none(n["index"]), F.lit("\t talk start time:"), none(n["timestamp"]), F.lit("\t memory content: "), none(n["content"]), F.lit("\t memory context: "), none(n["context"]),
+        F.lit("\t memory keywords: "), listed(n["keywords"]), F.lit("\t memory tags: "), listed(n["tags"]),
+    )
+    return F.array_join(F.transform(F.filter(notes, lambda n: n.isNotNull()), line), "\n")
+
+
+# The fields of batch evidence and other names for them.
+EVIDENCE_FIELDS = ("type", "timestamp", "location", "short_caption", "caption", "ocr", "tags")
+FIELD_ALIASES = {"time": "timestamp", "date": "timestamp", "place": "location", "location_name": "location", "short": "short_caption", "ocr_text": "ocr", "text": "ocr", "tag": "tags"}
+
+
+def evidence_fields(said: str) -> tuple[str, ...]:
+    """The fields that a setting names: all or default, none or id_only, or a list by comma or blank; unknown names raise."""
+    words = said.strip().lower().replace(",", " ").split()
+    if words in (["all"], ["default"]):
+        return EVIDENCE_FIELDS
+    if words in (["none"], ["id_only"], ["id-only"], []):
+        return ()
+    fields = tuple(FIELD_ALIASES.get(w.replace("-", "_"), w.replace("-", "_")) for w in words)
+    if unknown := sorted(set(fields) - set(EVIDENCE_FIELDS)):
+        raise ValueError(f"unknown fields {', '.join(unknown)}; known: {', '.join(EVIDENCE_FIELDS)}")
+    return fields
+
+
 def dense_index(df: DataFrame, order: list[Column | str], name: str = "idx", start: int = 0) -> DataFrame:
     """``df`` numbered without gaps in ``order``, without gathering it in one task.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from keepsake.operators.corpus import dense_index
 from keepsake.operators.lookups import pending
 from keepsake.operators.ranking import windows_of
+from keepsake.runtime import hadoop_path
 
 Maker = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -101,3 +103,51 @@ def distil(windows: DataFrame, stream: str, text: str, maker: Maker, schema: str
     one = windows.groupBy(stream, "window").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce(F.col(text), F.lit("")).alias("t")))).alias("c"))
     one = one.select(stream, "window", F.array_join(F.transform("c", lambda s: s["t"]), "\n").alias("text"), F.concat_ws("/", stream, "window").alias("window_id"))
     return make_rows(one, maker, schema, "window_id")
+
+
+def evolve(state: dict, note: dict, encode: Callable, decide: Callable, k: int = 5) -> dict:
+    """One step of ``ingest_in_order``: a note joins the memory and may change its nearest neighbours.
+
+    ``state``: id -> note with its vector. ``decide(note, neighbours)`` gives what
+    to set in the note (links to neighbours are lists of ids) and, by neighbour
+    id, what to set in these; unknown ids are ignored. The ``k`` neighbours are
+    those of highest cosine, ties by id; vectors of changed notes stay as they
+    were first made. The state is changed in place and returned.
+    """
+    vector = np.asarray(encode(note), dtype=np.float64)
+    size = np.linalg.norm(vector)
+    vector = vector / size if size else vector
+    ids = sorted(state)
+    near: list = []
+    if ids:
+        scores = np.stack([state[i]["vector"] for i in ids]) @ vector
+        near = [ids[i] for i in np.lexsort((np.arange(len(ids)), -scores))[:k]]
+    own, others = decide(note, [state[i] for i in near])
+    for i, change in others.items():
+        if i in near:
+            state[i].update({x: v for x, v in change.items() if x not in ("id", "vector")})
+    state[note["id"]] = {**note, **own, "vector": vector}
+    return state
+
+
+def history_floors(items: int, capacity: int, sessions: int, heat: float) -> tuple[int, int, float]:
+    """(capacity, sessions, heat) under which a memory of ``items`` entries forgets none: each at least the number of items."""
+    return max(capacity, items), max(sessions, items), max(heat, float(items))
+
+
+def save_snapshot(memory: DataFrame, path: str, name: str, force: bool = False) -> bool:
+    """Writes a memory under a name unless it is there; whether it was written. Snapshots are never changed."""
+    fs, done = hadoop_path(memory.sparkSession, f"{path}/{name}/_SUCCESS")
+    if fs.exists(done) and not force:
+        return False
+    memory.write.mode("overwrite").parquet(f"{path}/{name}")
+    return True
+
+
+def isolated(spark, path: str, name: str, questions: DataFrame, answer: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``answer(questions, memory)`` from a snapshot that every question sees as it was saved.
+
+    A snapshot is a table that nothing writes to, so what an answer adds to its
+    own copy reaches no other question.
+    """
+    return answer(questions, spark.read.parquet(f"{path}/{name}"))

@@ -82,6 +82,14 @@ def joint_report(details: DataFrame, scores: DataFrame, key: str, gt: str, ranke
     return j.agg(*cols, F.count_if(use).alias("with_gt"), F.count_if(~some).alias("empty_gt"), F.count_if(some & F.col("_has").isNull()).alias("missing_answer"))
 
 
+def recall_detail(df: DataFrame, key: str, gt: str, ranked: str, scores: str, ks: tuple[int, ...] = KS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One record per row: key, true ids (once each), ranked ids with their scores, and the recall at each k."""
+    true = _ids(F.array_distinct(F.filter(F.col(gt), lambda x: x.isNotNull() & (x != ""))))
+    return df.select(*keep, F.col(key).alias("id"), true.alias("gt_evidence_ids"), _ids(F.col(ranked)).alias("retrieval_ids"), F.col(scores).alias("retrieval_scores")).select(
+        "*", *[recall_list(F.col("gt_evidence_ids"), F.col("retrieval_ids"), k).alias(f"recall_at_{k}") for k in ks]
+    )
+
+
 def coverage(df: DataFrame, tier: str) -> DataFrame:
     """(tier, entries, ratio) of an attribution."""
     from pyspark.sql import Window

@@ -36,7 +36,8 @@ def media_part(label: Column, content: Column, mime: Column) -> Column:
 
 def answer_after_marker(reply: Column, marker: str = "Answer:") -> Column:
     """What follows the first marker up to the next, trimmed; the whole reply where there is none."""
-    return F.trim(F.when(reply.contains(marker), F.get(F.split(reply, marker), 1)).otherwise(reply))
+    part = F.when(reply.contains(marker), F.get(F.split(reply, marker), 1)).otherwise(reply)
+    return F.regexp_replace(part, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
 def normalised_answer(expected_id: Column, question: Column, told_question: Column, answer: Column) -> Column:

@@ -122,3 +122,15 @@ def thinned(frames: Column, most: int) -> Column:
     """At most ``most`` of an array, evenly stepped, from the first."""
     step = F.greatest(F.lit(1), F.floor(F.size(frames) / most).cast("int"))
     return F.slice(F.filter(frames, lambda _x, i: i % step == 0), 1, most)
+
+
+def first_items(items: Column, most: int | None) -> Column:
+    """The first ``most`` of an array, or all of it; null gives an empty one."""
+    whole = F.coalesce(items, F.array())
+    return whole if most is None else F.slice(whole, 1, most)
+
+
+def batched(items: Column, size: int) -> Column:
+    """An array cut in arrays of ``size``, the last one shorter; null gives an empty one."""
+    n = F.ceil(F.size(F.coalesce(items, F.array())) / size).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(items, i * size + 1, F.lit(size)))).otherwise(F.array())

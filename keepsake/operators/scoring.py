@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import answers as A
+from keepsake.operators.lookups import last_by_key
 
 TYPES = ("number", "list_recall", "open_end")
 
@@ -67,15 +69,9 @@ def exact_match(df: DataFrame, gt: str, pred: str, question: str | None = None)
     return s.select(*keep, verdict.alias("correct"), c("_pn").alias("normalised_prediction"))
 
 
-def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key by ``order``, as a dictionary built in that order would hold it. Null keys are a key."""
-    one = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last()))
-    return df.withColumn("_rn", one).where("_rn = 1").drop("_rn")
-
-
 def with_predictions(qas: DataFrame, predictions: DataFrame, key: str = "id", answer: str = "answer", order: str = "ord") -> DataFrame:
     """``qas`` with ``prediction``: the last answer of the same key, or empty."""
-    p = last_by_key(predictions.select(key, answer, order), key, order).select(F.col(key).cast("string").alias("_k"), F.col(answer).alias("_a"))
+    p = last_by_key(predictions.select(key, answer, order), [key], [order]).select(F.col(key).cast("string").alias("_k"), F.col(answer).alias("_a"))
     return qas.join(p, qas[key].cast("string") == F.col("_k"), "left").withColumn("prediction", F.coalesce("_a", F.lit(""))).drop("_k", "_a")
 
 
@@ -139,3 +135,59 @@ def judged(df: DataFrame, judge: Judge, key: str, cache: DataFrame | None = None
     kind = df.schema[key].dataType.simpleString()
     new = todo.select(key, "question", "ground_truth", "prediction").mapInPandas(run, f"{key} {kind}, accuracy double, failed boolean")
     return new if done is None else done.join(df.select(key), key, "left_semi").unionByName(new)
+
+
+class Refused(Exception):
+    """A judge will not answer this row, however often it is asked."""
+
+
+OneJudge = Callable[[dict], float]
+
+
+def judged_with_retries(
+    df: DataFrame, judge: Callable[[], OneJudge], key: str, cache: DataFrame | None = None, fallback: Callable[[], OneJudge] | None = None,
+    tries: int = 3, wait: float = 1.0, fallback_after: int = 2, throttled_tries: int = 10,
+) -> DataFrame:
+    """Scores (key, accuracy, failed, retries, fallback) of rows asked one by one, with patience.
+
+    ``judge`` and ``fallback`` make a judge once per task. A failure is tried
+    again after wait x 2^(n-1) seconds, up to ``tries`` times, or
+    ``throttled_tries`` once an error names status 429. After ``fallback_after``
+    failures, or at once if the judge refuses, the fallback is asked instead. A
+    refusal without fallback ends the row. Rows that end without score have 0 and
+    failed, and are asked again in a later run; successes in ``cache`` (key,
+    accuracy, failed) are not. Scores outside [0, 1] are cut to it.
+    """
+    todo = df
+    if cache is not None:
+        good = cache.where(~F.coalesce(F.col("failed"), F.lit(False))).select(key, "accuracy").dropDuplicates([key])
+        todo = df.join(good.select(key), key, "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, second = judge(), None
+        for f in frames:
+            rows = []
+            for r in f.astype(object).where(f.notna(), None).to_dict("records"):
+                ask, n, most, spare, score = first, 0, tries, False, None
+                while score is None and n < most:
+                    try:
+                        score = min(1.0, max(0.0, float(ask(r))))
+                    except Exception as e:
+                        n += 1
+                        refused = isinstance(e, Refused)
+                        most = max(most, throttled_tries) if "429" in str(e) else most
+                        if fallback and not spare and (refused or n >= fallback_after):
+                            second = second or fallback()
+                            ask, spare = second, True
+                        elif refused:
+                            break
+                        elif n < most and wait:
+                            time.sleep(wait * 2 ** (n - 1))
+                rows.append((r[key], score or 0.0, score is None, n, spare))
+            yield pd.DataFrame(rows, columns=[key, "accuracy", "failed", "retries", "fallback"])
+
+    kind = df.schema[key].dataType.simpleString()
+    new = todo.select(key, "question", "ground_truth", "prediction").mapInPandas(run, f"{key} {kind}, accuracy double, failed boolean, retries int, fallback boolean")
+    if cache is None:
+        return new
+    return good.join(df.select(key), key, "left_semi").select(key, "accuracy", F.lit(False).alias("failed"), F.lit(0).alias("retries"), F.lit(False).alias("fallback")).unionByName(new)

@@ -113,14 +113,9 @@ def cost(v: Column) -> Column:
     return F.coalesce(*[float_at(v, k) for k in COST_KEYS])
 
 
-def top_id(v: Column) -> Column:
-    """The first id at the top of an object."""
-    return F.coalesce(*[text_at(v, k) for k in ID_KEYS])
-
-
 def correlation_id(v: Column) -> Column:
     """The first id of an event, at its top, then in its parents."""
-    return F.coalesce(top_id(v), *[text_at(v, p, k) for p in ID_PARENTS for k in ID_KEYS])
+    return F.coalesce(*[text_at(v, k) for k in ID_KEYS], *[text_at(v, p, k) for p in ID_PARENTS for k in ID_KEYS])
 
 
 def model_name(v: Column) -> Column:
@@ -188,19 +183,24 @@ def message_usage(events: DataFrame, run: list[str], seq: str, event: str) -> Da
     m, u = F.try_variant_get("v", "$.message", "variant"), F.try_variant_get("v", "$.message.usage", "variant")
     rows = events.select(*run, F.col(seq).alias("seq"), F.try_parse_json(F.col(event)).alias("v"))
     rows = rows.where((text_at(v, "type") == "message_end") & (text_at(v, "message", "role") == "assistant"))
-    group = F.coalesce(text_at(v, "message", "responseId"), top_id(m), top_id(v))
+    group = F.coalesce(text_at(v, "message", "responseId"), let(m, correlation_id), let(v, correlation_id))
     return rows.select(*run, "seq", F.lit(0).alias("part"), group.alias("group_id"), message_fields(u).alias("u"), F.coalesce(float_at(u, "cost", "total"), cost(u)).alias("cost_usd")).where(
         "coalesce(u.input_tokens, u.output_tokens, u.total_tokens) is not null"
     ).select(*run, "seq", "part", "group_id", "u.*", "cost_usd")
 
 
 def message_fields(u: Column) -> Column:
-    """As ``usage_fields``, of a message's usage: input, output, cacheRead, cacheWrite and totalTokens."""
-    part = lambda k: int_at(u, k)
-    some = F.coalesce(part("input"), part("cacheRead"), part("cacheWrite"))
-    tok_in = F.when(some.isNotNull(), F.coalesce(part("input"), F.lit(0)) + F.coalesce(part("cacheRead"), F.lit(0)) + F.coalesce(part("cacheWrite"), F.lit(0)))
-    total = F.coalesce(part("totalTokens"), tok_in + part("output"))
-    return F.struct(tok_in.alias("input_tokens"), part("input").alias("uncached_tokens"), part("cacheWrite").alias("cache_write_tokens"), part("cacheRead").alias("cache_read_tokens"), part("output").alias("output_tokens"), total.alias("total_tokens"))
+    """As ``usage_fields``, of a message's usage: input, output, cacheRead, cacheWrite and totalTokens, or total where that is 0 or absent."""
+    found = F.struct(*[int_at(u, k).alias(k) for k in ("input", "output", "cacheRead", "cacheWrite", "totalTokens", "total")])
+
+    def fields(s: Column) -> Column:
+        zero = lambda k: F.coalesce(s[k], F.lit(0))
+        tok_in = F.when(F.coalesce(s["input"], s["cacheRead"], s["cacheWrite"]).isNotNull(), zero("input") + zero("cacheRead") + zero("cacheWrite"))
+        total = F.coalesce(F.when(s["totalTokens"] != 0, s["totalTokens"]), s["total"], tok_in + s["output"])
+        names = ("input_tokens", "uncached_tokens", "cache_write_tokens", "cache_read_tokens", "output_tokens", "total_tokens")
+        return F.struct(*[c.alias(n) for n, c in zip(names, (tok_in, s["input"], s["cacheWrite"], s["cacheRead"], s["output"], total))])
+
+    return let(found, fields)
 
 
 def search_hits(reply: Column) -> Column:

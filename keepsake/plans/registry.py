@@ -101,13 +101,6 @@ def vec_precision(spark: SparkSession, d: str) -> DataFrame:
     return flagship(spark, d)
 
 
-@register()
-def vec_joint_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Two vectors in one, a missing one as zeros."""
-    e = table(spark, d, "embeddings").select("vec_id", vectors.joint_vector(F.col("embedding"), F.when(F.col("vec_id") % 3 != 0, F.col("embedding")), 64).alias("v"))
-    return vectors.top_k(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "q_id"), e, "q_id", "vec_id", "v", 5, skip_self=True)
-
-
 @register(
     _VEC + """, a as (select q_id, vec_id, rank, case when rank <= 5 then (vec_id * 7919) % 101 end as ns from r where rank <= 10)
     select q_id, vec_id, row_number() over (partition by q_id order by ns is null, ns desc, rank) as place from a"""
@@ -656,13 +649,6 @@ def group_by_day(spark: SparkSession, d: str) -> DataFrame:
     return summaries.by_day(_images(spark, d), "timestamp", "rec_no")
 
 
-@register()
-def run_report(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracies of stand-in runs (annotators) side by side."""
-    rows = table(spark, d, "qa_annotations").groupBy(F.col("annotator").alias("model"), F.lit("text").alias("mode"), F.lit(25).alias("k"), F.lit("judge").alias("judge"), F.coalesce("qtype", F.lit("all")).alias("qtype"))
-    return summaries.run_report(rows.agg(F.avg((F.length("answer") % 2).cast("double")).alias("accuracy")))
-
-
 # ----------------------------------------------------------------------------- usage
 
 
@@ -732,4 +718,4 @@ def tag_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Further families of queries register themselves.
-from keepsake.plans import answer_queries, text_queries, trace_queries  # noqa: E402,F401
+from keepsake.plans import answer_queries, record_queries, text_queries, trace_queries  # noqa: E402,F401
