@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.runtime import cut
@@ -266,6 +266,42 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str = "idx", sta
     return placed.withColumn("_pid", pid.cast("bigint")).join(F.broadcast(offsets), F.col("_pid") == F.col("pid")).withColumn(name, F.col("offset") + row).drop("_mono", "_pid", "pid", "offset")
 
 
+def grouped_index(df: DataFrame, group: list[str], order: list[Column | str], name: str = "idx", start: int = 1) -> DataFrame:
+    """``df`` numbered without gaps in ``order`` within each group, without gathering a group in one task.
+
+    Rows are range-partitioned by group and order, so a large group lies in
+    several partitions; rows are numbered within a partition's part of a group,
+    and what lies in earlier partitions is added. Only the first group of a
+    partition can have such rows, so the counts that are collected are at most
+    two for each partition. Order rows fully, else ties fall as they may.
+    """
+    keys = [F.col(c) for c in group] + [F.col(o) if isinstance(o, str) else o for o in order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_mono", F.monotonically_increasing_id())
+    placed = cut(placed.withColumn("_pid", F.shiftright("_mono", 33).cast("bigint")))
+    parts = cut(placed.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("n")))
+    many = parts.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    same = [parts[c].eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
+    split = parts.join(many, same, "left_semi").orderBy("_pid").collect()  # at most two for each partition
+    before, seen = [], {}
+    for r in split:
+        g = tuple(r[c] for c in group)
+        if g in seen:
+            before.append((*g, r["_pid"], seen[g]))
+        seen[g] = seen.get(g, 0) + r["n"]
+    kinds = ", ".join(f"_g{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(group))
+    offsets = df.sparkSession.createDataFrame(before, f"{kinds}, _p bigint, _offset bigint")
+    local = F.row_number().over(Window.partitionBy("_pid", *group).orderBy("_mono")) + (start - 1)
+    same = [placed[c].eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
+    out = placed.withColumn("_n", local).join(F.broadcast(offsets), [F.col("_pid") == F.col("_p"), *same], "left")
+    return out.select(*df.columns, (F.col("_n") + F.coalesce("_offset", F.lit(0))).cast("bigint").alias(name))
+
+
+def evidence_bitmap(ids: Column) -> Column:
+    """struct(mail, media): whether ids of mails, and of media by their time, are among an array; null and empty ones have none."""
+    some = lambda f: F.coalesce(F.exists(ids, lambda x: F.coalesce(f(x), F.lit(False))), F.lit(False))
+    return F.struct(some(lambda x: F.lower(x).startswith("email")).alias("mail"), some(lambda x: x.rlike("^[0-9]{8}_[0-9]{6}")).alias("media"))
+
+
 def dialogue(item_id: Column, modality: Column, text: Column, metadata: Column) -> Column:
     """struct(user, agent): an item as one exchange; missing values read Unknown, a missing subject No subject."""
 

@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.operators.corpus import dense_index
+from keepsake.operators.corpus import dense_index, grouped_index
 from keepsake.operators.lookups import pending
 from keepsake.operators.ranking import windows_of
 from keepsake.runtime import hadoop_path
@@ -82,12 +82,12 @@ def ingest_in_order(items: DataFrame, order: list[str], state, step: Callable, e
 def dialogue_windows(dialogues: DataFrame, stream: str, order: list[str], size: int = 40, overlap: int = 2) -> DataFrame:
     """(stream, window, place, row columns): dialogues in time order cut in overlapping windows, one row per window that holds them.
 
-    A stream's places come from a window over the stream; a single archive-wide
-    stream should be numbered by ``numbered_windows`` instead.
+    Places are numbered without gathering a stream in one task (``grouped_index``);
+    order rows fully. A stream's number of rows is one aggregation joined back.
     """
-    place = F.row_number().over(Window.partitionBy(stream).orderBy(*order))
-    total = F.count(F.lit(1)).over(Window.partitionBy(stream))
-    rows = dialogues.withColumn("place", place).withColumn("_total", total)
+    rows = grouped_index(dialogues, [stream], order, "place")
+    total = rows.groupBy(F.col(stream).alias("_s")).agg(F.max("place").alias("_total"))
+    rows = rows.join(total, rows[stream].eqNullSafe(F.col("_s"))).drop("_s")
     return rows.withColumn("window", F.explode(windows_of(F.col("place"), F.col("_total"), size, overlap))).drop("_total")
 
 

@@ -82,6 +82,11 @@ def joint_report(details: DataFrame, scores: DataFrame, key: str, gt: str, ranke
     return j.agg(*cols, F.count_if(use).alias("with_gt"), F.count_if(~some).alias("empty_gt"), F.count_if(some & F.col("_has").isNull()).alias("missing_answer"))
 
 
+def depth(df: DataFrame, ranked: str) -> DataFrame:
+    """(depth): the length of the longest ranking; 0 where there is none."""
+    return df.agg(F.coalesce(F.max(F.size(_ids(F.col(ranked)))), F.lit(0)).cast("bigint").alias("depth"))
+
+
 def recall_detail(df: DataFrame, key: str, gt: str, ranked: str, scores: str, ks: tuple[int, ...] = KS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One record per row: key, true ids (once each), ranked ids with their scores, and the recall at each k."""
     true = _ids(F.array_distinct(F.filter(F.col(gt), lambda x: x.isNotNull() & (x != ""))))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.operators.corpus import grouped_index
+
 
 def items_of_chunks(hits: DataFrame, query: str, item: str, rank: str, score: str) -> DataFrame:
     """(query, item, score, rank): each item once, at its best chunk's place and score (0 where null); null items are dropped."""
     best = hits.where(F.col(item).isNotNull()).groupBy(query, item).agg(F.min(F.struct(F.col(rank).alias("r"), F.coalesce(F.col(score), F.lit(0.0)).alias("s"))).alias("m"))
-    place = F.row_number().over(Window.partitionBy(query).orderBy("m.r", item))
-    return best.select(query, item, F.col("m.s").alias("score"), place.alias("rank"))
+    flat = best.select(query, item, F.col("m.s").alias("score"), F.col("m.r").alias("_r"))
+    return grouped_index(flat, [query], ["_r", item], "rank").drop("_r")
 
 
 def fuse_views(views: list[DataFrame], query: str, item: str, rank: str) -> DataFrame:
@@ -19,7 +21,7 @@ def fuse_views(views: list[DataFrame], query: str, item: str, rank: str) -> Data
     for v in views[1:]:
         both = both.unionByName(v.select(query, item, rank))
     best = both.groupBy(query, item).agg(F.min(rank).alias("_r"))
-    return best.select(query, item, F.row_number().over(Window.partitionBy(query).orderBy("_r", item)).alias(rank))
+    return grouped_index(best, [query], ["_r", item], rank).drop("_r")
 
 
 def pool(gt: Column, ranked: Column, size: int) -> Column:
@@ -40,6 +42,11 @@ def pool(gt: Column, ranked: Column, size: int) -> Column:
     return F.when(F.size(g) > size, g).otherwise(F.slice(F.concat(kept, missing), 1, size))
 
 
+def substituted(pool_ids: Column, gt: Column) -> Column:
+    """The ids of a row's pool where it has one, else its true ids; null gives an empty array."""
+    return F.coalesce(pool_ids, gt, F.array().cast("array<string>"))
+
+
 def shuffled(ids: Column, *seed: Column) -> Column:
     """``ids`` in an order that depends on the seed alone."""
     keyed = F.array_sort(F.transform(ids, lambda x: F.struct(F.xxhash64(*seed, x).alias("h"), x.alias("x"))))

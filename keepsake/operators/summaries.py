@@ -71,3 +71,18 @@ def markdown(report: DataFrame) -> DataFrame:
         [(1, "| " + " | ".join(report.columns) + " |"), (2, "|" + "---|" * len(report.columns))], "line int, text string"
     )
     return head.unionByName(report.select(n.alias("line"), row.alias("text")))
+
+
+def html(report: DataFrame, title: str) -> DataFrame:
+    """(line, text): a report as the lines of an HTML page, cells escaped, in the order of its first columns."""
+    def safe(c):
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), safe(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in report.columns], F.lit("</tr>"))
+    n = F.row_number().over(Window.orderBy(*report.columns[:4])) + 1
+    name = title.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    head = f"<html><head><title>{name}</title></head><body><table><tr>" + "".join(f"<th>{c}</th>" for c in report.columns) + "</tr>"
+    ends = report.sparkSession.createDataFrame([(1, head), (2147483647, "</table></body></html>")], "line int, text string")
+    return ends.unionByName(report.select(n.alias("line"), row.alias("text")))

@@ -367,11 +367,22 @@ w as (select *, list_distinct(case when len(pids) > 0 then pids else pitems end)
 """
 
 
-@register(_cascade() + ", " + _typed("verdicts", "g0") + ", " + _ITEMS + """select ann_no, type, case type when 'number' then 'em' when 'list_recall' then 'jaccard' else 'llm' end as metric,
+_SCORED = _cascade() + ", " + _typed("verdicts", "g0") + ", " + _ITEMS + """select ann_no, type, case type when 'number' then 'em' when 'list_recall' then 'jaccard' else 'llm' end as metric,
   round(case type when 'number' then correct::int::double when 'open_end' then (lower(g0) = lower(p0))::int::double
-    else case when len(gitems) + len(pset) = 0 then 1.0 when len(gitems) = 0 then 0.0 else len(list_intersect(gitems, pset)) / (len(gitems) + len(pset) - len(list_intersect(gitems, pset))) end end, 6) as accuracy from w""")
+    else case when len(gitems) + len(pset) = 0 then 1.0 when len(gitems) = 0 then 0.0 else len(list_intersect(gitems, pset)) / (len(gitems) + len(pset) - len(list_intersect(gitems, pset))) end end, 6) as accuracy from w"""
+
+
+@register(_SCORED)
 def score_answers(spark: SparkSession, d: str) -> DataFrame:
     """All three metrics by question type; a stand-in judge compares lower-cased texts."""
     judge = lambda f: (f["ground_truth"].fillna("").str.lower() == f["prediction"].fillna("").str.lower()).astype(float)
     scored = scoring.score_answers(_pairs(spark, d), "truth", "answer", "question", "qtype", judge)
     return scored.select("ann_no", "type", "metric", F.round("accuracy", 6).alias("accuracy"))
+
+
+@register(f"""with x as ({_SCORED}), g as (select type as qtype, count(*) as count, sum(accuracy) as correct from x group by type union all select 'all', count(*), sum(accuracy) from x)
+select qtype, coalesce(count, 0) as count, round(coalesce(correct, 0.0), 4) as correct, round(case when count > 0 then correct / count else 0.0 end, 6) as accuracy from (select unnest(['number', 'list_recall', 'open_end', 'all']) as qtype) left join g using (qtype)""")
+def score_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of ``score_answers`` by type and in all."""
+    out = scoring.summarise_scores(score_answers(spark, d))
+    return out.select("qtype", "count", F.round("correct", 4).alias("correct"), F.round("accuracy", 6).alias("accuracy"))

@@ -178,7 +178,7 @@ def joint_report(spark: SparkSession, d: str) -> DataFrame:
 
 @register("select max(coalesce(len(retrieval_ids), 0))::bigint as depth from retrieval_results")
 def retrieval_depth(spark: SparkSession, d: str) -> DataFrame:
-    return _runs(spark, d).agg(big(F.coalesce(F.max(F.greatest(F.lit(0), F.size(F.coalesce("retrieval_ids", F.array())))), F.lit(0))).alias("depth"))
+    return metrics.depth(_runs(spark, d), "retrieval_ids")
 
 
 # ---------------------------------------------------------------------- evidence pools
@@ -207,7 +207,7 @@ def pool_issues(spark: SparkSession, d: str) -> DataFrame:
 
 @register("select ann_no, coalesce(niah_evidence_ids, evidence_ids, []) as ids from qa_annotations")
 def pool_substitution(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "qa_annotations").select("ann_no", F.coalesce("niah_evidence_ids", "evidence_ids", F.array().cast("array<string>")).alias("ids"))
+    return table(spark, d, "qa_annotations").select("ann_no", ranking.substituted(F.col("niah_evidence_ids"), F.col("evidence_ids")).alias("ids"))
 
 
 # ----------------------------------------------------------------------- ranked lists
@@ -319,15 +319,24 @@ def expand_links(spark: SparkSession, d: str) -> DataFrame:
     return out.select("tag", "id", big(F.col("place")).alias("place"), "linked")
 
 
-@register("""select p.idx, case when k.item_id is not null then [p.evidence_id] else [] end as item_ids, case when k.item_id is not null then 'source' else 'none' end as tier
-from text_passages p left join (select distinct item_id from retrieval_items) k on p.evidence_id = k.item_id""")
+@register("""select p.idx, case when k.item_id is not null then [p.evidence_id] when p.idx % 2 = 0 then ['side' || p.idx, 'b'] else [] end as item_ids, case when k.item_id is not null then 'source' when p.idx % 2 = 0 then 'side' else 'none' end as tier
+from text_passages p left join (select distinct item_id from retrieval_items where row_no % 3 <> 0) k on p.evidence_id = k.item_id""")
 def attribute_passages(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "text_passages").select(F.col("idx").alias("entry_id"), F.array("evidence_id").alias("source_ids"))
-    side = spark.createDataFrame([], "entry_id bigint, item_ids array<string>")
-    return lookups.attribute(e, table(spark, d, "retrieval_items"), side).withColumnRenamed("entry_id", "idx")
-
-
-@register()
+    """Passages to two thirds of the items by their own ids, every second other one by a side table."""
+    p = table(spark, d, "text_passages")
+    e = p.select(F.col("idx").alias("entry_id"), F.array("evidence_id").alias("source_ids"))
+    side = p.where("idx % 2 = 0").select(F.col("idx").alias("entry_id"), F.array(F.concat(F.lit("side"), F.col("idx").cast("string")), F.lit("b")).alias("item_ids"))
+    return lookups.attribute(e, table(spark, d, "retrieval_items").where("row_no % 3 <> 0"), side).withColumnRenamed("entry_id", "idx")
+
+
+@register(r"""with e as (select note_no, id, list_distinct(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')) as w from memory_notes where content is not null),
+q as (select id as item_id, question from qa_annotations qualify row_number() over (partition by id order by ann_no) = 1),
+u as (select item_id, regexp_extract_all(lower(question), '[\p{L}\p{N}_]+') as a from q),
+i as (select item_id, list_filter(list_filter(a, lambda v, n: list_position(a, v) = n), lambda v: length(v) >= 6)[:8] as w from u),
+s as (select e.note_no, i.item_id, count(*) as score from (select note_no, unnest(w) as x from e) e join (select item_id, unnest(w) as x from i) i using (x) group by all having count(*) >= 2),
+n as (select note_no, item_id, 100 as score from (select note_no, unnest(w) as x from e) e join q on lower(q.item_id) = x),
+b as (select *, row_number() over (partition by note_no order by score desc, item_id) as r from (from s union all from n))
+select note_no as entry_id, item_id, score::bigint as score from b where r = 1""")
 def attribute_by_words(spark: SparkSession, d: str) -> DataFrame:
     """Notes to the questions whose long words they contain."""
     e = table(spark, d, "memory_notes").where("content is not null").select(F.col("note_no").alias("entry_id"), F.col("content").alias("text"))
@@ -361,9 +370,14 @@ def _mails(spark: SparkSession, d: str) -> DataFrame:
 @register(f"""select 1::bigint as src, rec_no as ord, regexp_replace(regexp_extract(image_path, '([^/]*)$', 1), '\\.[^.]+$', '') as item_id, 'image' as modality, {_IMG} as text, coalesce(location_name, '') as place
 from image_batch_results where image_path <> ''
 union all select 0, idx, evidence_id, 'email', 'ID: ' || evidence_id || chr(10) || 'Timestamp: ' || coalesce(timestamp, '') || chr(10) || 'Summary: ' || coalesce(title, '') || chr(10) || 'Detail: ' || coalesce(text, ''), coalesce(location, '')
-from text_passages where modality = 'email' and evidence_id <> ''""")
+from text_passages where modality = 'email' and evidence_id <> ''
+union all select 2, row_no, regexp_replace(regexp_extract(video_path, '([^/]*)$', 1), '\\.[^.]+$', ''), 'video', 'ID: ' || regexp_replace(regexp_extract(video_path, '([^/]*)$', 1), '\\.[^.]+$', '') || chr(10) || 'Type: video' || chr(10) || 'Timestamp: ' || coalesce(metadata['timestamp'], '') || chr(10)
+  || 'Location: ' || coalesce(metadata['location'], '') || chr(10) || 'Short Caption: ' || chr(10) || 'Caption: ' || coalesce(text, '') || chr(10) || 'OCR: ' || chr(10) || 'Tags: ', coalesce(metadata['location'], '') from retrieval_items where video_path <> ''""")
 def corpus_union(spark: SparkSession, d: str) -> DataFrame:
-    items = corpus.build_items(_mails(spark, d), _images(spark, d), None)
+    """Mails, images and videos in one table of items."""
+    m = lambda k: F.try_element_at("metadata", F.lit(k))
+    videos = table(spark, d, "retrieval_items").select(F.col("row_no").alias("ord"), "video_path", m("timestamp").alias("timestamp"), m("location").alias("location_name"), F.col("text").alias("caption"))
+    items = corpus.build_items(_mails(spark, d), _images(spark, d), videos)
     return items.select(big(F.col("src")).alias("src"), "ord", "item_id", "modality", "text", F.try_element_at("metadata", F.lit("location")).alias("place"))
 
 
@@ -410,8 +424,7 @@ def evidence_kinds(spark: SparkSession, d: str) -> DataFrame:
 @register("""select ann_no, coalesce(bool_or(lower(e) like 'email%'), false) as mail, coalesce(bool_or(regexp_matches(e, '^[0-9]{8}_[0-9]{6}')), false) as media
 from (select ann_no, unnest(case when len(evidence_ids) > 0 then evidence_ids else [null] end) as e from qa_annotations) group by ann_no""")
 def evidence_bitmap(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "qa_annotations").select("ann_no", F.explode_outer("evidence_ids").alias("e"))
-    return e.groupBy("ann_no").agg(F.coalesce(F.bool_or(F.lower("e").startswith("email")), F.lit(False)).alias("mail"), F.coalesce(F.bool_or(F.col("e").rlike("^[0-9]{8}_[0-9]{6}")), F.lit(False)).alias("media"))
+    return table(spark, d, "qa_annotations").select("ann_no", corpus.evidence_bitmap(F.col("evidence_ids")).alias("b")).select("ann_no", "b.*")
 
 
 @register("""select ann_no, list_transform(list_filter(list_zip(e, range(1, len(e) + 1)), lambda t: list_position(e, t[1]) = t[2]), lambda t: t[1]) as ids
@@ -507,22 +520,6 @@ def answer_currencies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "qa_annotations").where("answer is not null").select("ann_no", A.currencies(F.col("answer")).alias("codes"))
 
 
-@register(r"""select ann_no, len(regexp_extract_all(answer, '\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b'))::bigint as n, regexp_replace(regexp_extract(answer, '\b\d{4}-\d{2}-\d{2}\b'), '-', '', 'g') as first from qa_annotations where answer is not null and regexp_matches(answer, '^\d{4}-\d{2}-\d{2}$')""")
-def answer_iso_dates(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "qa_annotations").where(F.col("answer").rlike(r"^\d{4}-\d{2}-\d{2}$"))
-    return rows.select("ann_no", big(F.size(A.date_tokens(F.col("answer")))).alias("n"), F.get(A.date_tokens(F.col("answer")), 0).alias("first"))
-
-
-@register("""with t as (select unnest(['number', 'list_recall', 'open_end']) as qtype),
-s as (select case when lower(qtype) in ('number', 'list_recall', 'open_end') then lower(qtype) else 'open_end' end as qtype, case when answer is null then 0.0 else least(1.0, length(answer) / 40.0) end as s from qa_annotations),
-g as (select qtype, count(*) as count, sum(s) as correct from s group by qtype union all select 'all', count(*), sum(s) from s)
-select qtype, coalesce(count, 0) as count, round(coalesce(correct, 0.0), 4) as correct, round(case when count > 0 then correct / count else 0.0 end, 6) as accuracy from (select qtype from t union all select 'all') left join g using (qtype)""")
-def score_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "qa_annotations").select("qtype", (F.length("answer") / 40.0).alias("accuracy"))
-    out = scoring.summarise_scores(rows, "qtype", "accuracy")
-    return out.select("qtype", "count", F.round("correct", 4).alias("correct"), F.round("accuracy", 6).alias("accuracy"))
-
-
 @register("""with w as (select ann_no, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) as q, list_distinct(regexp_extract_all(lower(answer), '[a-z0-9]+')) as a from qa_annotations where question is not null and answer is not null)
 select ann_no, len(list_filter(a, lambda x: not list_contains(q, x) and not list_contains(['the','a','an','of','in','at','on','for','to','and','or','by','from','with','into','is','was','were','be','been','being'], x))) = 0 as subset from w""")
 def token_subset(spark: SparkSession, d: str) -> DataFrame:
@@ -718,4 +715,4 @@ def tag_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Further families of queries register themselves.
-from keepsake.plans import answer_queries, record_queries, text_queries, trace_queries  # noqa: E402,F401
+from keepsake.plans import answer_queries, file_queries, record_queries, text_queries, trace_queries  # noqa: E402,F401

@@ -23,6 +23,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def path_root(spark: SparkSession, path: str) -> str:
+    """``path`` as listings of its file system write it."""
+    fs, p = hadoop_path(spark, path)
+    return str(fs.makeQualified(p).toString())
+
+
 def json_document(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """One row per element of a JSON array file (or one for an object); malformed files raise."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)

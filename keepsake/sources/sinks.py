@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from keepsake.operators.corpus import stem
 from keepsake.operators.lookups import last_by_key
+from keepsake.operators.summaries import html
+from keepsake.runtime import hadoop_path
 from keepsake.sources.readers import exists
 
 # Names of the memory variants.
@@ -30,19 +33,17 @@ def write_document(df: DataFrame, path: str) -> None:
 
 
 def upsert(df: DataFrame, path: str, key: str = "id") -> None:
-    """Append rows as one batch; ``read_upserted`` keeps the last of each key, so nothing is rewritten."""
-    df.withColumn("_batch", F.lit(_next_batch(df, path))).withColumn("_n", F.monotonically_increasing_id()).write.mode("append").parquet(path)
+    """Append rows as one batch; ``read_upserted`` keeps the last of each key, so nothing is rewritten.
 
-
-def _next_batch(df: DataFrame, path: str) -> int:
-    spark = df.sparkSession
-    if not exists(spark, path):
-        return 0
-    return (spark.read.parquet(path).agg(F.max("_batch")).first()[0] or 0) + 1
+    Batches count in the order of the clocks of their writers; two of one moment
+    still differ by a random name, so that one of them wins whole.
+    """
+    out = df.withColumn("_batch", F.lit(time.time_ns())).withColumn("_writer", F.lit(uuid.uuid4().hex)).withColumn("_n", F.monotonically_increasing_id())
+    out.write.mode("append").parquet(path)
 
 
 def read_upserted(spark, path: str, key: str = "id") -> DataFrame:
-    return last_by_key(spark.read.parquet(path), [key], ["_batch", "_n"]).drop("_batch", "_n")
+    return last_by_key(spark.read.parquet(path), [key], ["_batch", "_writer", "_n"]).drop("_batch", "_writer", "_n")
 
 
 def append_progress(df: DataFrame, path: str) -> None:
@@ -51,8 +52,34 @@ def append_progress(df: DataFrame, path: str) -> None:
 
 
 def rewrite_progress(ids: DataFrame, path: str) -> None:
-    """A progress log of exactly these ids, sorted; the committer makes the change whole or not at all."""
-    write_lines(ids.select("item_id", F.lit("success").alias("status")).distinct().orderBy("item_id"), path)
+    """A progress log of exactly these ids, sorted.
+
+    The new log is written whole beside the old one, which then makes place for
+    it by two renames; whoever dies between them leaves the old log under its
+    name with ``.old``, and nothing is lost.
+    """
+    spark = ids.sparkSession
+    fresh = f"{path}.{uuid.uuid4().hex}.new"
+    write_lines(ids.select("item_id", F.lit("success").alias("status")).distinct().orderBy("item_id"), fresh)
+    fs, new = hadoop_path(spark, fresh)
+    at, old = hadoop_path(spark, path)[1], hadoop_path(spark, f"{path}.old")[1]
+    if fs.exists(at):
+        fs.delete(old, True)
+        if not fs.rename(at, old):
+            raise OSError(f"cannot replace {path}")
+    if not fs.rename(new, at):
+        raise OSError(f"cannot write {path}")
+    fs.delete(old, True)
+
+
+def write_file(spark, path: str, content: str | bytes) -> None:
+    """One small file, replacing what was there."""
+    fs, p = hadoop_path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(content.encode() if isinstance(content, str) else content))
+    finally:
+        out.close()
 
 
 def cache_key(config: dict) -> str:
@@ -115,4 +142,9 @@ def merge_missing(source: DataFrame, target: str, key: str) -> None:
     new = source
     if exists(spark, target):
         new = source.join(spark.read.parquet(target).select(key).distinct(), key, "left_anti")
-    new.withColumn("_part", F.lit(uuid.uuid4().hex)).drop("_part").write.mode("append").parquet(target)
+    new.write.mode("append").parquet(target)
+
+
+def write_report(report: DataFrame, path: str, title: str) -> None:
+    """A report as a page of HTML, a table row for each of its rows; for reports, whose size is bounded by their grouping."""
+    html(report, title).orderBy("line").select("text").coalesce(1).write.mode("overwrite").text(path)
