@@ -275,25 +275,33 @@ def grouped_index(df: DataFrame, group: list[str], order: list[Column | str], na
     partition can have such rows, so the counts that are collected are at most
     two for each partition. Order rows fully, else ties fall as they may.
     """
+    mono, pid, n = (free_name(df, x) for x in ("_mono", "_pid", "_n"))
     keys = [F.col(c) for c in group] + [F.col(o) if isinstance(o, str) else o for o in order]
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_mono", F.monotonically_increasing_id())
-    placed = cut(placed.withColumn("_pid", F.shiftright("_mono", 33).cast("bigint")))
-    parts = cut(placed.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("n")))
-    many = parts.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    same = [parts[c].eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
-    split = parts.join(many, same, "left_semi").orderBy("_pid").collect()  # at most two for each partition
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(mono, F.monotonically_increasing_id())
+    placed = cut(placed.withColumn(pid, F.shiftright(mono, 33).cast("bigint")))
+    own = [f"g{i}" for i in range(len(group))]
+    parts = cut(placed.groupBy(*[F.col(c).alias(g) for c, g in zip(group, own)], F.col(pid).alias("p")).agg(F.count(F.lit(1)).alias("rows")))
+    many = parts.groupBy(*[F.col(g).alias(f"m{g}") for g in own]).agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    split = parts.join(many, [parts[g].eqNullSafe(F.col(f"m{g}")) for g in own], "left_semi").orderBy("p").collect()  # at most two for each partition
     before, seen = [], {}
     for r in split:
-        g = tuple(r[c] for c in group)
+        g = tuple(r[x] for x in own)
         if g in seen:
-            before.append((*g, r["_pid"], seen[g]))
-        seen[g] = seen.get(g, 0) + r["n"]
-    kinds = ", ".join(f"_g{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(group))
-    offsets = df.sparkSession.createDataFrame(before, f"{kinds}, _p bigint, _offset bigint")
-    local = F.row_number().over(Window.partitionBy("_pid", *group).orderBy("_mono")) + (start - 1)
-    same = [placed[c].eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
-    out = placed.withColumn("_n", local).join(F.broadcast(offsets), [F.col("_pid") == F.col("_p"), *same], "left")
-    return out.select(*df.columns, (F.col("_n") + F.coalesce("_offset", F.lit(0))).cast("bigint").alias(name))
+            before.append((*g, r["p"], seen[g]))
+        seen[g] = seen.get(g, 0) + r["rows"]
+    kinds = "".join(f"`off {g}` {df.schema[c].dataType.simpleString()}, " for g, c in zip(own, group))
+    offsets = df.sparkSession.createDataFrame(before, f"{kinds}`off p` bigint, `off rows` bigint")
+    local = F.row_number().over(Window.partitionBy(pid, *group).orderBy(mono)) + (start - 1)
+    same = [placed[c].eqNullSafe(F.col(f"off {g}")) for g, c in zip(own, group)]
+    out = placed.withColumn(n, local).join(F.broadcast(offsets), [F.col(pid) == F.col("off p"), *same], "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(n) + F.coalesce("off rows", F.lit(0))).cast("bigint").alias(name))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it no column of ``df``."""
+    while name in df.columns:
+        name = "_" + name
+    return name
 
 
 def evidence_bitmap(ids: Column) -> Column:
