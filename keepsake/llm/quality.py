@@ -8,9 +8,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.runtime import cut
+
 #: At most this many labelled documents, the first by hash of their id, train the rules.
 MOST_LABELS = 20_000
-#: At most this many frequent words become part of the plan.
+#: At most this many frequent words become part of the plan; more are joined to the words of the documents.
 MOST_WORDS = 5_000
 
 _BULLET = r"^\s*(?:[-*•–—·+>▪◦]|\d{1,3}[.)]|\[[ xX]?\]|[a-zA-Z][.)])\s"
@@ -24,17 +26,18 @@ RULE_FEATURES = (
 
 
 def pieces(text: Column) -> dict[str, Column]:
-    """The arrays that several statistics share: words, lines and sentence parts."""
+    """What several statistics share: words, lines, sentence parts, and the number of characters that are no white space."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*)"), F.lit(1))
     parts = F.filter(F.split(text, r"[.!?。！？\n\r]+"), lambda s: s.rlike(r"\S"))
     return {
         "words": words,
         "lines": F.filter(F.split(text, r"\r\n|[\n\r\u2028]"), lambda s: s.rlike(r"\S")),
         "parts": F.transform(parts, lambda s: F.trim(s)),
+        "tight": F.length(F.regexp_replace(text, r"\s+", "")).cast("double"),
     }
 
 
-def statistics(text: Column, words: Column, frequent: Column, lines: Column, parts: Column) -> dict[str, Column]:
+def statistics(text: Column, words: Column, frequent: Column, lines: Column, parts: Column, tight: Column) -> dict[str, Column]:
     """The statistics of a text by name; each is 0 where its denominator is.
 
     Words are runs of letters, digits and inner apostrophes or hyphens; lines
@@ -42,7 +45,6 @@ def statistics(text: Column, words: Column, frequent: Column, lines: Column, par
     """
     one = F.lit(1.0)
     n = F.size(words).cast("double")
-    tight = F.length(F.regexp_replace(text, r"\s+", "")).cast("double")
     nl = F.size(lines).cast("double")
 
     def share(a: Column, b: Column) -> Column:
@@ -58,9 +60,13 @@ def statistics(text: Column, words: Column, frequent: Column, lines: Column, par
         # What removing runs of a class takes away; Java is slow at negated unions of ranges.
         return (F.length(text) - F.length(F.regexp_replace(text, f"[{kinds}]+", ""))).cast("double")
 
+    def beyond_ascii(kinds: str) -> Column:
+        """As ``chars``, of kinds that a text of bytes below 128 has none of."""
+        return F.when(F.octet_length(text) == F.length(text), F.lit(0.0)).otherwise(chars(kinds))
+
     letters = chars(r"\p{L}")
     latin = chars(r"\p{IsLatin}")
-    cjk = share(chars(r"\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF"), tight)
+    cjk = share(beyond_ascii(r"\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF"), tight)
     fields = r"\S\s*[|;\t].*[|;\t]|\S {2,}\S.* {2,}\S|^ {4,}\S.* {3,}\S|,\S[^,]*,|,,|<td|\|.*\||^\s*[+|][-=+|]{3,}|;.*;"
     return {
         "n_chars": F.length(text).cast("double"),
@@ -76,7 +82,7 @@ def statistics(text: Column, words: Column, frequent: Column, lines: Column, par
         "vowel_ratio": share((F.length(text) - F.length(F.translate(text, "aeiouyàáâäãåæèéêëìíîïòóôöõøœùúûüAEIOUYÀÁÂÄÃÅÆÈÉÊËÌÍÎÏÒÓÔÖÕØŒÙÚÛÜ", ""))).cast("double"), F.greatest(latin, one)),
         "latin_ratio": share(latin, F.greatest(letters, one)),
         "cjk_ratio": cjk,
-        "odd_ratio": share(chars(r"�▀-◿ÂÃ\u0080-\u009F"), tight),
+        "odd_ratio": share(beyond_ascii(r"�▀-◿ÂÃ\u0080-\u009F"), tight),
         "markup_ratio": share(F.length(text) - F.length(F.regexp_replace(text, r"<[^<>]{1,200}>|&[a-z#0-9]{2,8};", "")), F.length(text).cast("double")),
         "code_ratio": share(chars(r"{}\[\]<>=\\/|~^_`"), tight),
         "punctuated_lines": of_lines(lambda s: s.rlike(r"[.!?…。！？]['\")”»\s]*$")),
@@ -95,15 +101,21 @@ def statistics(text: Column, words: Column, frequent: Column, lines: Column, par
 
 def with_statistics(df: DataFrame, text: str, common_words: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
     """``df`` with a struct column ``stats`` of all statistics or those of ``only``; null for null, empty and blank texts. A column of that name is replaced."""
-    common = sorted({r["word"].lower() for r in common_words.where("word is not null").select("word").distinct().limit(MOST_WORDS + 1).collect()})
-    if len(common) > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} frequent words")
+    listed = common_words.where("word is not null").select(F.lower("word").alias("word")).distinct()
+    common = sorted(r["word"] for r in listed.limit(MOST_WORDS + 1).collect())
     keep = [c for c in df.columns if c != "stats"]
     has = F.col(text).rlike(r"[^\s\p{Z}\u200B\uFEFF]")
     # Arrays first and statistics second, so that each array is made once.
     made = [F.when(has, c).alias(f"_{k}") for k, c in pieces(F.col(text)).items()]
-    staged = df.select(*keep, *made).withColumn("_frequent", F.filter("_words", lambda w: w.isin(common or [""])))
-    stats = statistics(F.col(text), *[F.col(f"_{k}") for k in ("words", "frequent", "lines", "parts")])
+    staged = df.select(*keep, *made)
+    if len(common) <= MOST_WORDS:
+        staged = staged.withColumn("_frequent", F.filter("_words", lambda w: w.isin(common or [""])))
+    else:
+        staged = cut(staged.withColumn("_row", F.monotonically_increasing_id()))
+        words = staged.select("_row", F.explode("_words").alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("n"))
+        found = words.join(listed, "word").groupBy("_row").agg(F.flatten(F.collect_list(F.expr("array_repeat(word, cast(n as int))"))).alias("_frequent"))
+        staged = staged.join(found, "_row", "left").withColumn("_frequent", F.coalesce("_frequent", F.when(F.col("_words").isNotNull(), F.array().cast("array<string>"))))
+    stats = statistics(F.col(text), *[F.col(f"_{k}") for k in ("words", "frequent", "lines", "parts", "tight")])
     # A row number, which no filter may pass: a filter on what follows would else be moved here and compute it all again.
     once = F.col("_words").isNotNull() & (F.monotonically_increasing_id() >= 0)
     return staged.select(*keep, F.when(once, F.struct(*[c.alias(k) for k, c in stats.items() if only is None or k in only])).alias("stats"))

@@ -101,6 +101,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _p8(spark, d, quality.RULE_FEATURES).where("kind <> 'prose'").select("doc_id", "kind")
 
 
+BASICS = ("n_chars", "n_words", "n_lines", "mean_word_length", "words_per_line", "symbol_ratio", "punctuated_lines", "common_words", "distinct_words", "longest_word")
+
+
+def p8_basics(spark: SparkSession, d: str) -> DataFrame:
+    """The plainest statistics of every document, rounded."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    out = quality.with_statistics(docs, "text", table(spark, d, "common_words"), BASICS)
+    return out.select("doc_id", *[F.round(f"stats.{c}", 5).alias(c) for c in BASICS])
+
+
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     """The text statistics and the kind of every document."""
     return _p8(spark, d).select("doc_id", "stats.*", "kind")
@@ -152,6 +162,20 @@ select r.mix_name, r.source, r.size, round(x.exponent, 6) as exponent, true as m
 from r join x using (mix_name) left join y using (mix_name, source)
 """
 
+P8_SQL = r"""
+with t as (select doc_id, text, text is not null and regexp_matches(text, '[^\s\x0b\p{Z}\x{200B}\x{FEFF}]') as has from documents),
+w as (select *, case when has then regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*') end as w,
+  case when has then list_filter(regexp_split_to_array(text, '\r\n|[\n\r\x{2028}]'), lambda s: regexp_matches(s, '[^\s\x0b]')) end as l from t),
+c as (select list(distinct lower(word)) as common from common_words where word is not null),
+x as (select *, list_filter(w, lambda v: list_contains(common, v)) as f, length(regexp_replace(text, '[\s\x0b]+', '', 'g')) as tight from w, c)
+select doc_id, case when has then length(text)::double end as n_chars, len(w)::double as n_words, len(l)::double as n_lines,
+  round(case when len(w) > 0 then length(array_to_string(w, '')) / len(w) when has then 0.0 end, 5) as mean_word_length, round(case when len(l) > 0 then len(w) / len(l) when has then 0.0 end, 5) as words_per_line,
+  round(case when not has then null when tight > 0 then length(regexp_replace(text, '[\p{L}\p{N}\s\x0b]+', '', 'g')) / tight else 0.0 end, 5) as symbol_ratio,
+  round(case when len(l) > 0 then len(list_filter(l, lambda s: regexp_matches(s, '[.!?…。！？][''")”»\s\x0b]*$'))) / len(l) when has then 0.0 end, 5) as punctuated_lines,
+  round(case when len(w) > 0 then len(f) / len(w) when has then 0.0 end, 5) as common_words, round(case when len(w) > 0 then len(list_distinct(w)) / len(w) when has then 0.0 end, 5) as distinct_words,
+  case when has then coalesce(list_max(list_transform(w, lambda v: length(v))), 0)::double end as longest_word from x
+"""
+
 P4_SQL = """
 with x as (
   select 'retrieval_hits' as origin, qa_id, item_id, score from retrieval_hits
@@ -167,8 +191,8 @@ from b qualify pos <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_tempered": p7_tempered, "p7_budgets": p7_budgets, "p8_found": p8_found, "p8_statistics": p8_statistics}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_tempered": p7_tempered, "p7_budgets": p7_budgets, "p8_found": p8_found, "p8_basics": p8_basics, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p4_found": P4_SQL, "p7_budgets": P7_SQL}
+    return {"p2_found": P2_SQL, "p4_found": P4_SQL, "p7_budgets": P7_SQL, "p8_basics": P8_SQL}

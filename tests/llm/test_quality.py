@@ -39,6 +39,15 @@ def test_odd_texts(spark, common):
     assert stats(spark, common, "这是一个 句子。")["cjk_ratio"] == pytest.approx(6 / 7)
 
 
+def test_more_frequent_words_than_a_plan_takes(spark, common, monkeypatch):
+    texts = [(1, "The cat and the dog was in it"), (2, "nothing here"), (3, None), (4, "the the the"), (4, " ")]
+    df = spark.createDataFrame(texts, "id bigint, t string")
+    run = lambda: sorted(map(repr, quality.with_statistics(df, "t", common).select("id", "stats.common_words", "stats.running_words", "stats.n_words").collect()))
+    want = run()
+    monkeypatch.setattr(quality, "MOST_WORDS", 3)
+    assert run() == want
+
+
 def documents(n, seed):
     rng = random.Random(seed)
     nouns = [f"{a}{b}" for a in ("lam", "ket", "gar", "win", "bas") for b in ("p", "tle", "den", "dow", "ket")]
