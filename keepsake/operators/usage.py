@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.operators.corpus import grouped_index
+
 # The names under which tools report tokens, cost, ids and models.
 TOKEN_KEYS = "input_tokens output_tokens total_tokens prompt_tokens completion_tokens inputTokens outputTokens totalTokens promptTokens completionTokens".split()
 COST_KEYS = "cost_usd total_cost_usd cost total_cost usd price_usd".split()
@@ -234,8 +236,10 @@ def total_usage(records: DataFrame, run: list[str], order: list[str]) -> DataFra
     later. Ungrouped records count once per distinct (input, output, total,
     cost), unless at least two totals never fall in ``order`` and sum to more
     than 1.2 times the largest: then they are running totals, and only the
-    first of the largest counts. Groups are aggregated before the shuffle; only
-    the fall test sorts a run's ungrouped records.
+    first of the largest counts. Groups are aggregated before the shuffle; for
+    the fall test a run's ungrouped records are numbered without gathering them
+    in one task (``grouped_index``), and each total is joined to the one before.
+    Order records fully.
     """
     have = [c for c in COUNTS if c in records.columns]
     score = F.coalesce("total_tokens", F.lit(0))
@@ -243,12 +247,16 @@ def total_usage(records: DataFrame, run: list[str], order: list[str]) -> DataFra
     body = F.struct(*have).alias("r")
     grouped = records.where("group_id is not null").groupBy(*run, "group_id").agg(F.max(F.struct(score.alias("s"), F.struct(*order).alias("o"), body)).alias("m")).select(*run, "m.r")
     loose = records.where("group_id is null")
-    before = F.max("total_tokens").over(Window.partitionBy(*run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    shape = (
-        loose.withColumn("_before", before).groupBy(*run)
-        .agg(F.count("total_tokens").alias("n"), F.sum("total_tokens").alias("sum"), F.max("total_tokens").alias("max"), F.count_if(F.col("total_tokens") < F.col("_before")).alias("falls"), F.min(F.struct((-score).alias("s"), F.struct(*order).alias("o"), body)).alias("best"))
-        .withColumn("running", (F.col("n") >= 2) & (F.col("falls") == 0) & (F.col("sum") > F.col("max") * 1.2))
-    )
+    told = loose.where("total_tokens is not null").select(*[F.col(c).alias(f"r{i}") for i, c in enumerate(run)], F.struct(*order).alias("o"), "total_tokens")
+    keys = [f"r{i}" for i in range(len(run))]
+    told = grouped_index(told, keys, ["o"], "place")
+    later = told.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("place") - 1).alias("_place"), F.col("total_tokens").alias("_next"))
+    falls = told.join(later, [told["place"] == F.col("_place"), *[told[k].eqNullSafe(F.col(f"_{k}")) for k in keys]]).where("_next < total_tokens")
+    falls = falls.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    shape = loose.groupBy(*run).agg(
+        F.count("total_tokens").alias("n"), F.sum("total_tokens").alias("sum"), F.max("total_tokens").alias("max"), F.min(F.struct((-score).alias("s"), F.struct(*order).alias("o"), body)).alias("best")
+    )
+    shape = shape.where((F.col("n") >= 2) & (F.col("sum") > F.col("max") * 1.2)).join(falls, [shape[c].eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(run)], "left_anti").withColumn("running", F.lit(True))
     best = shape.where("running").select(*run, F.col("best.r").alias("r"))
     single = loose.join(shape.where("running").select(*[F.col(c).alias(f"_{c}") for c in run]), [loose[c].eqNullSafe(F.col(f"_{c}")) for c in run], "left_anti")
     key = [c for c in ("input_tokens", "output_tokens", "total_tokens", "cost_usd") if c in have]
