@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -64,10 +65,16 @@ def statistics(text: Column, words: Column, frequent: Column, lines: Column, par
         """As ``chars``, of kinds that a text of bytes below 128 has none of."""
         return F.when(F.octet_length(text) == F.length(text), F.lit(0.0)).otherwise(chars(kinds))
 
-    letters = chars(r"\p{L}")
+    letters = F.when(F.octet_length(text) == F.length(text), chars("a-zA-Z")).otherwise(chars(r"\p{L}"))
     latin = chars(r"\p{IsLatin}")
     cjk = share(beyond_ascii(r"\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF"), tight)
     fields = r"\S\s*[|;\t].*[|;\t]|\S {2,}\S.* {2,}\S|^ {4,}\S.* {3,}\S|,\S[^,]*,|,,|<td|\|.*\||^\s*[+|][-=+|]{3,}|;.*;"
+
+    def hint(s: Column) -> Column:
+        """Without one of these no line has fields; a search for a text is far cheaper than the pattern."""
+        marks = [s.contains(m) for m in ("|", ";", "\t", "  ", "<td", "+")]
+        return reduce(lambda a, b: a | b, marks) | (s.contains(",") & s.rlike(r",\S"))
+
     return {
         "n_chars": F.length(text).cast("double"),
         "n_words": n,
@@ -87,9 +94,9 @@ def statistics(text: Column, words: Column, frequent: Column, lines: Column, par
         "code_ratio": share(chars(r"{}\[\]<>=\\/|~^_`"), tight),
         "punctuated_lines": of_lines(lambda s: s.rlike(r"[.!?…。！？]['\")”»\s]*$")),
         "marked_lines": of_lines(lambda s: s.rlike(_BULLET)),
-        "field_lines": of_lines(lambda s: s.rlike(fields)),
+        "field_lines": of_lines(lambda s: hint(s) & s.rlike(fields)),
         "short_lines": of_lines(lambda s: F.length(F.trim(s)) <= 45),
-        "bare_lines": of_lines(lambda s: ~s.rlike(r"[.!?…。！？:]['\")”»\s]*$") & (F.length(F.trim(s)) <= 60)),
+        "bare_lines": of_lines(lambda s: (F.length(F.trim(s)) <= 60) & ~s.rlike(r"[.!?…。！？:]['\")”»\s]*$")),
         "sentence_rate": share(count(r"[\p{L}\p{N}][\"”»)]*[.!?。！？]+(?:\s|$|(?=[㐀-鿿]))"), F.greatest(n, one)),
         "common_words": share(F.size(frequent).cast("double"), n),
         "running_words": F.greatest(share(F.length(F.array_join(frequent, "")).cast("double"), F.length(F.array_join(words, "")).cast("double")), cjk),
