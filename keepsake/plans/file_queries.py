@@ -10,6 +10,7 @@ from keepsake.operators import summaries
 from keepsake.plans.registry import big, register
 from keepsake.runtime import fresh_path, table
 from keepsake.sources import readers, sinks
+from keepsake.streaming import events as ev
 
 _NOTE = "note_no bigint, id string, content string, tags array<string>, modality string"
 
@@ -232,3 +233,25 @@ def report_as_html(spark: SparkSession, d: str) -> DataFrame:
     sinks.write_report(rows, at, "A & B")
     page = spark.read.text(at, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.regexp_replace("value", "\n$", "")), "\n")).alias("p", "text"))
     return page.select(big(F.col("p") + 1).alias("line"), "text")
+
+
+@register("""with e as (select user_id, event_id, value, event_id % 3 as part from events)
+select user_id, event_id, value from e qualify row_number() over (partition by user_id order by part desc, event_id desc) = 1""")
+def stream_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of three files whose micro-batches overwrite a user's row."""
+    src, out, log = (fresh_path(spark, x) for x in ("stream", "kept", "log"))
+    e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    for part in range(3):
+        e.where(F.col("event_id") % 3 == part).orderBy("event_id").coalesce(1).write.mode("append").parquet(src)
+    ev.upsert_batches(ev.event_stream(spark, src, files_per_batch=1), out, log).awaitTermination()
+    return ev.read_upserted(spark, out, ["user_id"]).select("user_id", "event_id", "value")
+
+
+@register("""with w as (select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as events from events group by all)
+select * from w where start + interval 1 hour <= (select max(ts) - interval 10 minute from events)""")
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly counts of a stream, each written once its window is closed by the watermark."""
+    src, out, log = (fresh_path(spark, x) for x in ("stream", "windows", "log"))
+    table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", "props").write.parquet(src)
+    ev.write_batches(ev.window_counts(ev.event_stream(spark, src)), out, log).awaitTermination()
+    return spark.read.parquet(out).select("start", "event_type", "events")

@@ -29,3 +29,24 @@ def sessions(events: DataFrame, time: str = "ts", gap: str = "30 minutes", late:
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Starts a query that appends a stream's rows to a Parquet table exactly once, over what is there, then stops."""
     return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert_batches(stream: DataFrame, path: str, checkpoint: str):
+    """Starts a query that keeps a stream's micro-batches for ``read_upserted``, over what is there, then stops.
+
+    A batch is written under its number and replaces what an interrupted try
+    left there, so each counts once.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.withColumn("_n", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/_batch_no={n}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_upserted(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """The last row of each key over all micro-batches, in the order in which they came."""
+    from keepsake.operators.lookups import last_by_key
+
+    batches = spark.read.option("basePath", path).parquet(f"{path}/_batch_no=*")
+    return last_by_key(batches, key, ["_batch_no", "_n"]).drop("_batch_no", "_n")
