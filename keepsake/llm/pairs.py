@@ -69,8 +69,7 @@ OPEN_WORDS = set(
     "der die das den dem des ein eine einen einem einer eines und oder von zu im in am an auf aus bei mit nach für vom zum zur dass weil wenn als obwohl neben etwa genau laut seit wird wurde hat haben ist sind war waren sehr unter über zwischen hinter vor "
     "le la les un une des du de d l et ou à au aux en dans sur sous avec pour par que qui parce car près derrière devant chez est sont était ont sans très mais "
     "el los las unos unas una uno y o del al en con por para que porque cerca según desde sobre entre hasta es está son fue ha han sin muy pero su sus mi tu se lo".split()
-) - {"on", "in", "over", "under", "before", "after", "about", "near", "since", "not", "is", "are", "was", "were", "can", "ist", "sind", "war", "vor", "zu", "an", "auf", "aus", "mit", "nach", "es", "son", "fue", "está", "other", "another", "very", "also", "only", "these", "those", "this", "that", "some", "any", "each", "most"}
-_SOFT = {"on", "in", "over", "under", "before", "after", "about", "near", "is", "are", "was", "were", "an", "auf", "aus", "mit", "nach", "es", "zu", "this", "that", "these", "some", "very", "each", "any"}
+) - set("since not can ist sind war vor son fue está other another also only those most".split())
 
 _END = re.compile(r"""[.!?…。！？»"”’')\]}:;>*_|~]\s*$|[\U0001F000-\U0001FAFF☀-➿️]\s*$""")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]")
@@ -197,7 +196,7 @@ def is_open(text: str) -> bool:
     if t.count('"') % 2 or t.count("(") > t.count(")") or t.count("“") > t.count("”") or t.count("«") > t.count("»"):
         return True
     last = re.findall(r"[^\W\d_]+", t)
-    return bool(last) and t.endswith(last[-1]) and last[-1] in (OPEN_WORDS | _SOFT) and len(words) >= 4
+    return bool(last) and t.endswith(last[-1]) and last[-1] in OPEN_WORDS and len(words) >= 4
 
 
 _VERDICT = "defect string, open boolean, mask string, ctx string, len int, words int, ended boolean"
