@@ -28,9 +28,9 @@ LONG = 0x7FFF
 
 
 def words(*texts: str) -> Column:
-    """Sorted distinct runs of a-z and 0-9 of the lower-cased texts; null counts as empty."""
+    """The distinct runs of a-z and 0-9 of the lower-cased texts; null counts as empty."""
     joined = F.concat_ws(" ", *[F.coalesce(F.col(t), F.lit("")) for t in texts])
-    return F.sort_array(F.array_distinct(F.array_remove(F.split(F.lower(joined), "[^a-z0-9]+"), "")))
+    return F.array_distinct(F.array_remove(F.split(F.lower(joined), "[^a-z0-9]+"), ""))
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -305,7 +305,7 @@ def near_duplicate_groups(
     component, spread over the tables of a further independent family. What is
     overfull after ``depth`` splits is compared across components as it is.
     """
-    recs = df.select(F.col(id_col).alias("id"), F.sort_array(F.transform(word_col, lambda w: F.xxhash64(w))).alias("h")).where("id is not null and size(h) > 0")
+    recs = df.select(F.col(id_col).alias("id"), F.sort_array(F.array_distinct(F.transform(word_col, lambda w: F.xxhash64(w)))).alias("h")).where("id is not null and size(h) > 0")
     recs = cut(recs.select("id", F.xxhash64("h").alias("ha"), F.xxhash64(F.lit(1), "h").alias("hb"), "h"))
     sets = cut(recs.groupBy("ha", "hb").agg(F.min("id").alias("rep"), F.first("h").alias("h"), F.count(F.lit(1)).alias("copies")))
     links = _links(sets.select("rep", "h"), similarity, bucket, depth)

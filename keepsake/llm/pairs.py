@@ -76,6 +76,11 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]")
 _QUOTED = re.compile(r"\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|«[^»\n]{0,400}»|„[^“”\n]{0,400}[“”]")
 
 
+#: An ASCII text that is no longer than the longest placeholder may be with its signs; a longer one is none.
+_SHORT_ASCII = re.compile(r"(?:[^a-zA-Z0-9]*[a-zA-Z0-9]){0,40}[^a-zA-Z0-9]*")
+_ALNUM = re.compile(r"[a-zA-Z0-9]")
+
+
 def _fold(s: str) -> str:
     return unicodedata.normalize("NFKC", s).casefold()
 
@@ -84,6 +89,8 @@ def is_empty(answer: str | None) -> bool:
     """Null, blank, without any letter or digit, or a mere placeholder."""
     if answer is None:
         return True
+    if answer.isascii() and not _SHORT_ASCII.fullmatch(answer):
+        return not _ALNUM.search(answer)
     core = "".join(c for c in _fold(answer) if unicodedata.category(c) not in ("Cf", "Cc", "Zs", "Zl", "Zp") or c == " ").strip()
     if not any(c.isalnum() for c in core):
         # A digit-free run of signs says nothing; pictures (emoji) may be an answer.
@@ -138,14 +145,27 @@ def is_refusal(answer: str) -> bool:
     return any(p.search(plain) for p in _REFUSAL)
 
 
-def language_scores(text: str, lexicon: dict[str, frozenset]) -> dict[str, int]:
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def by_word(lexicon: dict[str, frozenset]) -> dict[str, tuple[str, ...]]:
+    """The languages of each word."""
+    out: dict[str, list[str]] = {}
+    for lang, words in lexicon.items():
+        for w in words:
+            out.setdefault(w, []).append(lang)
+    return {w: tuple(langs) for w, langs in out.items()}
+
+
+def language_scores(text: str, languages: list[str], of: dict[str, tuple[str, ...]]) -> dict[str, int]:
     """Frequent words of each language among the words of ``text``; other scripts count by letters."""
     text = _QUOTED.sub(" ", text)
-    scores = {lang: 0 for lang in lexicon}
-    for w in re.findall(r"[^\W\d_]+", text.lower()):
-        for lang, words in lexicon.items():
-            if w in words:
-                scores[lang] += 1
+    scores = dict.fromkeys(languages, 0)
+    for w in _LETTERS.findall(text.lower()):
+        for lang in of.get(w, ()):
+            scores[lang] += 1
+    if text.isascii():
+        return scores
     letters = [c for c in text if c.isalpha()]
     for name, low, high in (("cjk", "぀", "鿿"), ("cyrillic", "Ѐ", "ӿ"), ("greek", "Ͱ", "Ͽ"), ("arabic", "؀", "ۿ"), ("hangul", "가", "힯")):
         n = sum(low <= c <= high for c in letters)
@@ -154,13 +174,13 @@ def language_scores(text: str, lexicon: dict[str, frozenset]) -> dict[str, int]:
     return scores
 
 
-def is_wrong_language(question: str | None, answer: str, lexicon: dict[str, frozenset]) -> bool:
+def is_wrong_language(question: str | None, answer: str, languages: list[str], of: dict[str, tuple[str, ...]]) -> bool:
     """Running words of the answer are of another language than the question."""
-    q = language_scores(question or "", lexicon)
+    q = language_scores(question or "", languages, of)
     own = max(q, key=q.get)
     if q[own] < 1:
         return False
-    a = language_scores(answer, lexicon)
+    a = language_scores(answer, languages, of)
     best = max(a, key=a.get)
     mine = a.get(own, 0)
     return best != own and a[best] >= 2 and a[best] >= mine + 2 and a[best] >= 1.5 * mine
@@ -203,6 +223,8 @@ _VERDICT = "defect string, open boolean, mask string, ctx string, len int, words
 
 
 def _rules(lexicon: dict[str, frozenset]):
+    languages, of = list(lexicon), by_word(lexicon)
+
     @pandas_udf(_VERDICT)
     def run(question: pd.Series, answer: pd.Series) -> pd.DataFrame:
         rows = []
@@ -214,7 +236,7 @@ def _rules(lexicon: dict[str, frozenset]):
                 verdict = "copied"
             elif is_refusal(a):
                 verdict = "refusal"
-            elif is_wrong_language(q, a, lexicon):
+            elif is_wrong_language(q, a, languages, of):
                 verdict = "wrong_language"
             else:
                 verdict = None
