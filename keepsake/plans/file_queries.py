@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from keepsake.functions import formats
 from keepsake.operators import summaries
 from keepsake.plans.registry import big, register
 from keepsake.runtime import fresh_path, table
-from keepsake.sources import readers, sinks
+from keepsake.sources import media, readers, sinks
 from keepsake.streaming import events as ev
 
 _NOTE = "note_no bigint, id string, content string, tags array<string>, modality string"
@@ -255,3 +257,61 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", "props").write.parquet(src)
     ev.write_batches(ev.window_counts(ev.event_stream(spark, src)), out, log).awaitTermination()
     return spark.read.parquet(out).select("start", "event_type", "events")
+
+
+# ---------------------------------------------------------------------- media headers
+
+_TAKEN = "'2021:' || lpad(cast(rec_no % 12 + 1 as varchar(9)), 2, '0') || ':' || lpad(cast(rec_no % 28 + 1 as varchar(9)), 2, '0') || ' 0' || cast(rec_no % 10 as varchar(9)) || ':05:06'"
+
+
+def _photo(taken: str) -> bytes:
+    """A JPEG of nothing but an EXIF block with maker, time, speed and place."""
+    entry = lambda tag, kind, n, value: struct.pack("<HHI", tag, kind, n) + value.ljust(4, b"\0")
+    at = lambda x: struct.pack("<I", x)
+    directory = lambda *rows: struct.pack("<H", len(rows)) + b"".join(rows) + at(0)
+    angle = lambda d, m: struct.pack("<6I", d, 1, m, 1, 0, 1)
+    top = directory(entry(0x010F, 2, 4, b"Acm\0"), entry(0x8769, 4, 1, at(100)), entry(0x8825, 4, 1, at(200)))
+    exif = directory(entry(0x9003, 2, 20, at(160)), entry(0x8827, 3, 1, struct.pack("<H", 200)))
+    gps = directory(entry(1, 2, 2, b"S\0"), entry(2, 5, 3, at(300)), entry(3, 2, 2, b"E\0"), entry(4, 5, 3, at(324)))
+    tiff = b"II*\0" + at(8) + top
+    for place, block in ((100, exif), (160, taken.encode() + b"\0"), (200, gps), (300, angle(52, 30)), (324, angle(13, 15))):
+        tiff = tiff.ljust(place, b"\0") + block
+    body = b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xd9"
+
+
+@register(f"""select rec_no, case when rec_no % 9 <> 0 then strptime({_TAKEN}, '%Y:%m:%d %H:%M:%S') end as taken, case when rec_no % 9 <> 0 then 'Acm' else '' end as device,
+  case when rec_no % 9 <> 0 then [-52.5, 13.25]::double[] end as place, case when rec_no % 9 <> 0 then '200' end as iso from image_batch_results""")
+def photo_headers(spark: SparkSession, d: str) -> DataFrame:
+    """What photos say of their time, place and camera; every ninth is broken."""
+    mark = "0000:00:00 00:00:00"
+    head, tail = _photo(mark).hex().upper().split(mark.encode().hex().upper())
+    content = F.unhex(F.concat(F.lit(head), F.hex(F.encode(F.expr(_TAKEN), "UTF-8")), F.lit(tail)))
+    broken = F.when(F.col("rec_no") % 9 == 0, F.substring(content, 1, 20)).otherwise(content)
+    p = table(spark, d, "image_batch_results").select("rec_no", media.exif(broken).alias("e"))
+    return p.select("rec_no", F.col("e.timestamp").alias("taken"), F.col("e.device").alias("device"), F.col("e.location").alias("place"), F.col("e.camera_settings")["iso"].alias("iso"))
+
+
+_PROBED = """case when event_id % 5 = 4 then null else '{"format": {"duration": "' || cast(event_id % 100 as varchar(9)) || '.5", "tags": {"creation_time": "2021-02-03T04:05:06Z", "location": "+52.5-000.5/", "make": "A", "model": "B' || cast(event_id as varchar(20)) || '"}}, "streams": [{"codec_type": "audio"}, {"codec_type": "video", "width": 640, "height": ' || cast(event_id as varchar(20)) || ', "codec_name": "h264", "side_data_list": [{"side_data_type": "Display Matrix", "rotation": -90}]}]}' end"""
+
+
+@register("""with e as (select event_id, event_id % 5 <> 4 as ok from events)
+select event_id, case when ok then 'A B' || event_id else '' end as device, case when ok then event_id % 100 + 0.5 else 0.0 end::double as duration, case when ok then event_id end as height, case when ok then 90 end::bigint as rotation, case when ok then [52.5, -0.5]::double[] end as place from e""")
+def video_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of a video prober; where it failed there is none."""
+    e = table(spark, d, "events").select("event_id", F.expr(_PROBED).alias("report"))
+
+    def prober(text: str) -> str:
+        if text == "bad":
+            raise ValueError("no video")
+        return text
+
+    r = media.probe(e.select("event_id", F.coalesce("report", F.lit("bad")).alias("p")), "p", prober).select("event_id", media.video_fields(F.col("report")).alias("v"))
+    return r.select("event_id", "v.device", "v.duration", big(F.col("v.height")).alias("height"), big(F.col("v.rotation")).alias("rotation"), F.col("v.location").alias("place"))
+
+
+@register("select rec_no, zone_name as place from image_batch_results left join (select location, max(zone_name) as zone_name from place_zones where location is not null group by location) on location_name = location")
+def places_from_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Places of records from a cache that a geocoder filled."""
+    cache = table(spark, d, "place_zones").where("location is not null").select("location", F.col("zone_name").alias("place"))
+    return media.places(table(spark, d, "image_batch_results").select("rec_no", F.col("location_name").alias("location")), "location", cache).select("rec_no", "place")

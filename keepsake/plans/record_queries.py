@@ -405,3 +405,31 @@ def judged_with_retries(spark: SparkSession, d: str) -> DataFrame:
     lax = lambda: lambda r: float(r["ground_truth"] is not None)
     out = scoring.judged_with_retries(q, strict, "ann_no", cache, fallback=lax, tries=2, wait=0.0, fallback_after=5)
     return out.select("ann_no", "accuracy", "failed", big(F.col("retries")).alias("retries"), "fallback")
+
+
+@register("""with n as (select note_no, note_no % 16 as k from memory_notes),
+l as (select a.note_no, b.note_no as other, row_number() over (partition by a.note_no order by (a.k = b.k) desc, b.note_no) as r from n a join n b on b.note_no < a.note_no),
+t as (select note_no, other from l where r <= 3), s as (select other, count(*) as seen from t group by other), g as (select note_no, list_sort(list(other)) as links from t group by note_no)
+select n.note_no, coalesce(g.links, []) as links, coalesce(s.seen, 0) as seen from n left join g using (note_no) left join s on s.other = n.note_no""")
+def evolved_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes that join one after another, link to their three nearest and leave a mark on them; a note's class stands in for its vector."""
+    def step(state: dict, row) -> dict:
+        decide = lambda note, near: ({"links": sorted(n["id"] for n in near)}, {n["id"]: {"seen": n["seen"] + 1} for n in near})
+        return memory.evolve(state, {"id": int(row["note_no"]), "seen": 0}, lambda n: np.eye(16)[n["id"] % 16], decide, k=3)
+
+    state = memory.ingest_in_order(table(spark, d, "memory_notes").select("note_no"), ["note_no"], {}, step)
+    return spark.createDataFrame([(i, n["links"], n["seen"]) for i, n in state.items()], "note_no bigint, links array<bigint>, seen bigint")
+
+
+@register("select note_no, id, content from memory_notes")
+def isolated_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Two questions that each add to their copy of a memory: what the second sees is the memory as it was saved."""
+    from keepsake.runtime import fresh_path
+
+    at, n = fresh_path(spark, "snapshots"), table(spark, d, "memory_notes").select("note_no", "id", "content")
+    memory.save_snapshot(n, at, "m")
+    memory.save_snapshot(n.where("note_no < 0"), at, "m")
+    q = n.select("note_no")
+    added = memory.isolated(spark, at, "m", q, lambda q, m: m.unionByName(m.withColumn("content", F.lit("own"))))
+    memory.save_snapshot(added, at, "first answer")
+    return memory.isolated(spark, at, "m", q, lambda q, m: m)
