@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import struct
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions import formats
-from keepsake.operators import summaries
+from keepsake.operators import pipelines
 from keepsake.plans.registry import big, register
 from keepsake.runtime import fresh_path, table
 from keepsake.sources import media, readers, sinks
@@ -315,3 +317,78 @@ def places_from_cache(spark: SparkSession, d: str) -> DataFrame:
     """Places of records from a cache that a geocoder filled."""
     cache = table(spark, d, "place_zones").where("location is not null").select("location", F.col("zone_name").alias("place"))
     return media.places(table(spark, d, "image_batch_results").select("rec_no", F.col("location_name").alias("location")), "location", cache).select("rec_no", "place")
+
+
+# -------------------------------------------------------------------- from files to records
+
+
+def _look(path: str):
+    """A model stand-in that tells the place back and fails on every seventh file."""
+
+    def look(f: pd.DataFrame) -> pd.DataFrame:
+        n = f[path].str.extract(r"(\d+)\.\w+$")[0].astype("int64")
+        if (n % 7 == 6).any():
+            raise ValueError("unclear")
+        told = f["location_name"].fillna("nowhere")
+        return pd.DataFrame({"city": told, "ocr_text": "  ", "caption": "at " + told, "short_caption": "c" + n.astype(str), "tags": "Sea, sky,, SEA", "entities": "- Anna: person\nanna: person", "safety": "none"}, index=f.index)
+
+    return look
+
+
+@register(f"""select rec_no, case when rec_no % 9 <> 0 then strptime({_TAKEN}, '%Y:%m:%d %H:%M:%S') end as taken, case when rec_no % 9 <> 0 then location_name end as location_name, case when rec_no % 7 = 6 then 'failed' else 'success' end as status,
+  case when rec_no % 7 <> 6 then 'at ' || coalesce(case when rec_no % 9 <> 0 then location_name end, 'nowhere') end as caption, case when rec_no % 7 = 6 then [] else ['sea', 'sky', 'sea'] end as tags, case when rec_no % 7 = 6 then 0 else 1 end::bigint as entities, 'm' as model from image_batch_results""")
+def photos_processed(spark: SparkSession, d: str) -> DataFrame:
+    """Photos to records by header, cache of places and a stand-in model, in two runs of which the second takes up the rest."""
+    mark = "0000:00:00 00:00:00"
+    head, tail = _photo(mark).hex().upper().split(mark.encode().hex().upper())
+    i = table(spark, d, "image_batch_results")
+    path = F.concat(F.lit("/p/"), F.col("rec_no").cast("string"), F.lit(".jpg"))
+    content = F.unhex(F.concat(F.lit(head), F.hex(F.encode(F.expr(_TAKEN), "UTF-8")), F.lit(tail)))
+    files = i.select("rec_no", path.alias("path"), F.when(F.col("rec_no") % 9 == 0, F.substring(content, 1, 20)).otherwise(content).alias("content"), F.lit(1).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
+    places = i.select(path.alias("key"), F.col("location_name").alias("place"))
+    out, log = fresh_path(spark, "photos"), fresh_path(spark, "log")
+    make = lambda f: pipelines.photo_records(f, _look("image_path"), places.withColumnRenamed("key", "image_path"), "m")
+    pipelines.run_batch(files.where("rec_no % 2 = 0"), out, log, make, "path", "image_path")
+    pipelines.run_batch(files, out, log, make, "path", "image_path")
+    r = sinks.read_upserted(spark, out, "image_path")
+    return r.select(F.regexp_extract("image_path", r"(\d+)\.jpg$", 1).cast("bigint").alias("rec_no"), F.col("timestamp").alias("taken"), "location_name", "status", "caption", "tags", big(F.size("entities")).alias("entities"), F.col("model_used").alias("model"))
+
+
+@register("""with e as (select event_id, event_id % 5 <> 4 as ok, event_id % 7 = 6 as bad from events)
+select event_id, case when ok then event_id % 100 + 0.5 else 0.0 end::double as duration, case when bad then 'failed' else 'success' end as status, case when not bad then 'at ' || case when ok then 'Rome' else 'nowhere' end end as caption,
+  case when ok then [round((event_id % 100 + 0.5) / 3, 6), round((event_id % 100 + 0.5) * 2 / 3, 6)]::double[] else [0.0]::double[] end as frames from e""")
+def videos_processed(spark: SparkSession, d: str) -> DataFrame:
+    """Videos to records by a prober's report, frame times and a stand-in model."""
+    e = table(spark, d, "events").select("event_id", F.expr(_PROBED).alias("report"))
+    path = F.concat(F.lit("/v/"), F.col("event_id").cast("string"), F.lit(".mp4"))
+    files = e.select(path.alias("path"), F.lit(1).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
+    places = e.select(path.alias("video_path"), F.lit("Rome").alias("place"))
+
+    def prober(p: str) -> str:
+        n = int(p.rsplit("/", 1)[1].removesuffix(".mp4"))
+        if n % 5 == 4:
+            raise ValueError("no video")
+        return json.dumps({"format": {"duration": f"{n % 100}.5", "tags": {"location": "+52.5-000.5/"}}, "streams": [{"codec_type": "video", "height": n}]})
+
+    r = pipelines.video_records(files, prober, _look("video_path"), places, frames=2)
+    return r.select(F.regexp_extract("video_path", r"(\d+)\.mp4$", 1).cast("bigint").alias("event_id"), "duration", "status", "caption", F.transform("frame_times", lambda x: F.round(x, 6)).alias("frames"))
+
+
+@register("""select contact_no, case contact_no % 2 when 0 then given_name else upper(given_name[1]) || lower(given_name[2:]) end as sender, 'T' || contact_no as subject, case when contact_no % 7 = 6 then 'failed' else 'success' end as status,
+  case when contact_no % 7 <> 6 then 'T' || contact_no || ' by ' || case contact_no % 2 when 0 then given_name else upper(given_name[1]) || lower(given_name[2:]) end end as short_summary from contacts where given_name is not null""")
+def mails_processed(spark: SparkSession, d: str) -> DataFrame:
+    """Mails of both kinds to records by headers and a stand-in model, which sees sender and subject."""
+    c = table(spark, d, "contacts").where("given_name is not null")
+    n = F.col("contact_no").cast("string")
+    eml = F.concat(F.lit("From: "), "given_name", F.lit(" <a@b.test>\nSubject: T"), n, F.lit("\nDate: 2021-05-03\n\nHello"))
+    page = F.concat(F.lit("<html><title>T"), n, F.lit("</title><body><b>From:</b><p>"), "given_name", F.lit("@b.test</p></body></html>"))
+    even = F.col("contact_no") % 2 == 0
+    m = c.select(F.concat(F.lit("/m/"), n, F.when(even, ".eml").otherwise(".html")).alias("path"), F.when(even, "eml").otherwise("html").alias("kind"), F.when(even, eml).otherwise(page).alias("text"))
+
+    def read(f: pd.DataFrame) -> pd.DataFrame:
+        if (f["path"].str.extract(r"(\d+)\.\w+$")[0].astype("int64") % 7 == 6).any():
+            raise ValueError("unclear")
+        return pd.DataFrame({"short_summary": f["subject"] + " by " + f["sender"], "detail": f["body"], "classification": "home"}, index=f.index)
+
+    r = pipelines.mail_records(m, read)
+    return r.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("bigint").alias("contact_no"), "sender", "subject", "status", "short_summary")
