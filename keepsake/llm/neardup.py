@@ -15,7 +15,9 @@ from keepsake.runtime import cut
 #: A part of a word set may differ in at most this many words; a part has 2^(RADIUS+1)-1 masks.
 RADIUS = 2
 #: Buckets with more word sets than this are split by further tables.
-BUCKET = 4096
+BUCKET = 8192
+#: Runs up to this length are paired together, longer ones each in blocks of so many cells.
+SHORT, CELLS = 64, 2_000_000
 #: Times that overfull buckets are split before the rest is compared as it is.
 DEPTH = 5
 #: A key is hot, and kept out of the shuffle, if it holds more than one in so many of all (set, key) rows.
@@ -200,24 +202,43 @@ def _paired(rows: DataFrame, similarity: float, bucket: int | None, hot: dict[in
         long = (na == LONG) | (nb == LONG)
         return long | ((apart <= (na + nb) * c + 1e-9) & (np.minimum(na, nb) >= np.maximum(na, nb) * similarity - 1e-9))
 
-    def pairs(cols, start=0):
-        """The allowed pairs within the runs of equal keys; the second of a pair is at ``start`` or later."""
-        key, rep, s1, s2 = cols[:4]
-        comp = cols[-1] if len(cols) > 4 else rep
-        src, dst = [], []
-        at, d = np.arange(len(key)), 0
-        while True:
+    def near(cols, start):
+        """(i, j) of the pairs within the runs of equal keys, j at ``start`` or later; those that s2 alone rules out may be missing."""
+        key, _, s1, s2 = cols[:4]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        counts = np.diff(np.append(heads, len(key)))
+        # Short runs all at once, by distance; long ones each in blocks.
+        at, d = np.flatnonzero(np.repeat(counts <= SHORT, counts)), 0
+        while len(at):
             d += 1
             at = at[at < len(key) - d]
             at = at[key[at] == key[at + d]]
-            if not len(at):
-                break
             i = at[at + d >= start]
-            i = i[(comp[i] != comp[i + d]) & (rep[i] != rep[i + d])]
-            i = i[allowed(s1[i], s2[i], s1[i + d], s2[i + d])]
-            if len(i):
-                src.append(np.minimum(rep[i], rep[i + d]))
-                dst.append(np.maximum(rep[i], rep[i + d]))
+            yield i, i + d
+        for h, n in zip(heads[counts > SHORT].tolist(), counts[counts > SHORT].tolist()):
+            most = int((s1[h : h + n] & LONG).max())
+            most = 64 if most == LONG else int(2 * most * c + 1e-9)
+            step = max(1, CELLS // n)
+            for i0 in range(h, h + n, step):
+                j0 = max(i0 + 1, start)
+                if j0 < h + n:
+                    i, j = np.nonzero(np.bitwise_count((s2[i0 : min(i0 + step, h + n), None] ^ s2[None, j0 : h + n]).view(np.uint64)) <= most)
+                    i, j = i + i0, j + j0
+                    yield i[i < j], j[i < j]
+
+    def pairs(cols, start=0):
+        """The allowed pairs within the runs of equal keys; the second of a pair is at ``start`` or later."""
+        rep, s1, s2 = cols[1:4]
+        comp = cols[-1] if len(cols) > 4 else rep
+        src, dst = [], []
+        for i, j in near(cols, start):
+            keep = (comp[i] != comp[j]) & (rep[i] != rep[j])
+            i, j = i[keep], j[keep]
+            keep = allowed(s1[i], s2[i], s1[j], s2[j])
+            if keep.any():
+                i, j = i[keep], j[keep]
+                src.append(np.minimum(rep[i], rep[j]))
+                dst.append(np.maximum(rep[i], rep[j]))
         if src:
             both = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)]), axis=1)
             yield _record(src=both[0], dst=both[1], key=pa.nulls(both.shape[1], pa.int64()))

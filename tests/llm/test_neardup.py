@@ -107,6 +107,15 @@ def test_hot_keys_stay_out_of_the_shuffle_by_key(spark, rows, monkeypatch):
     assert run(spark, rows, data, bucket=8) == groups(data)
 
 
+def test_long_runs_in_blocks(spark, rows, monkeypatch):
+    """Runs that are long at once and blocks of few cells, in one bucket and at the last level."""
+    monkeypatch.setattr(neardup, "SHORT", 2)
+    monkeypatch.setattr(neardup, "CELLS", 20)
+    rng = random.Random(10)
+    data = list(enumerate([t for size in (3, 8, 20) for _ in range(5) for t in variants(rng, [f"w{rng.randrange(90)}" for _ in range(size)], 9, 1 + size // 6)]))
+    assert run(spark, rows, data) == groups(data) == run(spark, rows, data, bucket=4, depth=1)
+
+
 def test_rows_of_keys_are_never_broadcast(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "b c d e f a x"), (3, "q r s")], "id bigint, t string")
     sets = df.select(F.col("id").alias("rep"), F.transform(neardup.words("t"), lambda w: F.xxhash64(w)).alias("h"), F.col("id").alias("comp"), F.lit(0).cast("bigint").alias("parent"))
