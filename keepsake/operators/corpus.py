@@ -210,6 +210,7 @@ def conversational_payloads(mails: DataFrame | None, images: DataFrame | None, v
 
 def numbered_contexts(contexts: Column) -> Column:
     """Contexts (array of text, item_ids) as blocks under ``Memory i``, with their sources; blank ones are left out but counted."""
+    # The labels of the blocks.
 
     def block(c: Column, i: Column) -> Column:
         ids = F.array_join(c["item_ids"], ", ")
@@ -222,6 +223,7 @@ def numbered_contexts(contexts: Column) -> Column:
 
 def neighbour_lines(notes: Column) -> Column:
     """One line for each note of an array of index, timestamp, content, context, keywords and tags; null notes are left out."""
+    # The labels of a line.
     none = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
     listed = lambda c: F.concat(F.lit("["), blank(F.array_join(F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ")), F.lit("]"))
     line = lambda n: F.concat(

@@ -571,8 +571,8 @@ select ann_no, doc_id, score, row_number() over (partition by ann_no order by sc
 def _hybrid(spark: SparkSession, d: str, alpha: float, scaled: bool) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     q = table(spark, d, "qa_annotations").where("ann_no % 20 = 0 and question is not null").select("ann_no", "question", (F.col("ann_no") % 2000).alias("vec_id")).join(e, "vec_id")
-    docs = table(spark, d, "documents").select("doc_id", "text").join(e, F.col("doc_id") == F.col("vec_id"))
-    out = lexical.hybrid_top(q, "ann_no", "question", "v", spread(docs), "doc_id", "text", "v", 5, alpha, scaled)
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).join(e, F.col("doc_id") == F.col("vec_id"))
+    out = lexical.hybrid_top(q, "ann_no", "question", "v", docs, "doc_id", "text", "v", 5, alpha, scaled)
     return out.select("ann_no", "doc_id", "score", big(F.col("rank")).alias("rank"))
 
 
