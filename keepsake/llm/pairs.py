@@ -392,7 +392,7 @@ def judged_pairs(df: DataFrame, key: str, question: str, answer: str, common_wor
     longer = longer.select(F.col("s").alias("mask"), F.lit(True).alias("continued"))
     # Last words that are cut short.
     asked = suspects.where(F.col("ctx").rlike("\\x00\\p{L}+$")).select(F.col("ctx").alias("s")).distinct()
-    parts = continuations(contexts, asked, r"[^\W\d_]").join(contexts, "s", "left_anti")
+    parts = continuations(contexts, asked, r"[^\W\d_]").join(contexts.hint("merge"), "s", "left_anti")
     parts = parts.select(F.col("s").alias("ctx"), F.lit(True).alias("cut_word"))
     # Lengths that a limit made.
     spikes = length_spikes(suspects.where("words >= 6").select("mask", "len").distinct().select("len")).withColumn("spike", F.lit(True))

@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     groups = neardup.near_duplicate_groups(recs, "rec_no", neardup.words("caption", "short_caption"))
     a = groups.select("group", F.col("id").alias("rec_a"))
     b = groups.select("group", F.col("id").alias("rec_b"))
-    return a.join(b, "group").where("rec_a < rec_b").select("rec_a", "rec_b")
+    return a.hint("merge").join(b, "group").where("rec_a < rec_b").select("rec_a", "rec_b")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
