@@ -61,7 +61,7 @@ USAGE_PATHS = [
 
 
 def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    """``body`` of ``value``, which is evaluated once however often the body names it, and outside of generated code, for which many paths are too long."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -117,16 +117,20 @@ def cost(v: Column) -> Column:
 
 def correlation_id(v: Column) -> Column:
     """The first id of an event, at its top, then in its parents."""
-    return F.coalesce(*[text_at(v, k) for k in ID_KEYS], *[text_at(v, p, k) for p in ID_PARENTS for k in ID_KEYS])
+    return let(v, lambda e: F.coalesce(*[text_at(e, k) for k in ID_KEYS], *[text_at(e, p, k) for p in ID_PARENTS for k in ID_KEYS]))
 
 
 def model_name(v: Column) -> Column:
     """A model's name at the top, in agent meta with its provider, or up to two parents deep."""
-    provider, model = text_at(v, "meta", "agentMeta", "provider"), text_at(v, "meta", "agentMeta", "model")
-    meta = F.when(model.isNotNull(), F.concat_ws("/", provider, model))
-    near = [text_at(v, k) for k in MODEL_KEYS] + [text_at(v, p, k) for p in MODEL_PARENTS for k in MODEL_KEYS]
-    far = [text_at(v, p, q, k) for p in MODEL_PARENTS for q in MODEL_PARENTS for k in MODEL_KEYS]
-    return F.coalesce(meta, *near, *far)
+
+    def name(e: Column) -> Column:
+        provider, model = text_at(e, "meta", "agentMeta", "provider"), text_at(e, "meta", "agentMeta", "model")
+        meta = F.when(model.isNotNull(), F.concat_ws("/", provider, model))
+        near = [text_at(e, k) for k in MODEL_KEYS] + [text_at(e, p, k) for p in MODEL_PARENTS for k in MODEL_KEYS]
+        far = [text_at(e, p, q, k) for p in MODEL_PARENTS for q in MODEL_PARENTS for k in MODEL_KEYS]
+        return F.coalesce(meta, *near, *far)
+
+    return let(v, name)
 
 
 def usage_objects(text: str | None) -> list[str]:
@@ -185,7 +189,7 @@ def message_usage(events: DataFrame, run: list[str], seq: str, event: str) -> Da
     m, u = F.try_variant_get("v", "$.message", "variant"), F.try_variant_get("v", "$.message.usage", "variant")
     rows = events.select(*run, F.col(seq).alias("seq"), F.try_parse_json(F.col(event)).alias("v"))
     rows = rows.where((text_at(v, "type") == "message_end") & (text_at(v, "message", "role") == "assistant"))
-    group = F.coalesce(text_at(v, "message", "responseId"), let(m, correlation_id), let(v, correlation_id))
+    group = F.coalesce(text_at(v, "message", "responseId"), correlation_id(m), correlation_id(v))
     return rows.select(*run, "seq", F.lit(0).alias("part"), group.alias("group_id"), message_fields(u).alias("u"), F.coalesce(float_at(u, "cost", "total"), cost(u)).alias("cost_usd")).where(
         "coalesce(u.input_tokens, u.output_tokens, u.total_tokens) is not null"
     ).select(*run, "seq", "part", "group_id", "u.*", "cost_usd")
