@@ -131,6 +131,29 @@ def embed(df: DataFrame, text: str, encoder: Encoder, out: str = "embedding") ->
     return df.withColumn(out, run(F.col(text)))
 
 
+def embed_each(df: DataFrame, key: str, encode: Callable[[dict], np.ndarray], out: str = "embedding") -> DataFrame:
+    """(key, out): unit vectors of the rows that ``encode`` (row -> vector) can read; a row on which it raises has none.
+
+    Each vector travels with its key, so rows that are left out shift nothing.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            keys, found = [], []
+            for r in f.astype(object).where(f.notna(), None).to_dict("records"):
+                try:
+                    v = np.asarray(encode(r), dtype=np.float64)
+                except Exception:
+                    continue
+                size = np.sqrt((v * v).sum())
+                keys.append(r[key])
+                found.append((v / size if size else v).astype(np.float32))
+            yield pd.DataFrame({key: pd.Series(keys, dtype=object), out: pd.Series(found, dtype=object)})
+
+    return df.mapInPandas(run, f"{key} {kind}, {out} array<float>")
+
+
 def joint_vector(a: Column, b: Column, dim: int) -> Column:
     """Image and text vector in one, of length 1; a missing one is zeros. A query gives its vector twice."""
     zero = F.array_repeat(F.lit(0.0), dim)

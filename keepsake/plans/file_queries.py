@@ -123,9 +123,9 @@ def progress_logs(spark: SparkSession, d: str) -> DataFrame:
     return readers.progress(spark, a).select(F.lit("appended").alias("log"), "item_id").unionByName(readers.progress(spark, b).select(F.lit("rewritten").alias("log"), "item_id"))
 
 
-@register("select vec_id, [x::double for x in embedding] as v, 2::bigint as encoded from embeddings")
+@register("select vec_id, [x::double for x in embedding] as v, 2::bigint as encoded, 2::bigint as cleaned from embeddings")
 def vector_index_kept(spark: SparkSession, d: str) -> DataFrame:
-    """An index is encoded once for a configuration, whatever the order of its keys, and again by force."""
+    """An index is encoded once for a configuration, whatever the order of its keys, and again by force; stale and broken ones go."""
     at, runs = fresh_path(spark, "index"), []
 
     def encode(items: DataFrame) -> DataFrame:
@@ -136,7 +136,10 @@ def vector_index_kept(spark: SparkSession, d: str) -> DataFrame:
     sinks.build_index(items, at, {"model": "m", "dim": 64}, encode)
     sinks.build_index(items, at, {"dim": 64, "model": "m"}, encode)
     out = sinks.build_index(items, at, {"dim": 64, "model": "m"}, encode, force=True)
-    return out.select("vec_id", "v", F.lit(len(runs)).cast("bigint").alias("encoded"))
+    sinks.save_index(encode(items.limit(1)), at, "stale")
+    sinks.write_file(spark, f"{at}/cache_key=broken/part-0", b"x")
+    gone = sinks.clean_indexes(spark, at, [sinks.cache_key({"dim": 64, "model": "m"})])
+    return out.select("vec_id", "v", F.lit(len(runs) - 1).cast("bigint").alias("encoded"), F.lit(len(gone)).cast("bigint").alias("cleaned"))
 
 
 @register("""select 'raw' as mode, null::bigint as rec_no, regexp_replace(regexp_extract(image_path, '([^/]*)$', 1), '\\.[^.]+$', '') as id, 'images/' || regexp_extract(image_path, '([^/]+)/*$', 1) as path, null::varchar as caption from image_batch_results where image_path is not null
@@ -186,6 +189,18 @@ def run_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "status", F.when(F.col("status") == "collected", F.col("found_answer")).alias("answer"))
 
 
+@register("select n_nationkey::varchar as id, case n_nationkey % 3 when 0 then 'collected' when 1 then 'malformed' else 'missing' end as status, case n_nationkey % 3 when 0 then n_nationkey * 10 end::bigint as tokens from nation")
+def run_usage_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Usage files of runs: whole, without a count, missing."""
+    at = fresh_path(spark, "runs")
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"))
+    for r in nations.collect():  # a fixed table of 25 rows
+        if int(r.id) % 3 < 2:
+            sinks.write_file(spark, f"{at}/t/agent/model/{r.id}/output/usage.json", f'{{"input_tokens": 1, "total_tokens": {int(r.id) * 10}}}' if int(r.id) % 3 == 0 else '{"input_tokens": 1}')
+    out = readers.collect_runs(spark, nations, at, "t", "agent", "model", "usage.json", "input_tokens bigint, total_tokens bigint")
+    return out.select("id", "status", F.when(F.col("status") == "collected", F.col("found_total_tokens")).alias("tokens"))
+
+
 @register("""with n as (select n_name as model, case n_nationkey % 2 when 0 then 'text' else 'media' end as mode, (n_nationkey % 3 + 1) * 25 as k, n_nationkey from nation where n_nationkey % 5 <> 4)
 select model, mode, k::bigint as k, 'judge' as judge, unnest(['all', 'number']) as qtype, unnest([n_nationkey / 100, 0.5])::double as accuracy from n""")
 def run_summaries_found(spark: SparkSession, d: str) -> DataFrame:

@@ -346,6 +346,15 @@ def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("ann_no", F.round(F.get("embedding", F.lit(0)).cast("double"), 3).alias("x"), F.round(F.get("embedding", F.lit(1)).cast("double"), 3).alias("y"), (F.length(F.split("t", "\x00")[1]) + 1.0 + F.lit(float(left))).cast("double").alias("last"))
 
 
+@register("""with t as (select row_no, length(text) + 1.0 as a, length(image_path) + 1.0 as b from retrieval_items where text is not null and image_path is not null)
+select row_no, round(a / sqrt(a * a + b * b), 3)::double as x, round(b / sqrt(a * a + b * b), 3)::double as y from t""")
+def vectors_of_readable_items(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of text and picture; items that cannot be read have none, and no other item gets theirs."""
+    encode = lambda r: np.array([len(r["text"]) + 1.0, len(r["image_path"]) + 1.0])
+    e = vectors.embed_each(table(spark, d, "retrieval_items").select("row_no", "text", "image_path"), "row_no", encode)
+    return e.select("row_no", *[F.round(F.get("embedding", F.lit(i)).cast("double"), 3).alias(n) for i, n in enumerate("xy")])
+
+
 @register("""with s as (select qa_id, item_id, hit_no, row_number() over (partition by qa_id order by hit_no) as place from retrieval_hits)
 select qa_id, hit_no, place from s where place <= 20""")
 def rerank_none(spark: SparkSession, d: str) -> DataFrame:

@@ -92,6 +92,20 @@ def save_index(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/cache_key={key}")
 
 
+def clean_indexes(spark, path: str, keep: list[str]) -> list[str]:
+    """Deletes what lies below ``path`` and is no whole index of a cache key of ``keep``; the names of what went."""
+    fs, root = hadoop_path(spark, path)
+    gone = []
+    for entry in fs.listStatus(root) if fs.exists(root) else []:
+        at = entry.getPath()
+        name = at.getName()
+        whole = fs.exists(hadoop_path(spark, f"{path}/{name}/_SUCCESS")[1])
+        if not (whole and name.removeprefix("cache_key=") in keep):
+            fs.delete(at, True)
+            gone.append(str(name))
+    return sorted(gone)
+
+
 def build_index(items: DataFrame, path: str, config: dict, encode, force: bool = False) -> DataFrame:
     """The stored index of a configuration, encoded and saved first where it is missing or ``force``."""
     from keepsake.sources.readers import vector_index
