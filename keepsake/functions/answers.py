@@ -63,6 +63,11 @@ EDGE = "\t\n\r \"'`.,;:!?()[]{}"
 _SPACE = r"[\s  -   　]+"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it, and outside of generated code, for which many paths are too long."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sub(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
@@ -118,8 +123,7 @@ def without_context(c: Column) -> Column:
 
 
 def abstains(c: Column) -> Column:
-    n = normalise_text(c)
-    return F.coalesce(reduce(lambda a, b: a | b, [n.contains(p) for p in ABSTENTIONS]), F.lit(False))
+    return F.coalesce(let(normalise_text(c), lambda n: reduce(lambda a, b: a | b, [n.contains(p) for p in ABSTENTIONS])), F.lit(False))
 
 
 def _month(name: Column) -> Column:
@@ -366,12 +370,15 @@ def shared_prep(c: Column) -> Column:
 
 def is_number_answer(c: Column) -> Column:
     """Nothing but dates, times, numbers, money and words that connect them."""
-    t = shared_prep(c)
-    some = (F.size(date_tokens(t)) > 0) | (F.size(time_tokens(t)) > 0) | (F.size(numbers(t)) > 0) | (F.size(currencies(t)) > 0) | (F.size(amounts(t)) > 0)
-    r = _sub(without_dates_times(t), rf"(?i)\b({'|'.join(WEEKDAYS)})\b", " ")
-    for p in (CONNECTORS, CURRENCY_ANY, r"[£$€]", r"\d", r"[-–~/:,.;]"):
-        r = _sub(r, p, " ")
-    return F.coalesce((c != "") & ~abstains(c) & some & (squeeze(r) == ""), F.lit(False))
+
+    def test(t: Column) -> Column:
+        some = (F.size(date_tokens(t)) > 0) | (F.size(time_tokens(t)) > 0) | (F.size(numbers(t)) > 0) | (F.size(currencies(t)) > 0) | (F.size(amounts(t)) > 0)
+        r = _sub(without_dates_times(t), rf"(?i)\b({'|'.join(WEEKDAYS)})\b", " ")
+        for p in (CONNECTORS, CURRENCY_ANY, r"[£$€]", r"\d", r"[-–~/:,.;]"):
+            r = _sub(r, p, " ")
+        return (squeeze(r) == "") & some
+
+    return F.coalesce((c != "") & ~abstains(c) & let(shared_prep(c), test), F.lit(False))
 
 
 def is_id_list(c: Column) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.functions.answers import let
 from keepsake.operators.corpus import grouped_index
 
 # The names under which tools report tokens, cost, ids and models.
@@ -60,11 +61,6 @@ USAGE_PATHS = [
 ]
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once however often the body names it, and outside of generated code, for which many paths are too long."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def usage_fields(v: Column) -> Column:
     """struct of token counts of a usage object, whichever of the four naming habits it has.
 
