@@ -205,6 +205,10 @@ def rules_digest(years: tuple[int, int]) -> str:
     return hashlib.blake2b(f"{years}{inspect.getsource(sys.modules[__name__])}".encode(), digest_size=8).hexdigest()
 
 
+#: A value is busy if more than one in so many rows has it; at most as many values are, so that they can be broadcast.
+BUSY = 2_000
+
+
 def dictionary(values: DataFrame, path: str | None = None, years: tuple[int, int] = EPOCH_YEARS) -> DataFrame:
     """(source, raw, zone, day_order, utc_us) of each distinct combination in ``values``, parsed once.
 
@@ -214,17 +218,25 @@ def dictionary(values: DataFrame, path: str | None = None, years: tuple[int, int
     trace. Two runs that add at the same time may both add a value; reading
     collapses that. Above MOST_PARTS parts are merged (``compact``).
     """
+    return _looked_up(values, path, years)[0]
+
+
+def _looked_up(values: DataFrame, path: str | None, years: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The dictionary of all ``values``, and that of the busy ones alone (at most BUSY rows)."""
     spark = values.sparkSession
     path = f"{path or f'{shared_dir(spark)}/timestamp-dictionary'}/{rules_digest(years)}"
-    want = cut(values.select(*_KEY).where("raw is not null").distinct())
+    want = cut(values.where("raw is not null").groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")))
     same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in _KEY]
     known = _known(spark, path)
-    new = want if known is None else want.join(known, same(want, known), "left_anti")
+    new = want.drop("n") if known is None else want.drop("n").join(known, same(want, known), "left_anti")
     new.withColumn("utc_us", _parser(years)("raw", "zone", "day_order")).write.parquet(f"{path}/part-{uuid.uuid4().hex}")
     if len(_parts(spark, path)) > MOST_PARTS:
         compact(spark, path)
     known = _known(spark, path)
-    return known.join(want, same(known, want), "left_semi").groupBy(*_KEY).agg(F.max("utc_us").alias("utc_us"))
+    rows = want.agg(F.sum("n")).first()[0] or 0
+    busy = F.broadcast(want.where(F.col("n") > rows / BUSY).select(*_KEY))
+    one = lambda some: known.join(some, same(known, some), "left_semi").groupBy(*_KEY).agg(F.max("utc_us").alias("utc_us"))
+    return one(want), one(busy)
 
 
 def _parts(spark, path: str, old: bool = False) -> list[str]:
@@ -268,16 +280,19 @@ def normalise(
 
     ``zone`` and ``order`` are the row's default zone and day-month order,
     ``source`` says where it comes from. Distinct combinations are parsed once
-    (``dictionary``) and joined back, so repeated values cost nothing; rows
-    without a value are spread over all tasks. Every row stays, null and
+    (``dictionary``) and joined back, so repeated values cost nothing. Busy
+    values are looked up in a broadcast of these alone; their rows and those
+    without a value are then spread over all tasks. Every row stays, null and
     unreadable values with null. A column of the name ``out`` is replaced.
     """
     keep = [c for c in df.columns if c != out]
     source = F.lit(None) if source is None else source
     own = {"source": source.cast("string"), "raw": F.col(raw), "zone": zone.cast("string"), "day_order": order.cast("string")}
-    values = df.select(*[c.alias(k) for k, c in own.items()])
-    place = F.when(F.col("_raw").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.lit(0))
-    work = df.select(*keep, *[c.alias(f"_{k}") for k, c in own.items()]).withColumn("_place", place)
-    d = dictionary(values, path, years).select(*[F.col(k).alias(f"_d{k}") for k in _KEY], F.col("utc_us").alias("_us"), F.lit(0).cast("bigint").alias("_dplace"))
-    joined = work.join(d, [work[f"_{k}"].eqNullSafe(F.col(f"_d{k}")) for k in _KEY] + [work["_place"] == F.col("_dplace")], "left")
-    return joined.select(*[work[c] for c in keep], F.col("_us").alias(out))
+    every, busy = _looked_up(df.select(*[c.alias(k) for k, c in own.items()]), path, years)
+    named = lambda d, p: d.select(*[F.col(k).alias(f"{p}{k}") for k in _KEY], F.struct("utc_us").alias(f"{p}us"))
+    same = lambda p: [F.col(f"__ts_{k}").eqNullSafe(F.col(f"{p}{k}")) for k in _KEY]
+    work = df.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(f"__ts_{k}") for k, c in own.items()]).join(F.broadcast(named(busy, "__busy_")), same("__busy_"), "left")
+    place = F.when(F.col("__ts_raw").isNull() | F.col("__busy_us").isNotNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.lit(0))
+    d = named(every, "__all_").withColumn("__all_place", F.lit(0).cast("bigint"))
+    joined = work.withColumn("__ts_place", place).join(d, [*same("__all_"), F.col("__ts_place") == F.col("__all_place")], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("__busy_us", "__all_us")["utc_us"].alias(out))

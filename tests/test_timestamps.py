@@ -87,5 +87,14 @@ def test_dictionary_grows_and_joins_back(spark, rows, tmp_path):
     assert other == [(1, "946684800", None)], "other rules, another dictionary"
 
 
+def test_busy_values_and_nulls(spark, rows, tmp_path, monkeypatch):
+    """A value of half the rows and one of a few, with values that denote nothing among the busy ones."""
+    monkeypatch.setattr(T, "BUSY", 4)
+    data = [(i, ["2021-01-01", "junk", None, f"2021-01-{i % 28 + 1:02d}"][min(i % 6, 3)], "x", i) for i in range(300)]
+    df = spark.createDataFrame(data, "id bigint, _raw string, zone string, utc_us bigint")
+    got = rows(T.normalise(df, "_raw", F.lit(None), F.lit(None), path=str(tmp_path / "d")).select("id", "_raw", "utc_us"))
+    assert got == sorted(((i, r, T.parse_timestamp(r)) for i, r, _, _ in data), key=repr)
+
+
 def test_very_long_text():
     assert at("x" * 1_000_000) is None and at(" " * 100_000 + "2021-01-01") == "2021-01-01 00:00:00"
