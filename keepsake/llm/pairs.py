@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from keepsake.runtime import cut
 
-#: A common_words table above this many rows is refused, as it travels with every task.
+#: A common_words table of up to this many rows travels with every task; a larger one is joined to the words of the texts.
 MOST_WORDS = 100_000
 
 # What stands for no answer, folded, without brackets and outer punctuation.
@@ -157,16 +157,26 @@ def by_word(lexicon: dict[str, frozenset]) -> dict[str, tuple[str, ...]]:
     return {w: tuple(langs) for w, langs in out.items()}
 
 
-def language_scores(text: str, languages: list[str], of: dict[str, tuple[str, ...]]) -> dict[str, int]:
-    """Frequent words of each language among the words of ``text``; other scripts count by letters."""
-    text = _QUOTED.sub(" ", text)
+def spoken(text: str) -> list[str]:
+    """The words of a text in lower case, without what it quotes."""
+    return _LETTERS.findall(_QUOTED.sub(" ", text).lower())
+
+
+def word_scores(text: str, languages: list[str], of: dict[str, tuple[str, ...]]) -> dict[str, int]:
+    """Frequent words of each language among the words of ``text``."""
     scores = dict.fromkeys(languages, 0)
-    for w in _LETTERS.findall(text.lower()):
+    for w in spoken(text):
         for lang in of.get(w, ()):
             scores[lang] += 1
+    return scores
+
+
+def script_scores(text: str) -> dict[str, int]:
+    """Other scripts than Latin, by their letters, if most of the letters are of one."""
+    text = _QUOTED.sub(" ", text)
     if text.isascii():
-        return scores
-    letters = [c for c in text if c.isalpha()]
+        return {}
+    letters, scores = [c for c in text if c.isalpha()], {}
     for name, low, high in (("cjk", "぀", "鿿"), ("cyrillic", "Ѐ", "ӿ"), ("greek", "Ͱ", "Ͽ"), ("arabic", "؀", "ۿ"), ("hangul", "가", "힯")):
         n = sum(low <= c <= high for c in letters)
         if n >= 4 and n * 2 > len(letters):
@@ -174,13 +184,11 @@ def language_scores(text: str, languages: list[str], of: dict[str, tuple[str, ..
     return scores
 
 
-def is_wrong_language(question: str | None, answer: str, languages: list[str], of: dict[str, tuple[str, ...]]) -> bool:
-    """Running words of the answer are of another language than the question."""
-    q = language_scores(question or "", languages, of)
+def is_wrong_language(q: dict[str, int], a: dict[str, int]) -> bool:
+    """By the scores of question and answer, running words of the answer are of another language."""
     own = max(q, key=q.get)
     if q[own] < 1:
         return False
-    a = language_scores(answer, languages, of)
     best = max(a, key=a.get)
     mine = a.get(own, 0)
     return best != own and a[best] >= 2 and a[best] >= mine + 2 and a[best] >= 1.5 * mine
@@ -222,13 +230,14 @@ def is_open(text: str) -> bool:
 _VERDICT = "defect string, open boolean, mask string, ctx string, len int, words int, ended boolean"
 
 
-def _rules(lexicon: dict[str, frozenset]):
-    languages, of = list(lexicon), by_word(lexicon)
+def _rules(languages: list[str], of: dict[str, tuple[str, ...]] | None):
+    """The rules on a pair; without ``of`` the last two columns give (language, words) of question and answer."""
+    counted = lambda text, told: word_scores(text, languages, of) if of is not None else dict.fromkeys(languages, 0) | {x["lang"]: int(x["n"]) for x in (told if told is not None else ())}
 
     @pandas_udf(_VERDICT)
-    def run(question: pd.Series, answer: pd.Series) -> pd.DataFrame:
+    def run(question: pd.Series, answer: pd.Series, q_told: pd.Series, a_told: pd.Series) -> pd.DataFrame:
         rows = []
-        for q, a in zip(question, answer):
+        for q, a, qt, at in zip(question, answer, q_told, a_told):
             if is_empty(a):
                 rows.append(("empty", False, None, None, 0, 0, True))
                 continue
@@ -236,7 +245,7 @@ def _rules(lexicon: dict[str, frozenset]):
                 verdict = "copied"
             elif is_refusal(a):
                 verdict = "refusal"
-            elif is_wrong_language(q, a, languages, of):
+            elif is_wrong_language(counted(q or "", qt) | script_scores(q or ""), counted(a, at) | script_scores(a)):
                 verdict = "wrong_language"
             else:
                 verdict = None
@@ -338,15 +347,34 @@ def length_spikes(lengths: DataFrame, least: int = 20, factor: float = 6.0, reac
     return hist.join(around, "len", "left").where((F.col("n") >= least) & (F.col("n") >= factor * F.coalesce("level", F.lit(0.0)))).select("len")
 
 
-def lexicon_of(common_words: DataFrame) -> dict[str, frozenset]:
-    """Frequent words by language from a table (lang, word), with those of ``OTHER_WORDS``."""
-    rows = common_words.select("lang", "word").where("lang is not null and word is not null").limit(MOST_WORDS + 1).collect()
+def lexicon_of(common_words: DataFrame) -> tuple[DataFrame, dict[str, frozenset] | None]:
+    """(words by language with those of ``OTHER_WORDS``, the same by language): as a table, and unless it has too many rows in memory."""
+    spark = common_words.sparkSession
+    own = spark.createDataFrame([(lang, w) for lang, ws in OTHER_WORDS.items() for w in ws], "lang string, word string")
+    every = common_words.where("lang is not null and word is not null").select("lang", F.lower("word").alias("word")).unionByName(own).distinct()
+    rows = every.limit(MOST_WORDS + 1).collect()
     if len(rows) > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} common words")
-    out: dict[str, set] = {k: set(v) for k, v in OTHER_WORDS.items()}
+        return every, None
+    out: dict[str, set] = {}
     for lang, word in rows:
-        out.setdefault(lang, set()).add(word.lower())
-    return {k: frozenset(v) for k, v in out.items()}
+        out.setdefault(lang, set()).add(word)
+    return every, {k: frozenset(v) for k, v in out.items()}
+
+
+@pandas_udf(ArrayType(StringType()))
+def _spoken(texts: pd.Series) -> pd.Series:
+    return pd.Series([spoken(t) if t else [] for t in texts])
+
+
+def _told(rows: DataFrame, every: DataFrame) -> DataFrame:
+    """``rows`` (key, q, a) with (lang, n) arrays of question and answer, by joining their words to a large lexicon."""
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    sides = [rows.select("row", F.lit(side).alias("side"), F.explode(_spoken(side)).alias("word")) for side in ("q", "a")]
+    words = sides[0].unionByName(sides[1]).groupBy("row", "side", "word").agg(F.count(F.lit(1)).alias("n"))
+    found = words.hint("merge").join(every, "word").groupBy("row", "side", "lang").agg(F.sum("n").alias("n"))
+    pick = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("lang", "n")))
+    found = found.groupBy("row").agg(pick("q").alias("qt"), pick("a").alias("at"))
+    return rows.hint("merge").join(found, "row", "left").drop("row")
 
 
 #: A word that so many texts go on after, and of which at most such a share end there, is one that cannot be last.
@@ -379,9 +407,16 @@ def judged_pairs(df: DataFrame, key: str, question: str, answer: str, common_wor
     empty, refused and truncated answers recognisable. Rows with a null key are
     kept; extra columns are ignored.
     """
-    rule = _rules(lexicon_of(common_words))
+    every, lexicon = lexicon_of(common_words)
+    languages = [*OTHER_WORDS, *sorted({*(lexicon if lexicon is not None else [r["lang"] for r in every.select("lang").distinct().collect()])} - set(OTHER_WORDS))]
+    rule = _rules(languages, None if lexicon is None else by_word(lexicon))
     rows = df.select(F.col(key).alias("key"), F.col(question).alias("q"), F.col(answer).alias("a"))
-    v = cut(rows.withColumn("v", rule("q", "a")).select("key", "v.*"))
+    if lexicon is None:
+        told = _told(rows, every)
+    else:
+        none = F.lit(None).cast("array<struct<lang:string,n:bigint>>")
+        told = rows.withColumn("qt", none).withColumn("at", none)
+    v = cut(told.withColumn("v", rule("q", "a", "qt", "at")).select("key", "v.*"))
     texts = rows.select("q").unionByName(rows.select(F.col("a").alias("q"))).where("q is not null").distinct()
     texts = cut(texts.select(_contexts("q").alias("contexts"), _ends("q").alias("ends")))
     contexts = texts.select(F.explode("contexts").alias("s")).distinct()

@@ -78,6 +78,16 @@ def test_defects_of_a_table(spark, rows, words):
     assert got == sorted(want, key=repr)
 
 
+def test_a_lexicon_too_large_to_travel(spark, rows, words, monkeypatch):
+    """The join gives what the words in memory give."""
+    data = [(1, Q, "Wir haben den Hund mit zu der Oma"), (2, Q, "We had the dog with us"), (3, Q, "それは五月で、海から帰ってきた直後でした。"), (4, None, "la la la"), (4, Q, None), (5, Q, 'She said "wir haben nicht den Hund" to us'), (6, "Wo ist der Hund?", "Der Hund ist in den Bergen."), (7, "Wo ist der Hund und die Oma?", "It is in the lake and on the hill of that")]
+    df = spark.createDataFrame(data, "n bigint, q string, a string")
+    want = rows(pairs.judged_pairs(df, "n", "q", "a", words))
+    assert [r for r in want if r[1] == "wrong_language"] == [(i, "wrong_language", None) for i in (1, 3, 7)]
+    monkeypatch.setattr(pairs, "MOST_WORDS", 5)
+    assert rows(pairs.judged_pairs(df, "n", "q", "a", words)) == want
+
+
 def test_empty_table(spark, rows, words):
     assert rows(pairs.broken_pairs(spark.createDataFrame([], "n bigint, q string, a string"), "n", "q", "a", words)) == []
 
