@@ -29,6 +29,13 @@ STREETS_ES = "Calle|Avenida|Avda\\.|Av\\.|Paseo|Plaza|Camino|Carretera|Ronda|Tra
 # Titles, greetings and closing phrases before a name; nouns after which a name is a firm's or place's.
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Mme Mlle Monsieur Madame Sr Sra Señor Señora Don Doña Herrn".split()
 PLACES = "Bakery Park Hotel Inn School Street Road Lane Avenue Cafe Terminal Station Museum Theatre Hall Garden Gardens Bookshop Shop Ltd GmbH Inc SA Rail Energy Campsite".split()
+# Short words that begin a phrase before a family name and are no given name.
+SHORT_WORDS = frozenset(
+    "a all an and any as at but by did do far few for has her his how if in is it its let mr mrs ms my new no nor not now of off old on one or our out own per she the to two up via was we who why yet you he be so us am are can had may see ask met "
+    "ab alt am an auf aus bei bis da das dem den der des die dr du ein er es für ich ihr im in ist mit nur ob per sie so um und uns vom von vor was wer wie wir wo zu zum zur war hat "
+    "au aux ce ces cet de des du elle en est et il la le les leur lui ma mes moi mon ne nos on ou où par pas pour que qui sa se ses si son sur ta tes ton tu un une vos vu "
+    "al con de del don el en era es esa ese fue ha hay la las le lo los más me mi mis muy no nos o os por que se si sin son su sus te tu un una y ya yo sr".split()
+)
 GREETINGS = "Hi|Hello|Hey|Dear|Hallo|Liebe|Lieber|Bonjour|Salut|Cher|Chère|Hola|Querido|Querida"
 CLOSINGS = "Kind regards|Best regards|Regards|Sincerely|Mit freundlichen Grüßen|Viele Grüße|Cordialement|Bien à vous|Saludos|Un saludo|Atentamente"
 
@@ -77,8 +84,7 @@ ADDRESSES = [
 ]
 #: Without one of these a text has no greeting, closing phrase or name field.
 _SPOKEN = [*(f"{g} " for g in GREETINGS.split("|")), *CLOSINGS.split("|"), "Guest", "guest", "assenger", "atient", "enant", "Name", "name", "Nom", "nom"]
-_LONG_WORD = re.compile(r"[^\W\d_]{5,}")
-_TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\b")
+_TITLE_WORDS = frozenset(TITLES)
 _TOKEN = re.compile(r"[^\W\d_]+")
 _GREETED = re.compile(rf"\b(?:{GREETINGS}) ({_CAP})(?=[,!])")
 _CLOSED = re.compile(rf"\b(?:{CLOSINGS}),?\s+({_CAP} (?:[A-Z]\. )?{_CAP})(?=\s*(?:$|\n|[A-ZÀ-Þ]))")
@@ -87,19 +93,30 @@ _GUEST = re.compile(r"(?:\b(?:[Gg]uest|[Pp]assenger|[Pp]atient|[Tt]enant|[Nn]ame
 
 @dataclass
 class NameModel:
-    """What the names of an address book are made of: how often each beginning and end occurs."""
+    """What the names of an address book are made of: how often each beginning and end occurs.
+
+    ``joined`` has the names of several words (Jean-Luc, O'Neill, de la Cruz) by their first word.
+    """
 
     given: set = field(default_factory=set)
     family: set = field(default_factory=set)
     given_parts: tuple = (Counter(), Counter())
     family_parts: tuple = (Counter(), Counter())
+    joined: dict = field(default_factory=dict)
 
     @staticmethod
     def fit(pairs: list[tuple[str | None, str | None]]) -> NameModel:
         """Learn from (given name, family name) pairs; null and blank names are skipped."""
-        given = {g.strip().lower() for g, _ in pairs if g and g.strip()}
-        family = {f.strip().lower() for _, f in pairs if f and f.strip()}
-        return NameModel(given, family, _parts(given), _parts(family))
+        given = {_plain(g) for g, _ in pairs if g and g.strip()}
+        family = {_plain(f) for _, f in pairs if f and f.strip()}
+        joined: dict = {}
+        for name in given | family:
+            words = _TOKEN.findall(name)
+            if words and words[0] != name:
+                joined.setdefault(words[0], []).append(name)
+        for names in joined.values():
+            names.sort(key=len, reverse=True)
+        return NameModel(given, family, _parts(given), _parts(family), joined)
 
     def is_given(self, word: str) -> bool:
         w = word.lower()
@@ -114,6 +131,10 @@ class NameModel:
         return any(tails[w[i:]] >= 3 for i in range(3, len(w) - 3))
 
 
+def _plain(name: str) -> str:
+    return " ".join(name.lower().replace("’", "'").split())
+
+
 def _parts(names: set) -> tuple[Counter, Counter]:
     heads, tails = Counter(), Counter()
     for n in names:
@@ -136,7 +157,8 @@ def _made_of(word: str, parts: tuple[Counter, Counter], least: int = 2, joint: i
 
 
 def _shape(w: str) -> str:
-    return "l" if w.islower() else "U" if len(w) > 1 and w.isupper() else "C" if w[0].isupper() and w[1:].islower() else "x"
+    last = w if w.isalpha() else _TOKEN.findall(w)[-1]
+    return "l" if w.islower() else "U" if len(w) > 1 and w.isupper() else "C" if last[0].isupper() and not last.isupper() else "x"
 
 
 class Spans:
@@ -160,23 +182,39 @@ class Spans:
         return i < len(self.starts) and self.starts[i] <= at
 
 
+def _with_joined(text: str, toks: list, joined: dict) -> list:
+    """``toks`` with the words of a name of several words as one token."""
+    out, i = [], 0
+    ends = {b: j for j, (_, _, b) in enumerate(toks)}
+    while i < len(toks):
+        w, a, b = toks[i]
+        for name in joined.get(w.lower(), ()):
+            end = a + len(name)
+            if end in ends and _plain(text[a:end]) == name:
+                w, b, i = text[a:end].replace("’", "'"), end, ends[end]
+                break
+        out.append((w, a, b))
+        i += 1
+    return out
+
+
 def _names(text: str, model: NameModel, known: dict, taken: Spans):
     """(start, end) of names, in no order; may overlap."""
     out = [m.span(1) for p in (_GREETED, _CLOSED, _GUEST) for m in p.finditer(text)] if any(map(text.__contains__, _SPOKEN)) else []
-    words = set(_LONG_WORD.findall(text))
-    alike = known.setdefault("", set())  # the words seen that are made like names
+    words = set(_TOKEN.findall(text))
+    alike = known.setdefault("", set())  # the words seen that are made like names or begin one
     for w in words:
         if w not in known:
             known[w] = (model.is_given(w), model.is_family(w))
-            if any(known[w]):
+            if any(known[w]) or w.lower() in model.joined:
                 alike.add(w)
-    if words.isdisjoint(alike) and not _TITLED.search(text):
+    if words.isdisjoint(alike) and words.isdisjoint(_TITLE_WORDS):
         return out  # no word is made like a name, and no title
     toks = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    if model.joined:
+        toks = _with_joined(text, toks, model.joined)
 
     def kind(w: str) -> tuple[bool, bool]:
-        if len(w) < 3:
-            return False, False
         if w not in known:
             known[w] = (model.is_given(w), model.is_family(w))
         return known[w]
@@ -193,13 +231,13 @@ def _names(text: str, model: NameModel, known: dict, taken: Spans):
         title = i and toks[i - 1][0] in TITLES and text[toks[i - 1][2] : a] in (" ", ". ")
         title = title and not taken.holds(toks[i - 1][1])
         given, family = kind(w)
-        if not (given or family or (title and _shape(w) == "C" and len(w) > 2)):
+        if not (given or family or (title and _shape(w) == "C")):
             i += 1
             continue
         shape, last = _shape(w), i
         if family and not given and shape == "C" and not title and i and text[toks[i - 1][2] : a] == " ":
             first, after = toks[i - 1], toks[i + 1][0] if i + 1 < n else ""
-            if _shape(first[0]) == "C" and len(first[0]) > 3 and after not in PLACES:
+            if _shape(first[0]) == "C" and first[0].lower() not in SHORT_WORDS and after not in PLACES:
                 out.append((first[1], b))  # a given name the address book tells nothing of
                 i += 1
                 continue

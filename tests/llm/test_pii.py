@@ -46,6 +46,26 @@ def test_found(text, want):
     assert found(text) == want
 
 
+def test_names_of_any_length_and_make():
+    """Names that the address book has are found however short they are, of several words, or with capitals inside."""
+    model = pii.NameModel.fit([("Anna", "Lee"), ("Kim", "Wu"), ("Bo", "Ek"), ("Jean-Luc", "O’Neill"), ("Eva", "de la Cruz"), ("Max", "McDonald")])
+    cases = {
+        "met Anna at noon": ["Anna"],
+        "so Kim Wu and Bo Ek ate": ["Kim Wu", "Bo Ek"],
+        "ring Mr Li or Ms. Wu now": ["Li", "Wu"],
+        "by K. Lee today": ["K. Lee"],
+        "LEE, Anna and anna lee": ["LEE, Anna", "anna lee"],
+        "saw Jean-Luc O'Neill and Eva de la Cruz; Jean-Luc": ["Jean-Luc O'Neill", "Eva de la Cruz", "Jean-Luc"],
+        "with Max McDonald": ["Max McDonald"],
+        "as Tom O'Neill said": ["Tom O'Neill"],
+        "the lee side, de la mar": [],
+    }
+    known: dict = {}
+    for text, want in cases.items():
+        for memo in (None, known, known):
+            assert [text[a:b] for a, b, _ in pii.find(text, model, memo)] == want, text
+
+
 def test_rest_is_unchanged_and_equal_values_stay_linked():
     text = "A +44 20 7946 0280, B +44 20 7946 0280; Briarec Ashavik!\n"
     out, kinds, vals = pii.redact_text(text, MODEL, b"k")
