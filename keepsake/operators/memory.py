@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import time
+from bisect import bisect_left, insort
+from collections import UserDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -105,23 +108,87 @@ def distil(windows: DataFrame, stream: str, text: str, maker: Maker, schema: str
     return make_rows(one, maker, schema, "window_id")
 
 
-def evolve(state: dict, note: dict, encode: Callable, decide: Callable, k: int = 5) -> dict:
+class Notes(UserDict):
+    """id -> note with its vector, as ``evolve`` wants it, with an index of the vectors that is kept as notes come and go.
+
+    Notes of equal vectors share one row of the matrix and their ids in order,
+    so a search scores every distinct vector once, exactly.
+    """
+
+    def __init__(self, notes: dict | None = None):
+        self._rows: dict[bytes, int] = {}
+        self._ids: list[list] = []
+        self._vectors: list[np.ndarray] = []
+        self._matrix = np.empty((0, 0))
+        super().__init__(notes or {})
+
+    def __setitem__(self, key, note: dict) -> None:
+        vector = np.asarray(note["vector"], dtype=np.float64) + 0.0  # no -0.0
+        n, at = len(self._ids), self._rows.get(vector.tobytes())
+        if n and vector.shape != self._matrix.shape[1:]:
+            raise ValueError(f"a vector of shape {vector.shape} among those of {self._matrix.shape[1:]}")
+        if key in self.data:
+            self._forget(key)
+            n, at = len(self._ids), self._rows.get(vector.tobytes())
+        if at is None:
+            if n == len(self._matrix) or not n:
+                grown = np.empty((max(16, 2 * n), *vector.shape))
+                if n:
+                    grown[:n] = self._matrix
+                self._matrix = grown
+            at = self._rows[vector.tobytes()] = n
+            self._matrix[n] = vector
+            self._vectors.append(vector)
+            self._ids.append([])
+        insort(self._ids[at], key)
+        self.data[key] = {**note, "vector": self._vectors[at]}
+
+    def __delitem__(self, key) -> None:
+        self._forget(key)
+        del self.data[key]
+
+    def _forget(self, key) -> None:
+        """Takes a note out of the index; the last row takes the place of one that is left empty."""
+        at = self._rows[self.data[key]["vector"].tobytes()]
+        ids = self._ids[at]
+        del ids[bisect_left(ids, key)]
+        if not ids:
+            del self._rows[self._vectors[at].tobytes()]
+            self._matrix[at] = self._matrix[len(self._ids) - 1]
+            ids, vector = self._ids.pop(), self._vectors.pop()
+            if at < len(self._ids):
+                self._ids[at], self._vectors[at], self._rows[vector.tobytes()] = ids, vector, at
+
+    def nearest(self, vector: np.ndarray, k: int) -> list:
+        """The ids of the ``k`` notes of the highest products with ``vector``, ties by id; products that are no number come last."""
+        n = len(self._ids)
+        if not n or k < 1:
+            return []
+        scores = self._matrix[:n] @ vector
+        scores[np.isnan(scores)] = -np.inf
+        rows = np.arange(n)
+        if k < n:  # each row has an id at least, so k rows and their ties suffice
+            rows = np.flatnonzero(scores >= np.partition(scores, n - k)[n - k])
+        scores = scores[rows]
+        return [i for _, i in heapq.nsmallest(k, ((-s, i) for s, r in zip(scores.tolist(), rows.tolist()) for i in self._ids[r][:k]))]
+
+
+def evolve(state: dict | Notes, note: dict, encode: Callable, decide: Callable, k: int = 5) -> dict | Notes:
     """One step of ``ingest_in_order``: a note joins the memory and may change its nearest neighbours.
 
-    ``state``: id -> note with its vector. ``decide(note, neighbours)`` gives what
-    to set in the note (links to neighbours are lists of ids) and, by neighbour
-    id, what to set in these; unknown ids are ignored. The ``k`` neighbours are
-    those of highest cosine, ties by id; vectors of changed notes stay as they
-    were first made. The state is changed in place and returned.
+    ``state``: id -> note with its vector, best as ``Notes``, whose index is kept
+    from step to step; of a plain dict it is made anew in every step, which takes
+    time in proportion to the memory. ``decide(note, neighbours)`` gives what to
+    set in the note (links to neighbours are lists of ids) and, by neighbour id,
+    what to set in these; unknown ids are ignored. The ``k`` neighbours are those
+    of highest cosine, ties by id; vectors of changed notes stay as they were
+    first made. The state is changed in place and returned.
     """
     vector = np.asarray(encode(note), dtype=np.float64)
     size = np.linalg.norm(vector)
     vector = vector / size if size else vector
-    ids = sorted(state)
-    near: list = []
-    if ids:
-        scores = np.stack([state[i]["vector"] for i in ids]) @ vector
-        near = [ids[i] for i in np.lexsort((np.arange(len(ids)), -scores))[:k]]
+    index = state if isinstance(state, Notes) else Notes(state)
+    near = index.nearest(vector, k)
     own, others = decide(note, [state[i] for i in near])
     for i, change in others.items():
         if i in near:

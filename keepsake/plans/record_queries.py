@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -426,8 +427,10 @@ def evolved_notes(spark: SparkSession, d: str) -> DataFrame:
         decide = lambda note, near: ({"links": sorted(n["id"] for n in near)}, {n["id"]: {"seen": n["seen"] + 1} for n in near})
         return memory.evolve(state, {"id": int(row["note_no"]), "seen": 0}, lambda n: np.eye(16)[n["id"] % 16], decide, k=3)
 
-    state = memory.ingest_in_order(table(spark, d, "memory_notes").select("note_no"), ["note_no"], {}, step)
-    return spark.createDataFrame([(i, n["links"], n["seen"]) for i, n in state.items()], "note_no bigint, links array<bigint>, seen bigint")
+    state = memory.ingest_in_order(table(spark, d, "memory_notes").select("note_no"), ["note_no"], memory.Notes(), step)
+    types = {"note_no": pa.int64(), "links": pa.list_(pa.int64()), "seen": pa.int64()}
+    columns = {"note_no": state.keys(), "links": (n["links"] for n in state.values()), "seen": (n["seen"] for n in state.values())}
+    return spark.createDataFrame(pa.table({c: pa.array(v, types[c]) for c, v in columns.items()}))
 
 
 @register("select note_no, id, content from memory_notes")
