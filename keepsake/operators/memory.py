@@ -25,16 +25,18 @@ def make_rows(df: DataFrame, maker: Maker, schema: str, key: str, tries: int = 3
     """What ``maker`` makes of batches of ``df``, with key, status and error.
 
     ``schema`` are the maker's columns, which it returns with the batch's index.
-    A batch that fails ``tries`` times is given row by row, so that one bad row
-    spoils no others; rows that still fail get null columns and their error.
+    A batch that fails ``tries`` times is given in parts, which halve as one
+    fails and double as one succeeds, down to a row, so that one bad row spoils
+    no others; rows that fail ``tries`` times alone get null columns and their error.
     """
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     kind = df.schema[key].dataType.simpleString()
 
-    def attempt(f: pd.DataFrame) -> pd.DataFrame:
+    def attempt(f: pd.DataFrame, tries: int) -> pd.DataFrame:
         for n in range(tries):
             try:
-                return maker(f)
+                out = maker(f)
+                return out if list(out.columns) == names else out[names]
             except Exception:
                 if n == tries - 1:
                     raise
@@ -43,18 +45,23 @@ def make_rows(df: DataFrame, maker: Maker, schema: str, key: str, tries: int = 3
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            try:
-                out = attempt(f)[names].assign(status="success", error=None)
-            except Exception:
-                parts = []
-                for i in range(len(f)):
-                    one = f.iloc[i : i + 1]
-                    try:
-                        parts.append(attempt(one)[names].assign(status="success", error=None))
-                    except Exception as e:
-                        parts.append(pd.DataFrame({n: [None] for n in names}, index=one.index).assign(status="failed", error=str(e)))
-                out = pd.concat(parts) if parts else f.assign(**{n: None for n in (*names, "status", "error")})
-            yield out.assign(**{key: f[key]})[[key, *names, "status", "error"]]
+            made, bad = [], {}
+            at, size = 0, max(1, len(f))
+            while at < max(1, len(f)):
+                part = f.iloc[at : at + size]
+                try:
+                    made.append(attempt(part, tries if len(part) in (1, len(f)) else 1))
+                except Exception as e:
+                    if len(part) > 1:
+                        size = len(part) // 2
+                        continue
+                    bad |= dict.fromkeys(part.index, str(e))
+                at += size
+                size *= 2
+            parts = [pd.concat(made).assign(status="success", error=None)] if made else []
+            if bad or not made:
+                parts.append(pd.DataFrame({n: None for n in names} | {"status": "failed", "error": list(bad.values())}, index=list(bad), columns=[*names, "status", "error"]))
+            yield pd.concat(parts).assign(**{key: f[key]})[[key, *names, "status", "error"]]
 
     return df.mapInPandas(run, f"{key} {kind}, {schema}, status string, error string")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keepsake.functions import formats, jsontext
 from keepsake.operators.lookups import pending
 from keepsake.operators.memory import Maker, make_rows
-from keepsake.runtime import cut
+from keepsake.runtime import cut, spread
 from keepsake.sources import media, readers, sinks
 
 #: What a model tells of a picture or of the frames of a video.
@@ -20,8 +20,11 @@ READ = "short_summary string, detail string, classification string"
 
 
 def _described(df: DataFrame, path: str, look: Maker, schema: str) -> DataFrame:
-    """``df`` with what ``look`` makes of its rows, status and error; a row that fails spoils no other."""
-    made = make_rows(df, look, schema, path)
+    """``df`` with what ``look`` makes of its rows, status and error; a row that fails spoils no other.
+
+    Rows are dealt out to all cores, as what ``look`` costs does not show in their size.
+    """
+    made = make_rows(spread(df), look, schema, path)
     return df.join(made.withColumnRenamed(path, "_p"), F.col(path) == F.col("_p")).drop("_p")
 
 

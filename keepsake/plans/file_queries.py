@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 
 import pandas as pd
@@ -341,11 +342,11 @@ def _look(path: str):
     """A model stand-in that tells the place back and fails on every seventh file."""
 
     def look(f: pd.DataFrame) -> pd.DataFrame:
-        n = f[path].str.extract(r"(\d+)\.\w+$")[0].astype("int64")
-        if (n % 7 == 6).any():
+        n = [int(re.search(r"(\d+)\.\w+$", p)[1]) for p in f[path]]  # plain lists: it is often asked for a few rows
+        if any(i % 7 == 6 for i in n):
             raise ValueError("unclear")
-        told = f["location_name"].fillna("nowhere")
-        return pd.DataFrame({"city": told, "ocr_text": "  ", "caption": "at " + told, "short_caption": "c" + n.astype(str), "tags": "Sea, sky,, SEA", "entities": "- Anna: person\nanna: person", "safety": "none"}, index=f.index)
+        told = ["nowhere" if pd.isna(x) else x for x in f["location_name"]]
+        return pd.DataFrame({"city": told, "ocr_text": "  ", "caption": ["at " + x for x in told], "short_caption": [f"c{i}" for i in n], "tags": "Sea, sky,, SEA", "entities": "- Anna: person\nanna: person", "safety": "none"}, index=f.index)
 
     return look
 

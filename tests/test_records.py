@@ -4,11 +4,13 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keepsake.operators import corpus, lookups, memory, metrics, ranking, scoring, summaries, usage, vectors
+from keepsake.operators import corpus, lookups, memory, metrics, pipelines, ranking, scoring, summaries, usage, vectors
 from keepsake.sources import readers, sinks
 
 
@@ -74,6 +76,30 @@ def test_indexed_memory_equals_a_scan_and_keeps_pace():
     assert state[29_999]["links"] == [15, 31, 47] and time.time() - began < 30
 
 
+def test_bad_rows_cost_few_calls(spark, tmp_path):
+    """Two bad rows of a thousand: each fails alone after all its tries, and the others are not asked for one by one."""
+    log = tmp_path / "calls"
+
+    def maker(f):
+        with log.open("a") as out:
+            out.write(f"{len(f)} {f['id'].iloc[0]}\n")
+        if f["id"].isin([500, 999]).any():
+            raise ValueError("unclear")
+        return pd.DataFrame({"t": "t" + f["id"].astype(str)}, index=f.index)
+
+    got = memory.make_rows(spark.range(1000).coalesce(1), maker, "t string", "id", tries=2).collect()
+    assert sorted((r.id, r.t, r.status, r.error) for r in got) == [(i, None, "failed", "unclear") if i in (500, 999) else (i, f"t{i}", "success", None) for i in range(1000)]
+    calls = log.read_text().split("\n")
+    assert len(calls) < 120 and calls.count("1 500") == calls.count("1 999") == 2
+
+
+def test_few_partitions_are_dealt_out(spark):
+    """What a model makes of files is made by all cores, however small the table of files is."""
+    look = lambda f: pd.DataFrame({c.split()[0]: str(TaskContext.get().partitionId()) for c in pipelines.SEEN.split(", ")}, index=f.index)
+    df = spark.range(400).select(F.col("id").cast("string").alias("p")).coalesce(1)
+    assert pipelines._described(df, "p", look, pipelines.SEEN).select("city").distinct().count() == 4
+
+
 def test_snapshots_keep_questions_apart(spark, rows, tmp_path):
     at = str(tmp_path / "snap")
     first = spark.createDataFrame([(1, "a")], "id int, t string")
